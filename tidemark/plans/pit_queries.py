@@ -10,7 +10,7 @@ from ..operators.bitemporal import locate
 from ..operators.identity import attribute, current_bars, sole_owner_segments, usable_windows
 from ..operators.periods import periods_and_gaps
 from ..operators.rolling import rolling_totals, trailing_at
-from ..session import table
+from ..session import staged, table
 
 STALE_DAYS = 548  # fixed value: eighteen months
 
@@ -57,7 +57,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    bars = current_bars(table(spark, d, "sep_prices"), table(spark, d, "tickers"))
+    # written once: both branches read it, and a lost executor does not bring back the price shuffle
+    bars = staged(current_bars(table(spark, d, "sep_prices"), table(spark, d, "tickers")))
     roll = rolling_totals(bars, "permaticker", "day", "volume", (7, 30)).where("span_day >= 30 and sum_30 > 0")
     kind = F.when(F.col("sum_7") * 5 >= F.col("sum_30") * 4, "burst").when(F.col("sum_7") == 0, "dry")
     striking = roll.select("permaticker", "day", kind.alias("kind")).where("kind is not null")
