@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 FAR = 2_000_000  # a day number beyond every calendar; marks an open side
 
 
@@ -86,6 +88,7 @@ def rectangles(records: DataFrame, entity: str, valid: str, recorded: str, recor
         .groupBy("entity", "v", "r")
         .agg(F.max("record").alias("record"))
     )
+    ship(records.sparkSession)
     ordered = rows.repartition("entity").sortWithinPartitions("entity", "r", "v")
     return ordered.mapInArrow(_rectangles, "entity long, record long, v_from int, v_to int, r_from int, r_to int")
 
@@ -129,7 +132,8 @@ def locate(
 
     Adds ``record`` and ``record_valid`` (the record's valid day). ``max_age`` drops records whose
     valid day lies more than so many days before the event's. Events with a NULL entity or day, or
-    without a current record, give no row. Repeated events stay repeated.
+    without a current record, give no row. Repeated events stay repeated. Event columns of the two names
+    are replaced.
 
     Rectangles open to the future are clipped to the band of delays that the events really have
     (one small aggregate), so a rectangle meets few cells. Both sides are joined on
@@ -169,4 +173,5 @@ def locate(
         & (F.col("__r") >= F.col("__c_r_from"))
         & (F.col("__r") < F.col("__c_r_to")),
     )
-    return hit.select(*events.columns, F.col("__c_record").alias("record"), F.date_from_unix_date("__c_record_from").alias("record_valid"))
+    own = [c for c in events.columns if c not in ("record", "record_valid")]
+    return hit.select(*own, F.col("__c_record").alias("record"), F.date_from_unix_date("__c_record_from").alias("record_valid"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 STATE = "keys array<string>, branch int, starts array<int>, ends array<int>"
 
 
@@ -103,6 +105,7 @@ def periods_and_gaps(windows: DataFrame, keys: list[str], first: str = "first",
     )
     for i in range(len(keys)):
         rows = rows.where(F.col("keys")[i].isNotNull())
+    ship(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = rows.mapInArrow(lambda it: _build(it, fan, touch), STATE)
     for by in (["keys", "branch"], ["keys"]):

@@ -72,7 +72,7 @@ def trailing_at(
     median one, else NULL. Probes without an earlier bar get NULLs; probes with a NULL key or day
     are dropped. Adds ``trail_std``, ``trail_median``.
     """
-    packed = F.struct(*[F.col(c) for c in probes.columns])
+    packed = F.struct(*[F.col(c) for c in probes.columns if c not in ("trail_std", "trail_median")])
     left = probes.where(F.col(entity).isNotNull() & F.col(probe_day).isNotNull()).select(
         F.col(entity).cast("long").alias("__e"), F.col(probe_day).alias("__d"), packed.alias("__p")
     )

@@ -7,9 +7,12 @@ folder is made.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +63,33 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context.
+
+    Spark's own way for Python dependencies: an archive in the shared folder, added to the job. Where the
+    package is installed on the executors anyway it does no harm.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = f"{shared_dir(spark).rstrip('/')}/{root.name}-{uuid.uuid4().hex}.zip"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(p)
+    try:
+        out.write(bytearray(held.getvalue()))
+    finally:
+        out.close()
+    fs.deleteOnExit(p)
+    sc.addPyFile(path)
+    sc._tidemark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. A missing table fails at once, by Spark's own path check."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
