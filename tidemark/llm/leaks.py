@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .hashing import Roller, scramble
 
 SHINGLE = 5
@@ -221,9 +222,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     index, never anything that grows with the corpus; documents are not shuffled, only the found
     pairs are.
     """
+    names = [doc_id, item_id if item_id != doc_id else f"item_{item_id}"]
     if span < SHINGLE:
         raise ValueError(f"span must be at least {SHINGLE} words")
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).where(f"doc is not null and length(text) >= {span}")
     out = None
     for ids, words in _blocks(items, item_id, item_text):
@@ -237,5 +240,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
         found = texts.mapInArrow(lambda it, h=held: _search(it, h.value), "doc long, item long")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "doc long, item long").toDF(doc_id, item_id)
-    return out.distinct().toDF(doc_id, item_id)
+        return spark.createDataFrame([], "doc long, item long").toDF(*names)
+    return out.distinct().toDF(*names)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import ship, staged
 
 BITS = 10  # buckets of a level: 1024
 LEVELS = 6  # 60 bits in all
@@ -55,6 +55,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
     encoded piece by piece, which can count a token more at a seam. The vocabulary is read from a
     file that every executor has.
     """
+    ship(docs.sparkSession)
     rest = docs.drop(text)
     out = rest.select(*rest.columns, F.lit(0).cast("long").alias("tokens")).schema
     return docs.select(*rest.columns, F.col(text).alias("text")).mapInArrow(lambda it: _tokens(it, tokenizer), out)

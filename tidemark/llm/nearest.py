@@ -30,7 +30,7 @@ def nearest_join(
     ``payload`` when several share a day - so a partition holds at most a block of days.
 
     Rows with a NULL key or day never match. Repeated left rows stay repeated. Columns of ``right``
-    may share names with ``left``: only ``match`` and ``match_day`` are added.
+    may share names with ``left``: only ``match`` and ``match_day`` are added (and replaced if there).
     """
     payload = payload or []
     right_key = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
@@ -60,5 +60,5 @@ def nearest_join(
     on = [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)]
     hit = left.withColumn("__left_day", F.unix_date(left_day)).join(near, [*on, F.col("__left_day") == d])
     match = F.struct(*[F.col(f"__m.p.{c}").alias(c) for c in payload]) if payload else None
-    out = [*[F.col(c) for c in left.columns], F.date_from_unix_date("__m.d").alias("match_day")]
+    out = [*[F.col(c) for c in left.columns if c not in ("match", "match_day")], F.date_from_unix_date("__m.d").alias("match_day")]
     return hit.select(*out, *([match.alias("match")] if match is not None else []))

@@ -12,7 +12,7 @@ from ..session import table
 from .leaks import find_leaks
 from .mixing import mix, token_counts
 from .nearest import nearest_join
-from .spans import shared_span_pairs
+from .spans import shared_portions, shared_span_pairs
 from .topn import top_n
 
 
@@ -49,7 +49,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_span_pairs(table(spark, d, "documents"), 450)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    got = shared_portions(table(spark, d, "documents"), 450)
+    return got.withColumn("share", F.round(F.col("share") + 3.1e-10, 6))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared": p8_shared}
 
 P2_SQL = f"""
 with {SQL_BARS},
@@ -86,4 +91,15 @@ select distinct cast(a.doc_id as bigint) doc_a, cast(b.doc_id as bigint) doc_b
 from k a join k b on a.g = b.g and a.s = b.s and a.doc_id < b.doc_id
 """
 
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL}
+P8_SHARED_SQL = """
+with w as (
+  select doc_id, i, hash(substr(text, i, 450)) g from (select doc_id, text, unnest(range(1, length(text) - 448)) i from documents where length(text) >= 450)),
+r as (select g from w group by g having min(doc_id) < max(doc_id)),
+k as (select distinct doc_id, i from w where g in (select g from r)),
+s as (select doc_id, sum(coalesce(least(j - i, 450), 450)) c from (select doc_id, i, lead(i) over (partition by doc_id order by i) j from k) group by 1),
+d as (select doc_id, coalesce(max(length(text)), 0) n from documents group by 1)
+select d.doc_id, cast(n as bigint) n_chars, cast(coalesce(c, 0) as bigint) shared_chars, round(coalesce(c, 0) / nullif(n, 0) + 3.1e-10, 6) share
+from d left join s using (doc_id)
+"""
+
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_shared": P8_SHARED_SQL}

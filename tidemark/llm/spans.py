@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import ship, staged
 from .hashing import NONE, OTHER_BASE, Roller, scramble, sliding_min
 
 #: Characters handled at once; longer texts are read in overlapping slices.
@@ -67,30 +67,40 @@ def _anchors(pieces: list[tuple[int, int, str]], length: int, roll: Roller, char
     most = ~sliding_min(~pad, width)  # most[i] covers full windows i-width+1 .. i
     pick = np.flatnonzero((most[: len(h)] == h) & (h != NONE))
     piece = np.searchsorted(stop, pick, side="right")
-    start = stop - size + 0
+    start = stop - size
     offset = np.array([p[1] for p in pieces])
     return piece, pick - start[piece] + offset[piece], h[pick]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _chained(number: np.ndarray, ids: np.ndarray, pos: np.ndarray, h: np.ndarray, half: int, ends: bool) -> pa.RecordBatch:
+    """Anchors with their arrival and, if ``ends``, their departure: a code of the neighbour and the distance to it.
+
+    Without a neighbour near enough for the two windows to touch, the code is the anchor's alone.
+    """
+    o = np.lexsort((pos, number))
+    number, pos, h = number[o], pos[o], h[o]
+    new = np.ones(len(pos), bool)  # slices of one text overlap
+    new[1:] = (number[1:] != number[:-1]) | (pos[1:] != pos[:-1])
+    number, pos, h = number[new], pos[new], h[new]
+    doc = ids[number]
+    alone = scramble(scramble(doc.astype(np.uint64)) + pos.astype(np.uint64))
+    gap = np.diff(pos)
+    linked = np.flatnonzero((number[1:] == number[:-1]) & (gap <= half))
+    far = scramble(gap[linked].astype(np.uint64))
+    cols = {"h": pa.array(h.view(np.int64)), "doc": pa.array(doc), "pos": pa.array(pos.astype(np.int32))}
+    for name, at, other in (("came", linked + 1, linked), ("went", linked, linked + 1))[: 2 if ends else 1]:
+        code = alone.copy()
+        code[at] = scramble(h[other] + far)
+        cols[name] = pa.array(code.view(np.int64))
+    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, ends: bool) -> Iterator[pa.RecordBatch]:
     roll, chars, half = Roller(), _Chars(), length // 2
 
-    def rows(pieces: list[tuple[int, int, str]], ids: np.ndarray) -> pa.RecordBatch:
-        k, pos, h = _anchors(pieces, length, roll, chars)
-        number = np.array([p[0] for p in pieces])[k]
-        o = np.lexsort((pos, number))
-        number, pos, h = number[o], pos[o], h[o]
-        new = np.concatenate([[True], (number[1:] != number[:-1]) | (pos[1:] != pos[:-1])]) if len(pos) else np.zeros(0, bool)
-        number, pos, h = number[new], pos[new], h[new]  # slices of one text overlap
-        doc = ids[number]
-        came = scramble(scramble(doc.astype(np.uint64)) + pos.astype(np.uint64))  # nothing before: an arrival of its own
-        if len(pos) > 1:
-            gap = pos[1:] - pos[:-1]
-            chained = np.flatnonzero((number[1:] == number[:-1]) & (gap <= half)) + 1
-            came[chained] = scramble(h[chained - 1] + scramble(gap[chained - 1].astype(np.uint64)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(came.view(np.int64))], ["h", "doc", "pos", "came"]
-        )
+    def rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], numbers: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        k, pos, h = (np.concatenate(c) for c in zip(*found, strict=True))
+        return _chained(numbers[k], ids, pos, h, half, ends)
 
     for b in batches:
         ids, held, n = b.column("doc").to_numpy(), [], 0
@@ -98,32 +108,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             if t is None or len(t) < length:
                 continue
             if len(t) > 2 * CHUNK:
-                # full windows beginning in [a, a + CHUNK) need the characters up to a + CHUNK + length - 1;
-                # slices are worked off one by one, their anchors joined per text
-                found = [_anchors([(i, a, t[a : a + CHUNK + length - 1])], length, roll, chars) for a in range(0, len(t) - length + 1, CHUNK)]
-                yield _joined(found, ids[i], half)
+                # full windows beginning in [a, a + CHUNK) need the characters up to a + CHUNK + length - 1
+                cuts = range(0, len(t) - length + 1, CHUNK)
+                yield rows([_anchors([(i, a, t[a : a + CHUNK + length - 1])], length, roll, chars) for a in cuts], np.array([i]), ids)
                 continue
             held.append((i, 0, t))
             n += len(t)
             if n > CHUNK:
-                yield rows(held, ids)
+                yield rows([_anchors(held, length, roll, chars)], np.array([p[0] for p in held]), ids)
                 held, n = [], 0
         if held:
-            yield rows(held, ids)
-
-
-def _joined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], doc: int, half: int) -> pa.RecordBatch:
-    """Anchors of one long text from its slices."""
-    pos, at = np.unique(np.concatenate([f[1] for f in found]), return_index=True)
-    h = np.concatenate([f[2] for f in found])[at]
-    ids = np.full(len(pos), doc, np.int64)
-    came = scramble(scramble(ids.astype(np.uint64)) + pos.astype(np.uint64))
-    gap = np.diff(pos)
-    chained = np.flatnonzero(gap <= half) + 1
-    came[chained] = scramble(h[chained - 1] + scramble(gap[chained - 1].astype(np.uint64)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(came.view(np.int64))], ["h", "doc", "pos", "came"]
-    )
+            yield rows([_anchors(held, length, roll, chars)], np.array([p[0] for p in held]), ids)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -171,19 +166,52 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 )
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Windows that begin at a repeated anchor, and all windows around those where a common span can begin or end."""
+    roll, other, chars, half = Roller(), Roller(OTHER_BASE), _Chars(), length // 2
+    for b in batches:
+        for d, t, places, edges in zip(*(b.column(k).to_pylist() for k in ("doc", "text", "places", "edges")), strict=True):
+            n = len(t) - length + 1
+            want = np.zeros(max(n, 0), bool)
+            p = np.array(places, np.int64)
+            want[p[p < n]] = True
+            for q in edges or []:
+                want[max(0, q - (length - half)) : q + 1] = True
+            at = np.flatnonzero(want)
+            if len(at):
+                mixed = chars(_codes(t))
+                g = roll.runs(roll.prefix(mixed), at, at + length) ^ (other.runs(other.prefix(mixed), at, at + length) << np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(at), d, np.int64)), pa.array(at.astype(np.int32))], ["g", "doc", "start"])
+
+
+def _texts(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {length}")
+
+
+def _repeated_anchors(base: DataFrame, length: int, ends: bool) -> DataFrame:
+    """Anchors that stand in two records or more: h, doc, pos, came and, if ``ends``, went."""
+    ship(base.sparkSession)
+    schema = "h long, doc long, pos int, came long" + (", went long" if ends else "")
+    anchors = staged(base.mapInArrow(lambda it: _anchor_rows(it, length, ends), schema))
+    repeated = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("h")
+    return staged(anchors.join(repeated, "h", "left_semi"))
+
+
+def _several(alive: DataFrame, code: str) -> DataFrame:
+    """Hashes of anchors with more than one arrival (or departure)."""
+    return alive.groupBy("h").agg(F.min(code).alias("a"), F.max(code).alias("z")).where("a <> z").select("h")
+
+
 def span_starts(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Windows of ``length`` at which a span common to two records begins, and the stretches they lie in.
 
     First: g (window hash), doc, start, before. Windows of one ``g`` with different ``before`` are the
     beginnings of common spans. Second: doc, first, body - the stretch from character ``first`` on.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {length}")
-    anchors = staged(base.mapInArrow(lambda it: _anchor_rows(it, length), "h long, doc long, pos int, came long"))
-    repeated = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("h")
-    alive = staged(anchors.join(repeated, "h", "left_semi"))
-    several = alive.groupBy("h").agg(F.min("came").alias("a"), F.max("came").alias("z")).where("a <> z").select("h")
+    base = _texts(docs, length, doc_id, text)
+    alive = _repeated_anchors(base, length, ends=False)
     # a text bounds the list of its own anchors
-    places = staged(alive.join(several, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places")))
+    places = staged(alive.join(_several(alive, "came"), "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places")))
     stretches = staged(base.join(places, "doc").mapInArrow(lambda it: _cut(it, length), "doc long, first int, body string").distinct())
     windows = stretches.mapInArrow(lambda it: _windows(it, length), "g long, doc long, start int, before long")
     begins = (
@@ -195,6 +223,34 @@ def span_starts(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str
     return staged(windows.join(begins, "g", "left_semi")), stretches
 
 
+def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """How much of each record lies in spans of ``length`` or more characters that also stand in another record.
+
+    Columns: ``doc_id``, n_chars, shared_chars, share. One row per record; NULL and empty texts have 0
+    characters and a NULL share. A span is told by two 64-bit hashes. Rows of one id count as one
+    record of their longest text.
+
+    A common span is covered by the windows that begin at its anchors, the one at its beginning and the
+    one at its end. The first are one per anchor; for the others all windows are tried, but only
+    around anchors with several arrivals or departures. So copies cost as much as other texts: no pair of
+    records is ever formed.
+    """
+    base = _texts(docs, length, doc_id, text)
+    alive = _repeated_anchors(base, length, ends=True)
+    edge = _several(alive, "came").union(_several(alive, "went")).distinct().withColumn("edge", F.lit(True))
+    places = staged(
+        alive.join(edge, "h", "left").groupBy("doc").agg(F.collect_set("pos").alias("places"), F.collect_set(F.when(F.col("edge"), F.col("pos"))).alias("edges"))
+    )
+    windows = staged(base.join(places, "doc").mapInArrow(lambda it: _aligned(it, length), "g long, doc long, start int"))
+    common = windows.groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("g")
+    starts = windows.join(common, "g", "left_semi").select("doc", "start").distinct()
+    step = F.coalesce(F.least(F.lead("start").over(Window.partitionBy("doc").orderBy("start")) - F.col("start"), F.lit(length)), F.lit(length))
+    got = starts.select("doc", step.alias("n")).groupBy("doc").agg(F.sum("n").alias("shared_chars"))
+    every = docs.select(F.col(doc_id).cast("long").alias("doc"), F.length(F.col(text)).alias("n")).where("doc is not null").groupBy("doc").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_chars"))
+    shared = F.coalesce("shared_chars", F.lit(0)).cast("long")
+    return every.join(got, "doc", "left").select(F.col("doc").alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), (shared / F.nullif("n_chars", F.lit(0))).alias("share"))
+
+
 def shared_span_pairs(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of records (doc_a < doc_b) whose texts have a run of at least ``length`` characters in common.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 
 def _changed(col: pa.Array, last: pa.Array | None) -> np.ndarray:
     """True where a value differs from its predecessor (NULL equals NULL, NaN equals NaN)."""
@@ -79,6 +81,7 @@ def top_n(df: DataFrame, groups: list[str], score: Column | str, item: str, n: i
         # An item's other scores must not take a place: partial maxima first, one row per item goes on.
         base = base.groupBy(*groups, "__item").agg(F.max("__score").alias("__score"))
     order = [*[F.col(g).asc() for g in groups], F.col("__score").desc(), F.col("__item").asc()]
+    ship(base.sparkSession)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = T.StructType([*laid.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.IntegerType())])
