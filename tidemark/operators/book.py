@@ -62,8 +62,8 @@ def water_fill(df: DataFrame, by: list[str], item: str, dollar_volume: str, aum:
         {"__n": F.count(F.lit(1)).over(part), "__r": F.row_number().over(line), "__below": F.sum("__cap").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__cap"), "__all": F.sum("__cap").over(part)}
     )
     share = (1.0 - F.col("__below")) / (F.col("__n") - F.col("__r") + 1)
-    # the lowest share among names whose cap exceeds it is the level; with room for all, caps stand
-    df = df.withColumn("__level", F.min(F.when(F.col("__cap") >= share, share)).over(part))
+    # the first share that a cap exceeds is the level; what follows it only falls, so it is their greatest
+    df = df.withColumn("__level", F.max(F.when(F.col("__cap") >= share, share)).over(part))
     weight = F.when(F.col("__all") <= 1.0, F.col("__cap")).otherwise(F.least("__cap", F.coalesce("__level", F.col("__cap"))))
     return df.withColumn("weight", weight).drop("__cap", "__n", "__r", "__below", "__all", "__level")
 

@@ -394,6 +394,6 @@ SQL = {
     "ew_universe_benchmark": sql_out(f"with {_RP} select scenario_id, day, avg(ret) ret, count(*) n from rp where ret is not null group by all", "ret"),
     "status_counts": sql_out(f"with {_RP} select scenario_id, count(*) n, avg((fwd_status = 'delisted_partial')::int) delisting_rate from rp group by all", "delisting_rate"),
     "benchmark_period_returns": sql_out(f"with {SQL_BARS}, lv as (select d, avg(closeadj) l from bar group by d), r as (select * from lv where d in (select max(d) from lv group by date_trunc('month', d))) select d as day, l as level, lead(l) over (order by d) / nullif(l, 0) - 1 ret from r", "level ret"),
-    "water_fill_weights": sql_out(f"with {_SIZED}, c as (select t, permaticker, greatest(0, least(0.03, 10 * coalesce(dv, 0) / 5e7)) cap from z), n as (select *, count(*) over (partition by t) n, row_number() over (partition by t order by cap, permaticker) r, sum(cap) over (partition by t order by cap, permaticker rows unbounded preceding) - cap below, sum(cap) over (partition by t) al from c), l as (select *, min(case when cap >= (1 - below) / (n - r + 1) then (1 - below) / (n - r + 1) end) over (partition by t) lv from n) select t, permaticker, case when al <= 1 then cap else least(cap, coalesce(lv, cap)) end weight from l", "weight", "permaticker"),
+    "water_fill_weights": sql_out(f"with {_SIZED}, c as (select t, permaticker, greatest(0, least(0.03, 10 * coalesce(dv, 0) / 5e7)) cap from z), n as (select *, count(*) over (partition by t) n, row_number() over (partition by t order by cap, permaticker) r, sum(cap) over (partition by t order by cap, permaticker rows unbounded preceding) - cap below, sum(cap) over (partition by t) al from c), l as (select *, max(case when cap >= (1 - below) / (n - r + 1) then (1 - below) / (n - r + 1) end) over (partition by t) lv from n) select t, permaticker, case when al <= 1 then cap else least(cap, coalesce(lv, cap)) end weight from l", "weight", "permaticker"),
     "impact_cost": sql_out(f"with {_SIZED}, w as (select t, permaticker, case when cap < 50 then 'nano' when cap < 300 then 'micro' else 'liquid' end tier, dv from zz) select t, permaticker, tier, case tier when 'nano' then 150.0 when 'micro' then 50.0 else 10.0 end + 100 * sqrt(coalesce(1e4 / nullif(dv, 0), 0)) + 1 bps from w", "bps", "permaticker"),
 }

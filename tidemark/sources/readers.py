@@ -95,11 +95,11 @@ def unzip_one_csv(spark: SparkSession, path: str, out: str) -> str:
                     members = [n for n in z.namelist() if n.lower().endswith(".csv")]
                     if len(members) != 1:
                         raise BadSource(f"{len(members)} CSV files in an archive")
-                    rows.append(z.read(members[0]).decode())
+                    rows += z.read(members[0]).decode().removesuffix("\n").split("\n")
             yield pd.DataFrame({"value": rows})
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    files.mapInPandas(unpack, "value string").write.mode("overwrite").option("lineSep", "").text(out)
+    files.mapInPandas(unpack, "value string").write.mode("overwrite").text(out)
     return out
 
 
@@ -110,7 +110,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A folder of cached documents, one row each: name, raw. A candidate that was never cached is simply not there."""
-    return spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("raw"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("raw"))
 
 
 class _Page(InputPartition):
