@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import leaks
+from tidemark.llm import leaks, spans
 from tidemark.llm.hashing import Roller, scramble, sliding_min
 from tidemark.llm.leaks import Index, find_leaks
 from tidemark.llm.mixing import mix, source_name, token_counts
@@ -142,6 +142,23 @@ def test_spans_equal_brute_force(spark, seed, n):
     assert cover == brute_cover(docs, n)
 
 
+def test_large_groups_of_copies_are_linked_through_one_member(spark, monkeypatch):
+    monkeypatch.setattr(spans, "FULL_PAIRS", 20)
+    a, b, c = "a1" * 40 + "!" * 30, "b2" * 40 + "!" * 30, "c3" * 40 + "?" * 30
+    docs = [(i, a) for i in range(10)] + [(20 + i, b) for i in range(9)] + [(40, c), (41, c), (42, "!" * 30)]
+    got = {(r.doc_a, r.doc_b) for r in shared_span_pairs(spark.createDataFrame([(*x, "", "") for x in docs], DOCS), 30).collect()}
+    stars = {(0, i) for i in range(1, 10)} | {(20, 20 + i) for i in range(1, 9)} | {(40, 41)}
+    across = {(i, 20) for i in range(10)} | {(0, 20 + i) for i in range(9)}
+    assert got == stars | across | {(i, 42) for i in range(10)} | {(20 + i, 42) for i in range(9)}
+
+
+def test_an_id_with_several_texts_is_in_no_group(spark):
+    x, y, z = "x" * 40 + "1", "y" * 40 + "2", "z" + "y" * 40
+    docs = [(1, x), (1, y), (2, x), (3, y), (4, z)]
+    got = {(r.doc_a, r.doc_b) for r in shared_span_pairs(spark.createDataFrame([(*d, "", "") for d in docs], DOCS), 40).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (3, 4)}
+
+
 def test_spans_across_slices_of_a_long_text(spark):
     rng = random.Random(9)
     say = lambda k: "".join(rng.choices("abcdefgh ", k=k))

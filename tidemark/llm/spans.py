@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, staged
@@ -251,23 +251,68 @@ def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id",
     return every.join(got, "doc", "left").select(F.col("doc").alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), (shared / F.nullif("n_chars", F.lit(0))).alias("share"))
 
 
+#: Above so many pairs between two groups of copies, the pairs are given through one member of each group.
+FULL_PAIRS = 1_000_000
+
+
+def copy_members(base: DataFrame) -> DataFrame:
+    """Members of the groups of equal texts with two records or more: doc, k (text digest), rep (smallest doc), n.
+
+    Texts are told by SHA-256, so only digests are moved. An id that stands for several texts is in no group.
+    """
+    keyed = base.select("doc", F.sha2("text", 256).alias("k"))
+    solo = staged(keyed.groupBy("doc").agg(F.min("k").alias("k"), F.max("k").alias("z")).where("k = z").select("doc", "k"))
+    groups = solo.groupBy("k").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return staged(solo.join(groups, "k"))
+
+
+def _with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of representatives and the groups of copies, spelled out into pairs of records."""
+    sizes = members.where("doc = rep").select("rep", "n")
+    side = lambda s: sizes.select(F.col("rep").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"))
+    p = pairs.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left").na.fill(1, ["n_a", "n_b"])
+    every = lambda s: members.select(F.col("rep").alias(f"doc_{s}"), F.col("doc").alias(f"m_{s}"))
+
+    def spelled(df: DataFrame, *sides: str) -> DataFrame:
+        for s in sides:
+            df = df.join(every(s), f"doc_{s}", "left").withColumn(f"doc_{s}", F.coalesce(f"m_{s}", f"doc_{s}"))
+        return df.select("doc_a", "doc_b")
+
+    small = F.col("n_a") * F.col("n_b") <= FULL_PAIRS
+    out = spelled(p.where(small), "a", "b").unionByName(spelled(p.where(~small), "a")).unionByName(spelled(p.where(~small), "b"))
+    few = members.where(F.col("n") * F.col("n") <= FULL_PAIRS).select("rep", "doc")
+    within = few.alias("x").join(few.alias("y"), "rep").where("x.doc < y.doc").select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
+    many = members.where((F.col("n") * F.col("n") > FULL_PAIRS) & (F.col("doc") != F.col("rep"))).select(F.col("rep").alias("doc_a"), F.col("doc").alias("doc_b"))
+    out = out.unionByName(within).unionByName(many)
+    return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).where("doc_a < doc_b").distinct()
+
+
 def shared_span_pairs(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of records (doc_a < doc_b) whose texts have a run of at least ``length`` characters in common.
 
     Characters are compared exactly, case, blanks and line ends included. Rows are distinct. Texts
     that are NULL or shorter than ``length`` are in no pair; a record is in no pair with itself,
-    repeated rows notwithstanding. Copies are pairs like any others, as the result is defined.
-    ``length`` must be at least 2.
+    repeated rows notwithstanding. ``length`` must be at least 2.
+
+    Equal texts are searched once, by the smallest id of their group, and spelled out afterwards: copies are
+    pairs like any others. Only where that would be more than FULL_PAIRS pairs between two groups (or
+    within one) are they given through the smallest id: every member of a group is paired with the
+    group's smallest id, and with that of a group it shares a span with. As equality is
+    transitive no link is lost, and a third of all rows may be copies of one text.
 
     Pairs are formed only among windows that are equal over the full length, so no pair is formed
     that is not a result; the windows themselves are compared, so equal hashes alone make no pair.
     """
-    starts, stretches = span_starts(docs, length, doc_id, text)
+    whole = _texts(docs, length, doc_id, text)
+    members = copy_members(whole)
+    others = members.where("doc <> rep").select("doc", "k")
+    base = whole.withColumn("k", F.sha2("text", 256)).join(others, ["doc", "k"], "left_anti").select("doc", "text")
+    starts, stretches = span_starts(base, length, "doc", "text")
     side = lambda s: starts.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "start", "before")])
     met = side("a").join(side("b"), "g").where("doc_a < doc_b and before_a <> before_b")
     pairs = staged(met.groupBy("doc_a", "doc_b", "g").agg(F.min("start_a").alias("start_a"), F.min("start_b").alias("start_b")))
 
-    def body(s: str) -> DataFrame:
+    def body(s: str) -> tuple[DataFrame, Column, Column]:
         b = stretches.select(F.col("doc").alias(f"doc_{s}"), F.col("first").alias(f"f_{s}"), F.col("body").alias(f"body_{s}"))
         at = F.col(f"start_{s}") - F.col(f"f_{s}")
         inside = (at >= 0) & (at + length <= F.length(f"body_{s}"))
@@ -276,4 +321,4 @@ def shared_span_pairs(docs: DataFrame, length: int = 450, doc_id: str = "doc_id"
     (ba, ia, ta), (bb, ib, tb) = body("a"), body("b")
     seen = pairs.join(ba, "doc_a").where(ia).withColumn("text_a", ta).drop("body_a")
     seen = seen.join(bb, "doc_b").where(ib & (F.col("text_a") == tb))
-    return seen.select("doc_a", "doc_b").distinct()
+    return _with_copies(seen.select("doc_a", "doc_b").distinct(), members)
