@@ -31,9 +31,10 @@ def asof_join(
 
     Of facts sharing key and time the one with the greatest ``tie_break`` (else the greatest
     ``columns``) stands. That choice is a partial aggregate before the shuffle, so a key holds one
-    fact per distinct time however often rows repeat. Facts with a NULL key or time are left out;
+    fact per distinct time however often rows repeat. Probes are reduced to distinct times too and joined
+    back by key and time, so the sorted line of a hot key is as long as its calendar, not as its rows. Facts with a NULL key or time are left out;
     probes with one match nothing: they are dropped (inner) or kept with NULLs (left). An empty
-    ``right`` gives no rows (inner) or NULLs. Without ``keys`` the line is global and the facts must be few
+    ``right`` gives no rows (inner) or NULLs. Left columns named like an added one are replaced. Without ``keys`` the line is global and the facts must be few
     (a rate series): they are ranked once and joined by range.
     """
     require_columns(left, [*keys, left_on], "left side")
@@ -53,17 +54,15 @@ def asof_join(
         spans = facts.select("__ts", until.alias("__to"), "__f")
         lo, hi = (F.col("__ts") < F.col(left_on), F.col("__to") >= F.col(left_on)) if strict else (F.col("__ts") <= F.col(left_on), F.col("__to") > F.col(left_on))
         return left.join(spans, lo & (hi | F.col("__to").isNull()), how).select(*left.columns, *out)
-    whole = F.struct(*[F.col(c) for c in left.columns])
-    complete = " and ".join(f"`{c}` is not null" for c in [*keys, left_on])
-    probes = left.where(complete).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_on).alias("__ts"), whole.alias("__p"))
+    probes = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_on).alias("__ts"))
+    probes = probes.where(" and ".join(f"{n} is not null" for n in [*names, "__ts"])).distinct()
     both = facts.withColumn("__side", F.lit(1 if strict else 0)).unionByName(probes.withColumn("__side", F.lit(0 if strict else 1)), allowMissingColumns=True)
     line = Window.partitionBy(*names).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__f", F.last("__f", ignorenulls=True).over(line)).where("__p is not null")
-    if how == "inner":
-        return carried.where("__f is not null").select("__p.*", *out)
-    types = dict(carried.select(*out).dtypes)
-    rest = left.where(f"not ({complete})").select("*", *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
-    return carried.select("__p.*", *out).unionByName(rest)
+    probe_side = F.lit(0 if strict else 1)
+    near = both.select(*names, "__ts", "__side", F.last("__f", ignorenulls=True).over(line).alias("__f")).where((F.col("__side") == probe_side) & F.col("__f").isNotNull())
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)]
+    own = [c for c in left.columns if c not in columns and c != as_of]
+    return left.join(near, [*on, F.col(left_on) == F.col("__ts")], how).select(*own, *out)
 
 
 def with_age_limit(joined: DataFrame, at: str, as_of: str, columns: list[str], max_days: int, status: str = "status") -> DataFrame:

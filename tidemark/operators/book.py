@@ -81,37 +81,44 @@ BOOK_SCHEMA = "scenario string, day date, rebalanced boolean, held int, invested
 
 
 def _fold(pdf: pd.DataFrame, p: BookParams) -> pd.DataFrame:
-    """Walk one scenario's dates."""
+    """Walk one scenario's dates. Names are numbered once; the book is one array over those numbers."""
     scenario, aum, scale = pdf["scenario"].iloc[0], float(pdf["aum"].iloc[0]), float(pdf["cost_scale"].iloc[0])
-    w = pd.Series(dtype=float)  # weights in force by item
-    out = []
-    for k, (day, g) in enumerate(pdf.sort_values(["day", "item"]).groupby("day", sort=True)):
-        g = g.set_index("item")
+    pdf = pdf.sort_values(["day", "item"], kind="stable")
+    names, code = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+    col = {c: pdf[c].to_numpy(float) for c in ("decile", "composite", "ret", "dollarvol", "marketcap")}
+    days = pdf["day"].to_numpy()
+    bounds = np.flatnonzero(np.concatenate([[True], days[1:] != days[:-1], [True]]))
+    w, out = np.zeros(len(names)), []
+    blank = np.full(len(names), np.nan)
+    for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        at = code[a:z]
+        here = {}
+        for c, v in col.items():
+            here[c] = blank.copy()
+            here[c][at] = v[a:z]
         turnover = cost = 0.0
         if k % p.every == 0:
-            kept = g.index[(g["decile"] >= p.hold) & g.index.isin(w.index)]
-            fresh = g[(g["decile"] >= p.buy) & ~g.index.isin(w.index)]
-            fresh = fresh.sort_values("composite", ascending=False, kind="stable").index[: max(0, p.target_n - len(kept))]
-            names = kept.append(fresh)
-            adv = g["dollarvol"].reindex(names).fillna(0.0).to_numpy()
-            caps = np.clip(p.adv_multiple * adv / aum, 0.0, p.max_weight)
-            new = pd.Series(fill_exact(caps) if len(names) else [], index=names, dtype=float)
-            every = w.index.union(new.index)
-            old, now = w.reindex(every).fillna(0.0), new.reindex(every).fillna(0.0)
-            delta = (now - old).abs()
+            held = w > 0
+            kept = held & (here["decile"] >= p.hold)
+            fresh = np.flatnonzero(~held & (here["decile"] >= p.buy))
+            room = max(0, p.target_n - int(kept.sum()))
+            best = fresh[np.argsort(-np.nan_to_num(here["composite"][fresh], nan=-np.inf), kind="stable")][:room]
+            chosen = np.concatenate([np.flatnonzero(kept), best])
+            new = np.zeros(len(names))
+            if len(chosen):
+                new[chosen] = fill_exact(np.clip(p.adv_multiple * np.nan_to_num(here["dollarvol"][chosen]) / aum, 0.0, p.max_weight))
+            delta, vol = np.abs(new - w), np.nan_to_num(here["dollarvol"])
+            part = np.divide(np.maximum(w, new) * aum, vol, out=np.zeros(len(names)), where=vol > 0)
+            cap = np.nan_to_num(here["marketcap"])
+            spread = np.where(cap < NANO_BELOW, HALF_SPREAD["nano"], np.where(cap < MICRO_BELOW, HALF_SPREAD["micro"], HALF_SPREAD["liquid"]))
+            present = np.zeros(len(names))
+            present[at] = 1.0  # a name that left the panel costs nothing here
             turnover = float(delta.sum())
-            here = g.reindex(every)
-            vol = here["dollarvol"].to_numpy(float)
-            part = np.where(np.nan_to_num(vol) > 0, np.maximum(old, now).to_numpy() * aum / np.where(np.nan_to_num(vol) > 0, vol, 1.0), 0.0)
-            mc = here["marketcap"].fillna(0.0).to_numpy(float)
-            spread = np.where(mc < NANO_BELOW, HALF_SPREAD["nano"], np.where(mc < MICRO_BELOW, HALF_SPREAD["micro"], HALF_SPREAD["liquid"]))
-            bps = (spread + IMPACT_BPS * np.sqrt(part) + COMMISSION_BPS) * scale
-            present = every.isin(g.index)  # a name that left the panel costs nothing here
-            cost = float((delta.to_numpy() * bps * present).sum() / 1e4)
-            w = new[new > 0]
-        ret = g["ret"].reindex(w.index)
-        gross = float((w * ret.fillna(0.0)).sum())
-        out.append((scenario, day, k % p.every == 0, len(w), float(w.sum()), gross, turnover, cost, gross - cost, int(ret.isna().sum())))
+            cost = float((delta * present * (spread + IMPACT_BPS * np.sqrt(part) + COMMISSION_BPS) * scale).sum() / 1e4)
+            w = new
+        on = w > 0
+        gross = float((w * np.nan_to_num(here["ret"])).sum())
+        out.append((scenario, days[a], k % p.every == 0, int(on.sum()), float(w.sum()), gross, turnover, cost, gross - cost, int(np.isnan(here["ret"][on]).sum())))
     return pd.DataFrame(out, columns=["scenario", "day", "rebalanced", "held", "invested", "gross", "turnover", "cost", "net", "missing"])
 
 

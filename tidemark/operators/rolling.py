@@ -68,14 +68,12 @@ def trailing_at(
 
     ``bars`` must hold one row per entity and ``day``. Bars and probes are laid on one line per
     entity; a running count numbers the bars and RANGE frames over that number skip the probes.
-    One shuffle. NULL values inside the rows are left out; the deviation needs two values, the
+    Probes are reduced to distinct days first and joined back, so an entity's line is as long as its
+    calendar. NULL values inside the rows are left out; the deviation needs two values, the
     median one, else NULL. Probes without an earlier bar get NULLs; probes with a NULL key or day
     are dropped. Adds ``trail_std``, ``trail_median``.
     """
-    packed = F.struct(*[F.col(c) for c in probes.columns if c not in ("trail_std", "trail_median")])
-    left = probes.where(F.col(entity).isNotNull() & F.col(probe_day).isNotNull()).select(
-        F.col(entity).cast("long").alias("__e"), F.col(probe_day).alias("__d"), packed.alias("__p")
-    )
+    left = probes.select(F.col(entity).cast("long").alias("__e"), F.col(probe_day).alias("__d")).where("__e is not null and __d is not null").distinct()
     right = bars.select(F.col(entity).cast("long").alias("__e"), F.col("day").alias("__d"), F.col(std_of).alias("__s"), median_of.alias("__m"), F.lit(1).alias("__n"))
     both = right.unionByName(left, allowMissingColumns=True)
     line = Window.partitionBy("__e").orderBy("__d", F.col("__n").asc_nulls_last())
@@ -86,7 +84,10 @@ def trailing_at(
             "trail_std": F.stddev_samp("__s").over(at.rangeBetween(-(std_rows - 1), 0)),
             "__list": F.collect_list("__m").over(at.rangeBetween(-(median_rows - 1), 0)),
         }
-    ).where("__p is not null")
+    ).where("__n is null")
     x, k = F.array_sort("__list"), F.size("__list")
     mid = (F.element_at(x, F.floor((k + 1) / 2).cast("int")) + F.element_at(x, F.floor(k / 2).cast("int") + 1)) / 2
-    return both.select("__p.*", "trail_std", F.when(k > 0, mid).alias("trail_median"))
+    figures = both.select("__e", "__d", "trail_std", F.when(k > 0, mid).alias("trail_median"))
+    own = [c for c in probes.columns if c not in ("trail_std", "trail_median")]
+    on = [F.col(entity).cast("long") == F.col("__e"), F.col(probe_day) == F.col("__d")]
+    return probes.select(*own).join(figures, on).drop("__e", "__d")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import trend
 from ..operators.asof import forward_fill_series
 from ..operators.integrity import bar_check
-from ..session import table
+from ..session import staged, table
 from .common import out, sql_out
 
 N_CLASSES = 5
@@ -113,24 +113,25 @@ def net_cash(spark, d):
 
 
 def borrow_cost(spark, d):
-    return out(trend.borrow_cost(_weights(spark, d), _rates(spark, d)))
+    return out(trend.borrow_cost(staged(_weights(spark, d)), _rates(spark, d)))
 
 
 def rate_ffill(spark, d):
     return out(forward_fill_series(_calendar(spark, d), _rate(spark, d), "day", "rate"))
 
 
-def _financing(spark, d):
+def _financing(spark, d, weights):
     legs = trend.rate_legs(forward_fill_series(_calendar(spark, d), _rate(spark, d), "day", "rate"))
-    return trend.financing_cost(trend.net_cash(_weights(spark, d)), legs)
+    return trend.financing_cost(trend.net_cash(weights), legs)
 
 
 def financing_cost(spark, d):
-    return out(_financing(spark, d))
+    return out(_financing(spark, d, staged(_weights(spark, d))))
 
 
 def scenario_grid(spark, d):
-    got = trend.scenario_grid(_book(spark, d), trend.borrow_cost(_weights(spark, d), _rates(spark, d)), _financing(spark, d), (1.0, 3.0), (0.0, 1.0), (2.0, 10.0))
+    w = staged(_weights(spark, d))  # one set of weights serves every scenario
+    got = trend.scenario_grid(trend.daily_book(w), trend.borrow_cost(w, _rates(spark, d)), _financing(spark, d, w), (1.0, 3.0), (0.0, 1.0), (2.0, 10.0))
     return out(trend.verdict(got).select("borrow_x", "financing_x", "bps", "days", "ann_return", "ann_vol", "sharpe", "max_drawdown", "passes"))
 
 
