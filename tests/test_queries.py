@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from tidemark.plans import panel_queries, pit_queries, text_queries, trend_queries
+from tidemark.plans import more_queries, panel_queries, pit_queries, text_queries, trend_queries
 
 from .conftest import SMALL
 from .oracle import compare
 
-BLOCKS = [pit_queries, panel_queries, trend_queries, text_queries]
+BLOCKS = [pit_queries, panel_queries, trend_queries, text_queries, more_queries]
 BOTH = [(n, b) for b in BLOCKS for n in b.QUERIES if n in b.SQL]
 ALONE = [(n, b) for b in BLOCKS for n in b.QUERIES if n not in b.SQL]
 

@@ -189,6 +189,33 @@ def leak_audit(panel: DataFrame, by: list[str], item: str, score: str, ret: str,
     ).withColumn("z", (F.col("real_ic") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
 
 
+def evaluate(panel: DataFrame, by: list[str], day: str, item: str, score: str, decile: str, ret: str, scenario: list[str] | None = None) -> dict[str, DataFrame]:
+    """The whole reading of a ranked panel, lazily: correlation series and summary, decile table and monotonicity,
+    the long-only curve under the cost grid and the long-short spread."""
+    ic = spearman_by(panel, by, score, ret)
+    table = decile_table(panel, by, decile, ret)
+    s = scenario or []
+    best = portfolio_periods(panel, s, day, item, ret, F.col(decile) == 10).where("gross is not null")
+    return {
+        "ic": ic,
+        "ic_summary": ic_summary(ic),
+        "deciles": table,
+        "monotonicity": monotonicity(table),
+        "long_only": curve_metrics(net_of_cost(best), [*s, "bps"], day, F.col("net")),
+        "long_short": long_short(panel, s, day, item, ret, decile),
+    }
+
+
+def decision(grid: DataFrame, candidate: str, baseline: str, margin: float = 0.20) -> DataFrame:
+    """Does the candidate beat the baseline by ``margin`` of Sharpe at every cost scale, on the mean over sizes?
+
+    ``grid`` has name, aum, cost_scale, sharpe. One row per cost scale: candidate, baseline, better.
+    """
+    pick = lambda n: F.avg(F.when(F.col("name") == n, F.col("sharpe")))
+    out = grid.groupBy("cost_scale").agg(pick(candidate).alias("candidate"), pick(baseline).alias("baseline"))
+    return out.withColumn("better", F.coalesce(F.col("candidate") - F.col("baseline") >= margin, F.lit(False)))
+
+
 def default_lags(n: int) -> int:
     return floor(n**0.25) + 1
 

@@ -76,6 +76,11 @@ def read_rate_csv(spark: SparkSession, path: str, series: str) -> DataFrame:
     return df
 
 
+def load_rate(spark: SparkSession, path: str) -> DataFrame:
+    """A saved rate series (date, rate); a missing file fails at once."""
+    return require_columns(spark.read.parquet(path), ["date", "rate"], path)
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV file under a schema, or with types from all of its rows; a row that does not fit fails."""
     reader = spark.read.option("header", "true").option("mode", "FAILFAST")
