@@ -47,12 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process, once no DataFrame made from them is needed any more."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _STAGED:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files every executor can reach, so a lost executor costs
     only the tasks it was running, and gives later joins a measured size. The files
-    go away when the JVM ends.
+    go away with drop_staged(), else when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -60,6 +71,7 @@ def staged(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
