@@ -31,11 +31,12 @@ def asof_join(
 
     Of facts sharing key and time the one with the greatest ``tie_break`` (else the greatest
     ``columns``) stands. That choice is a partial aggregate before the shuffle, so a key holds one
-    fact per distinct time however often rows repeat. Probes are reduced to distinct times too and joined
-    back by key and time, so the sorted line of a hot key is as long as its calendar, not as its rows. Facts with a NULL key or time are left out;
-    probes with one match nothing: they are dropped (inner) or kept with NULLs (left). An empty
-    ``right`` gives no rows (inner) or NULLs. Left columns named like an added one are replaced. Without ``keys`` the line is global and the facts must be few
-    (a rate series): they are ranked once and joined by range.
+    fact per distinct time however often rows repeat. Probes are reduced to distinct times too and
+    joined back by key and time, so the sorted line of a hot key is as long as its calendar, not as
+    its rows. Facts with a NULL key or time are left out; probes with one match nothing: they are
+    dropped (inner) or kept with NULLs (left). An empty ``right`` gives no rows (inner) or NULLs. Left
+    columns named like an added one are replaced. Without ``keys`` there is one line, of all distinct
+    times, for facts of one quantity such as a rate series.
     """
     require_columns(left, [*keys, left_on], "left side")
     require_columns(right, [*keys, right_on, *columns], "right side")
@@ -49,11 +50,6 @@ def asof_join(
         .agg(F.max_by("__f", "__o").alias("__f"))
     )
     out = [*[F.col(f"__f.c{i}").alias(c) for i, c in enumerate(columns)], *([F.col("__f.__t").alias(as_of)] if as_of else [])]
-    if not keys:
-        until = F.lead("__ts").over(Window.orderBy("__ts"))
-        spans = facts.select("__ts", until.alias("__to"), "__f")
-        lo, hi = (F.col("__ts") < F.col(left_on), F.col("__to") >= F.col(left_on)) if strict else (F.col("__ts") <= F.col(left_on), F.col("__to") > F.col(left_on))
-        return left.join(spans, lo & (hi | F.col("__to").isNull()), how).select(*left.columns, *out)
     probes = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_on).alias("__ts"))
     probes = probes.where(" and ".join(f"{n} is not null" for n in [*names, "__ts"])).distinct()
     both = facts.withColumn("__side", F.lit(1 if strict else 0)).unionByName(probes.withColumn("__side", F.lit(0 if strict else 1)), allowMissingColumns=True)
