@@ -246,6 +246,23 @@ _TONE = f"""
 tw as (select doc_id, text, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: upper(trim(w, '.,;:()[]"'''))) w from documents),
 tp as (select doc_id, text, len(list_filter(w, lambda x: x in ({_GOOD}))) p, len(list_filter(w, lambda x: x in ({_BAD}))) n from tw)"""
 
+
+
+def bar_check_sql(days: str, longs: str) -> str:
+    """The bar check over a CTE ``dy`` (ticker, day, price) that ``days`` defines."""
+    return sql_out(
+        f"with {days}, {_GAP}, {_RUN}, c as (select ticker, count(*) bars, sum((price is null or price <= 0)::int) bad_prices, sum(coalesce(gap > 5, false)::int) gaps, sum(coalesce(abs(price / nullif(q, 0) - 1) > 0.4, false)::int) big_moves from gg group by 1) select c.*, longest longest_stale, bad_prices > 0 hard_fail, gaps > 0 or big_moves > 0 or longest > 4 soft_fail from c join rl using (ticker)",
+        "",
+        longs,
+    )
+
+
+_NONE = ", ".join(f"cast(null as double) {c}" for c in ("rf_severity", "rf_specificity", "rf_litigation", "rf_change"))
+_STUB = sql_out(
+    f"with {_TURN}, w as (select *, {_W.format(c='text')} a, {_W.format(c='p')} b, length(trim(text, ' ')) > 0 ok from tu) select doc_id, case when ok then tanh((length(text) % 7 - 3) / 3.0) end mdna_tone, case when ok then tanh((length(text) % 7 - 3) / 3.0) end mdna_forward_tone, {_density('may')} mdna_uncertainty, case when ok then least(1.0, length(text) / 5000.0) end mdna_complexity, {_density('liquid')} mdna_liquidity_stress, case when ok and p is not null then 1.0 - len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) end mdna_change, {_NONE} from w",
+    "mdna_tone mdna_forward_tone mdna_uncertainty mdna_complexity mdna_liquidity_stress mdna_change rf_severity rf_specificity rf_litigation rf_change",
+)
+
 _F = "distinct filing_id, upper(trim(form)) f from filings"
 SQL = {
     "filing_qualify": f"select filing_id, regexp_replace(f, '/A$', '') base, coalesce(f like '%/A', false) amended, coalesce(f in {_QUAL}, false) qualifies from (select {_F})",
@@ -275,5 +292,6 @@ SQL = {
     "repeated_bars": "select ticker, cast(date as date) date, count(*) n from sep_prices group by all having count(*) > 1",
     "stale_runs": f"with {_DY}, {_RUN} select ticker, longest from rl",
     "gap_check": f"with {_DY}, {_GAP} select ticker, day, gap, row_number() over (partition by ticker order by gap desc, day) place from gg where gap is not null qualify place <= 3",
-    "bar_integrity": sql_out(f"with {_DY}, {_GAP}, {_RUN}, c as (select ticker, count(*) bars, sum((price is null or price <= 0)::int) bad_prices, sum(coalesce(gap > 5, false)::int) gaps, sum(coalesce(abs(price / nullif(q, 0) - 1) > 0.4, false)::int) big_moves from gg group by 1) select c.*, longest longest_stale, bad_prices > 0 hard_fail, gaps > 0 or big_moves > 0 or longest > 4 soft_fail from c join rl using (ticker)", "", "bad_prices gaps big_moves"),
+    "bar_integrity": bar_check_sql(_DY, "bad_prices gaps big_moves"),
+    "stub_features": _STUB,
 }

@@ -14,6 +14,7 @@ from ..operators.asof import forward_fill_series
 from ..operators.integrity import bar_check
 from ..session import staged, table
 from .common import out, sql_out
+from .text_queries import bar_check_sql
 
 N_CLASSES = 5
 
@@ -175,24 +176,29 @@ def _weekly(src: str, dst: str, extra: str = "ret, vol") -> str:
   left join {dst}_k k on k.ticker = s.ticker and k.fri = s.day - cast((isodow(s.day) + 2) % 7 as int))"""
 
 
-def _lag(src: str, dst: str) -> str:
-    return f"{dst} as (select * replace (coalesce(lag(w) over (partition by ticker order by day), 0) as w) from {src})"
+def _lag(src: str, dst: str, k: int = 1) -> str:
+    return f"{dst} as (select * replace (coalesce(lag(w, {k}) over (partition by ticker order by day), 0) as w) from {src})"
 
 
-_EXA = f"""{_PAR},
+def _ex_ante(k: int = 1) -> str:
+    return f"""{_PAR},
 xr as (select *, sqrt(sum(pow(w * vol, 2)) over (partition by day)) risk from par),
 xl as (select ticker, day, ret, vol, w * case when risk > 0 then least(0.15 / risk, 2.5) else 0 end w from xr),
-{_weekly("xl", "xh")}, {_lag("xh", "xw")}"""
+{_weekly("xl", "xh")}, {_lag("xh", "xw", k)}"""
+
+
+_EXA = _ex_ante()
 _REAL = f"""{_PAR}, {_weekly("par", "rh")}, {_lag("rh", "rw")},
 bk as (select day, sum(coalesce(w * ret, 0)) r from rw group by day),
 bv as (select day, case when count(r) over w = 60 then stddev_samp(r) over w * sqrt(252) end v from bk window w as (order by day rows 59 preceding)),
 bl as (select day, lag(v) over (order by day) v from bv),
 rz as (select rw.ticker, rw.day, rw.w * case when v > 0 then least(0.15 / v, 2.5) else 0 end w from rw join bl on bl.day = rw.day)"""
-_BOOK = f"""{_EXA},
+_DAILY = """
 mv as (select *, abs(w - coalesce(lag(w) over (partition by ticker order by day), 0)) m from xw),
 b0 as (select day, sum(w * coalesce(ret, 0)) gross, sum(m) turnover, sum(abs(w)) exposure from mv group by day),
 b1 as (select *, turnover * 2 / 1e4 cost, gross - turnover * 2 / 1e4 net from b0),
 bo as (select *, product(1 + net) over (order by day rows unbounded preceding) equity from b1)"""
+_BOOK = f"{_EXA},{_DAILY}"
 _CASH = f"""{_EXA},
 ca as (select day, sum(greatest(w, 0)) long, sum(greatest(-w, 0)) short from xw group by day),
 cash as (select *, long + short gross, 1 + short - long cash from ca)"""
@@ -241,4 +247,6 @@ SQL = {
         "borrow_x financing_x bps ann_return ann_vol sharpe max_drawdown",
     ),
     "exposure_summary": sql_out(f"with {_BOOK} select avg(exposure) mean, quantile_cont(exposure, 0.95) p95, max(exposure) max, avg((exposure > 0.01)::int) share_over from b1", "mean p95 max share_over"),
+    "lag_leak_check": sql_out(" union all ".join(f"(with {_ex_ante(k)},{_DAILY}, {_metrics('b1')} select {k} lag, sharpe from met)" for k in (0, 1, 2)), "sharpe", "lag"),
+    "etf_integrity": bar_check_sql(f"{_RAW}, dy as (select ticker, day, price from raw)", "ticker bad_prices gaps big_moves"),
 }
