@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.scalars import acceptance_date, cik_from_url, clip, number, present
 from tidemark.operators import audit, book, factors, filings, harness, integrity, panel, trend
+from tidemark.plans import text_queries
 from tidemark.schemas import MissingColumns
 
 from .conftest import day
@@ -260,6 +261,27 @@ def test_sections_of_a_page_with_contents():
     assert tx.sections_of("Item 7. Management's short\nItem 8.", "10-K", False)["mdna"] is None
 
 
+QUARTER = f"Item 1A. Risk Factors\n{LONG}quarter risk\nItem 2. Management's Discussion\n{LONG}quarter view\nItem 3. Market risk\nno"
+ANNUAL = f"Item 1A. Risk Factors\n{LONG}annual risk\nItem 1B.\nno\nItem 7. Management's Discussion\n{LONG}annual view\nItem 8. Tables\nno"
+
+
+@pytest.fixture(scope="module")
+def both_forms(spark, tmp_path_factory):
+    """A documents table with 10-Qs and 10-Ks under several spellings of their sources."""
+    at = tmp_path_factory.mktemp("forms")
+    sources = [("filing_10q", QUARTER), ("filing-10q", QUARTER), ("Filing_10Q", QUARTER), (" FILING_10-Q", QUARTER), ("filing_10k", ANNUAL), ("filing-10k", ANNUAL), (None, ANNUAL), ("press_wire", "No items here."), ("filing_10k", None)]
+    rows = [(k, text, source, "7", day(k)) for k, (source, text) in enumerate(sources)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, cik string, published date").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+def test_sections_follow_the_form_of_the_source(spark, both_forms):
+    got = {r.doc_id: ((r.mdna or "")[-12:], (r.risk_factors or "")[-12:]) for r in text_queries.section_extract(spark, both_forms).collect()}
+    assert all(got[k] == ("quarter view", "quarter risk") for k in range(4))
+    assert all(got[k][0].endswith("annual view") and got[k][1].endswith("annual risk") for k in (4, 5, 6))
+    assert got[7] == got[8] == ("", "")
+
+
 def test_masking_and_truncation(spark):
     text = "Acme Widgets Inc. (ACM, CIK 0000123) of Acme said on January 5, 2019 and 1/2/2018 that 2017 sales of $45 were firm. acm stays."
     got = tx.mask(text, "Acme Widgets Inc", "ACM", "123")

@@ -105,9 +105,14 @@ def html_to_text(spark, d):
     return out(_docs(spark, d).select("doc_id", tx.html_to_text("text").alias("plain")))
 
 
+def _extracted(spark, d, *keep: str):
+    """Documents with the sections that the form of their source holds."""
+    found = tx.extract_sections("text", tx.form_of_source("source"), F.lit(True))
+    return _docs(spark, d).select("doc_id", *keep, found.alias("s")).select("doc_id", *keep, "s.*")
+
+
 def section_extract(spark, d):
-    form = F.when(F.col("source").like("%10_q%"), "10-Q").otherwise("10-K")
-    return out(_docs(spark, d).select("doc_id", tx.extract_sections("text", form, F.lit(True)).alias("s")).select("doc_id", "s.*"))
+    return out(_extracted(spark, d))
 
 
 def stub_features(spark, d):
