@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from datetime import date
 from math import lgamma
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.scalars import acceptance_date, cik_from_url, clip, number, present
 from tidemark.operators import audit, book, factors, filings, harness, integrity, panel, trend
-from tidemark.plans import text_queries
+from tidemark.plans import more_queries, text_queries
 from tidemark.schemas import MissingColumns
 
 from .conftest import day
@@ -282,6 +283,14 @@ def test_sections_follow_the_form_of_the_source(spark, both_forms):
     assert got[7] == got[8] == ("", "")
 
 
+def test_found_sections_in_funnel_pivot_and_prompts(spark, both_forms):
+    assert tuple(more_queries.section_funnel(spark, both_forms).first()) == (9, 7, 7, 2)
+    found = {r.doc_id: (r.mdna, r.risk_factors) for r in text_queries.section_extract(spark, both_forms).collect() if r.mdna or r.risk_factors}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert {r.doc_id: (r.mdna, r.risk_factors) for r in more_queries.section_pivot(spark, both_forms).collect()} == {k: (md5(m), md5(r)) for k, (m, r) in found.items()}
+    assert {r.doc_id: r.digest for r in more_queries.section_prompts(spark, both_forms).collect()} == {k: md5(f"MD&A: {m}\nRisk factors: {r}") for k, (m, r) in found.items()}
+
+
 def test_masking_and_truncation(spark):
     text = "Acme Widgets Inc. (ACM, CIK 0000123) of Acme said on January 5, 2019 and 1/2/2018 that 2017 sales of $45 were firm. acm stays."
     got = tx.mask(text, "Acme Widgets Inc", "ACM", "123")

@@ -14,7 +14,7 @@ from ..operators import factors, filings, filters, harness, trend
 from ..operators.book import buffered_book, book_diagnostics
 from ..session import table
 from ..streaming.streams import weekly_last
-from . import panel_queries, trend_queries
+from . import panel_queries, text_queries, trend_queries
 from .common import out, sql_out
 from .pit_queries import sql_day
 
@@ -71,17 +71,32 @@ def _sections(spark, d):
     return table(spark, d, "documents").select("doc_id", kind.alias("section"), "text")
 
 
+def _found_sections(spark, d):
+    """The sections found in each document, a row each, NULL where it lacks one."""
+    both = [F.struct(F.lit(n).alias("section"), F.col(n).alias("text")) for n in ("mdna", "risk_factors")]
+    return text_queries._extracted(spark, d).select("doc_id", F.explode(F.array(*both)).alias("x")).select("doc_id", "x.*")
+
+
 def corpus_funnel(spark, d):
     return out(filters.corpus_funnel(_sections(spark, d), "doc_id", "section", "text", ("mdna", "risk_factors")))
 
 
+def section_funnel(spark, d):
+    return out(filters.corpus_funnel(_found_sections(spark, d), "doc_id", "section", "text", ("mdna", "risk_factors")))
+
+
 def pivot_sections(spark, d):
     got = filings.pivot_sections(_sections(spark, d), ["doc_id"])
     return out(got.select("doc_id", F.md5("mdna").alias("mdna"), F.md5("risk_factors").alias("risk_factors")))
 
 
+def section_pivot(spark, d):
+    got = filings.pivot_sections(_found_sections(spark, d), ["doc_id"])
+    return out(got.select("doc_id", F.md5("mdna").alias("mdna"), F.md5("risk_factors").alias("risk_factors")))
+
+
 def section_prompts(spark, d):
-    got = filings.pivot_sections(_sections(spark, d), ["doc_id"])
+    got = filings.pivot_sections(_found_sections(spark, d), ["doc_id"])
     prompt = tx.section_prompt({"MD&A": F.col("mdna"), "Risk factors": F.col("risk_factors")})
     return out(got.select("doc_id", F.md5(prompt).alias("digest"), tx.content_key(prompt, F.lit("v1")).alias("key")))
 
@@ -136,7 +151,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {f.__name__: f for f in (
     span_overlap, known_by_span_end, pilot_sample, largest_documents, filing_summary, status_value_counts, dimension_counts, report_lag, identity_master,
-    corpus_funnel, pivot_sections, section_prompts, design_matrix, first_active_day, break_even_cost, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
+    corpus_funnel, section_funnel, pivot_sections, section_pivot, section_prompts, design_matrix, first_active_day, break_even_cost, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
 )}
 
 _SEC = "s as (select doc_id, case when source like '%10_k%' then 'mdna' else 'risk_factors' end section, text from documents)"
