@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.scalars import acceptance_date, cik_from_url, clip, number, present
 from tidemark.operators import audit, book, factors, filings, harness, integrity, panel, trend
-from tidemark.plans import more_queries, text_queries
+from tidemark.plans import more_queries, panel_queries, text_queries
 from tidemark.schemas import MissingColumns
 
 from .conftest import day
@@ -113,6 +113,18 @@ def test_planted_signal_cheat_and_null(spark):
     assert a.cheat_ic == pytest.approx(1.0) and a.real_ic > 0.2 and abs(a.null_mean) < 0.05 and a.z > 4
 
 
+def test_registered_null_draws_in_full(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, day(30 * d), i, float(s), 5.0, float(0.3 * s + rng.normal()), "ok") for d in range(3) for i, s in enumerate(rng.normal(size=30))]
+    p = spark.createDataFrame(rows, "scenario_id int, day date, permaticker int, composite double, decile double, ret double, fwd_status string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(panel_queries, "_rank_panel", lambda spark, d: p)
+        null = panel_queries.permutation_null(spark, "").toPandas()
+        a = panel_queries.leak_audit(spark, "").first()
+    assert sorted(null["rep"]) == list(range(25)) and null["mean_ic"].nunique() == 25
+    assert (a.null_mean, a.null_sd) == (pytest.approx(null["mean_ic"].mean(), abs=2e-6), pytest.approx(null["mean_ic"].std(), abs=2e-6))
+
+
 def test_label_rules(spark):
     t = day(0)
     rows = [(1, t, date(2021, 1, 1), None, 10.0, None, None), (2, t, date(2021, 1, 1), day(30), 10.0, 11.0, day(29)), (3, t, day(20), day(30), 10.0, 4.0, day(20)), (4, t, date(2021, 1, 1), day(30), 10.0, 10.0, t), (5, t, t, day(30), 10.0, 10.0, t)]

@@ -197,11 +197,11 @@ def cheat_control(spark, d):
 
 
 def permutation_null(spark, d):
-    return out(harness.permutation_null(_rank_panel(spark, d), KEYS, "permaticker", "composite", "ret", reps=5))
+    return out(harness.permutation_null(_rank_panel(spark, d), KEYS, "permaticker", "composite", "ret"))
 
 
 def leak_audit(spark, d):
-    return out(harness.leak_audit(_rank_panel(spark, d), KEYS, "permaticker", "composite", "ret", reps=5))
+    return out(harness.leak_audit(_rank_panel(spark, d), KEYS, "permaticker", "composite", "ret"))
 
 
 def ew_universe_benchmark(spark, d):
