@@ -303,6 +303,13 @@ def test_found_sections_in_funnel_pivot_and_prompts(spark, both_forms):
     assert {r.doc_id: r.digest for r in more_queries.section_prompts(spark, both_forms).collect()} == {k: md5(f"MD&A: {m}\nRisk factors: {r}") for k, (m, r) in found.items()}
 
 
+def test_features_of_found_sections(spark, both_forms):
+    got = {r.doc_id: r for r in text_queries.section_features(spark, both_forms).collect()}
+    assert got[0].rf_severity is not None and got[0].rf_specificity == 1.0 and got[0].rf_litigation == 0.0 and got[0].rf_change is None
+    assert got[1].rf_change == got[1].mdna_change == 0.0 and 0 < got[4].rf_change < 1 and got[6].mdna_change == 0.0
+    assert got[7].mdna_tone is None and got[7].rf_severity is None
+
+
 def test_masking_and_truncation(spark):
     text = "Acme Widgets Inc. (ACM, CIK 0000123) of Acme said on January 5, 2019 and 1/2/2018 that 2017 sales of $45 were firm. acm stays."
     got = tx.mask(text, "Acme Widgets Inc", "ACM", "123")

@@ -120,6 +120,13 @@ def stub_features(spark, d):
     return out(filings.stub_features(rows).select("doc_id", *tx.FEATURES))
 
 
+def section_features(spark, d):
+    """The ten measures over the sections that each document really holds, and the company's sections before."""
+    rows = _extracted(spark, d, "cik", "published").where("cik is not null and published is not null")
+    turns = filings.with_prior(rows, "cik", ["published", "doc_id"], ["mdna", "risk_factors"])
+    return out(filings.stub_features(turns).select("doc_id", *tx.FEATURES))
+
+
 def feature_clamp(spark, d):
     return out(table(spark, d, "panel").select("scenario_id", "date", "permaticker", tx.clamp(F.col("composite").cast("string"), -0.5, 0.5).alias("clamped")).distinct())
 
@@ -205,7 +212,7 @@ def bar_integrity(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     filing_qualify, filing_dedupe, amendment_count, cik_canon, acceptance_days, cik_window_attribution, attribution_stats, truncate_sections, prior_section_text,
-    jaccard_change, stub_density, lexicon_tone, mask_identity, html_to_text, section_extract, stub_features, feature_clamp, feature_normalize, coverage_funnel,
+    jaccard_change, stub_density, lexicon_tone, mask_identity, html_to_text, section_extract, stub_features, section_features, feature_clamp, feature_normalize, coverage_funnel,
     missing_report, masked_probe, masked_probe_verdict, identity_sensitivity, within_date_ic, lexicon_agreement, extractor_agreement, integrity_summary,
     key_multiplicity, present_coverage, repeated_bars, stale_runs, gap_check, bar_integrity,
 )}
