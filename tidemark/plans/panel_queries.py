@@ -14,7 +14,7 @@ from ..session import staged, table
 from .common import out, sql_out
 from .pit_queries import SQL_BARS, SQL_OWNERS, STALE_DAYS, sql_day
 
-# Look-backs shortened to the length of the test histories; the operators' defaults are the design's.
+# Look-backs shortened, as in the SQL below; the operators' defaults are the design's.
 SHORT = panel.PanelParams(skip=5, lookback=60, vol_rows=60, dollar_rows=20, horizon=21)
 
 
