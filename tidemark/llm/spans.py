@@ -227,7 +227,7 @@ def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id",
     """How much of each record lies in spans of ``length`` or more characters that also stand in another record.
 
     Columns: ``doc_id``, n_chars, shared_chars, share. One row per record; NULL and empty texts have 0
-    characters and a NULL share. A span is told by two 64-bit hashes. Rows of one id count as one
+    characters and a NULL share. A span is told by two hashes folded into 64 bits. Rows of one id count as one
     record of their longest text.
 
     A common span is covered by the windows that begin at its anchors, the one at its beginning and the
