@@ -22,7 +22,7 @@ def canon(rows: list[tuple]) -> list[tuple]:
         if v is None:
             return "~"
         if isinstance(v, float):
-            return f"{round(v, 6) + 0.0:.6f}" if v == v else "nan"
+            return repr(v + 0.0)  # exactly: the queries themselves say to how many bits
         if hasattr(v, "isoformat"):
             return v.isoformat()[:19].replace("T00:00:00", "")
         return str(v)
