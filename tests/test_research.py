@@ -186,9 +186,22 @@ def test_costs_by_hand(spark):
     assert capped[("A", day(0))] == pytest.approx(0.75) and capped[("A", day(1))] == 0.5
     with pytest.raises(ValueError):
         trend.cap_gross(w, 0)
-    b = trend.daily_book(w)
-    assert trend.break_even(b, "turnover") == pytest.approx(0.005 / 3.5)
     assert trend.first_active(w).first().day == day(0)
+    total = {r.day: r.extra for r in trend.total_extra_cost(w, rates, 2.0, legs).collect()}
+    assert total[day(0)] == pytest.approx(0.5 * 50 * 2 / 1e4 / 252) and total[day(1)] == 0.0
+    assert {r.extra for r in trend.total_extra_cost(w).collect()} == {0.0}
+
+
+def test_break_even_is_where_the_ratio_meets_the_bar(spark):
+    rng = np.random.default_rng(5)
+    net, unit = rng.normal(0.002, 0.01, 400), rng.uniform(0, 1 / 252, 400)
+    df = spark.createDataFrame([(day(i), 1.0, float(a), float(b)) for i, (a, b) in enumerate(zip(net, unit))], "day date, exposure double, net double, unit double")
+    ratio = lambda x: (net - x * unit).mean() / (net - x * unit).std(ddof=1) * np.sqrt(252)
+    got = {r.bar: r.cost for r in trend.break_even(df, 5.0, (0.4, 1.0, 50.0, -90.0)).collect()}
+    assert ratio(got[0.4]) == pytest.approx(0.4) and ratio(got[1.0]) == pytest.approx(1.0)
+    assert got[50.0] == 0.0 and got[-90.0] == float("inf")
+    assert trend.break_even(df.withColumn("net", F.lit(0.0)).withColumn("unit", F.lit(0.0)), 1.0).first().cost is None
+    assert trend.break_even(df.limit(0), 1.0).first().cost is None
 
 
 @pytest.mark.parametrize(("vols", "want"), [([5e6] * 50, 0.02), ([5e6] * 20, 0.03), ([2000.0] * 20, 0.02), ([1e12], 0.03)])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blend, clip, ratio
+from ..session import staged
 from .asof import exact_cover
 
 # Fixed values of the research design.
@@ -17,12 +18,13 @@ LOOKBACKS = (63, 126, 252)
 VOL_WINDOW, VOL_FLOOR, YEAR = 60, 0.05, 252.0
 TARGET_VOL, LEVERAGE_CAP = 0.15, 2.5
 LEG_VOL, LEG_MAX = 0.10, 1.5
+TURNOVER_BPS, PASS_BAR, HEADLINE_RATE = 2.0, 0.40, 0.04
+
 
 def by_ticker():
     return Window.partitionBy("ticker").orderBy("day")
 
 
-
 def dense_grid(prices: DataFrame) -> DataFrame:
     """Every calendar day for every ticker; a missing bar has a NULL price.
 
@@ -56,16 +58,17 @@ def weekly_hold(df: DataFrame, value: str) -> DataFrame:
     """Daily weights held from the newest finished week: day d uses the last row of the week ending on the Friday at or before d.
 
     Weeks are labelled by their Friday. An empty week holds nothing (0), it does not carry an older one.
+    A week's last row is the one before the label changes, so one line per ticker tells it and nothing is joined.
     """
+    line = by_ticker()
     label = F.next_day(F.date_sub("day", 1), "FRI")
-    week = df.groupBy("ticker", label.alias("__fri")).agg(F.max_by(value, "day").alias(f"__{value}"))
-    newest = F.date_sub(F.next_day("day", "FRI"), 7)
-    return (
-        df.withColumn("__at", newest)
-        .join(week.withColumnsRenamed({"__fri": "__at"}), ["ticker", "__at"], "left")
-        .withColumn(value, F.coalesce(F.col(f"__{value}"), F.lit(0.0)))
-        .drop("__at", f"__{value}")
-    )
+    ends = F.coalesce(F.lead("__fri").over(line) != F.col("__fri"), F.lit(True))
+    df = df.withColumn("__fri", label).withColumn("__end", F.when(ends, F.struct(F.col("__fri").alias("fri"), F.col(value).alias("v"))))
+    past = F.last("__end", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    newest = F.when(F.col("__past.fri") == F.date_sub("__fri", 7), F.col("__past.v"))
+    # on a Friday the week ends with the row itself
+    held = F.when(F.col("day") == F.col("__fri"), F.col(value)).otherwise(newest)
+    return df.withColumn("__past", past).withColumn(value, F.coalesce(held, F.lit(0.0))).drop("__fri", "__end", "__past")
 
 
 def lagged(df: DataFrame, value: str, lag: int) -> DataFrame:
@@ -159,7 +162,7 @@ def rate_legs(rate: DataFrame, debit_spread: float = 0.01, credit_spread: float
     return rate.select("day", (F.col("rate") + debit_spread).alias("debit"), F.greatest(F.col("rate") - credit_spread, F.lit(0.0)).alias("credit"))
 
 
-def daily_book(weights: DataFrame, extra: DataFrame | None = None, cost_bps: float = 2.0, scenario: list[str] | None = None) -> DataFrame:
+def daily_book(weights: DataFrame, extra: DataFrame | None = None, cost_bps: float = TURNOVER_BPS, scenario: list[str] | None = None) -> DataFrame:
     """Per day gross return, turnover, cost, net, equity, exposure. ``extra`` (day, extra) adds daily costs.
 
     Weights are those in force on the day (already lagged). The first day turns over its whole exposure.
@@ -181,28 +184,41 @@ def daily_book(weights: DataFrame, extra: DataFrame | None = None, cost_bps: flo
     return out.withColumn("equity", F.product(1 + F.col("net")).over(run)).select(*s, "day", "gross", "turnover", "exposure", "cost", "net", "equity")
 
 
-def book_metrics(book: DataFrame, scenario: list[str] | None = None, year_rows: int = 252) -> DataFrame:
-    """Metrics from the first active day on, per scenario: days, ann_return, ann_vol, sharpe, max_drawdown, turnover, exposure, rolling_positive."""
-    s = scenario or []
-    part = Window.partitionBy(*s)
+def live_days(book: DataFrame, scenario: list[str] | None = None) -> DataFrame:
+    """The book from its first day with exposure on (all of it, if there is none)."""
+    part = Window.partitionBy(*(scenario or []))
     start = F.coalesce(F.min(F.when(F.col("exposure") > 0, F.col("day"))).over(part), F.min("day").over(part))
-    live = book.withColumn("__from", start).where("day >= __from")
-    line = part.orderBy("day")
-    run, year = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(-(year_rows - 1), 0)
-    live = live.withColumn("__eq", F.product(1 + F.col("net")).over(run))
+    return book.withColumn("__from", start).where("day >= __from").drop("__from")
+
+
+def rolling_sharpe(book: DataFrame, scenario: list[str] | None = None, year_rows: int = 252) -> DataFrame:
+    """+ rolling_sharpe: annualised, over the last ``year_rows`` live days; NULL before that and where nothing varies."""
+    year = Window.partitionBy(*(scenario or [])).orderBy("day").rowsBetween(-(year_rows - 1), 0)
     sd = F.stddev_samp("net").over(year)
-    rolling = F.when((F.count("net").over(year) == year_rows) & (sd > 0), F.avg("net").over(year) / F.nullif(sd, F.lit(0.0)))
-    live = live.withColumns({"__dd": F.col("__eq") / F.nullif(F.max("__eq").over(run), F.lit(0.0)) - 1, "__roll": rolling})
-    mean, dev = F.avg("net"), F.stddev_samp("net")
+    value = F.when((F.count("net").over(year) == year_rows) & (sd > 0), F.avg("net").over(year) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(YEAR)))
+    return live_days(book, scenario).withColumn("rolling_sharpe", value)
+
+
+def book_metrics(book: DataFrame, scenario: list[str] | None = None, year_rows: int = 252) -> DataFrame:
+    """Metrics from the first active day on, per scenario: days, years, ann_return, ann_vol, sharpe, gross_sharpe, max_drawdown,
+    turnover, exposure, rolling_positive."""
+    s = scenario or []
+    run = Window.partitionBy(*s).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    live = rolling_sharpe(book, s, year_rows).withColumn("__eq", F.product(1 + F.col("net")).over(run))
+    live = live.withColumn("__dd", F.col("__eq") / F.nullif(F.max("__eq").over(run), F.lit(0.0)) - 1)
+    mean, dev, n = F.avg("net"), F.stddev_samp("net"), F.count(F.lit(1))
+    yearly = lambda m, d: m / F.nullif(d, F.lit(0.0)) * F.sqrt(F.lit(YEAR))
     return live.groupBy(*s).agg(
-        F.count(F.lit(1)).alias("days"),
+        n.alias("days"),
+        F.round(n / YEAR, 1).alias("years"),
         (mean * YEAR).alias("ann_return"),
         (dev * F.sqrt(F.lit(YEAR))).alias("ann_vol"),
-        (mean / F.nullif(dev, F.lit(0.0)) * F.sqrt(F.lit(YEAR))).alias("sharpe"),
+        yearly(mean, dev).alias("sharpe"),
+        yearly(F.avg("gross"), F.stddev_samp("gross")).alias("gross_sharpe"),
         F.min("__dd").alias("max_drawdown"),
         F.avg("turnover").alias("turnover"),
         F.avg("exposure").alias("exposure"),
-        F.avg(F.when(F.col("__roll").isNotNull(), (F.col("__roll") > 0).cast("double"))).alias("rolling_positive"),
+        F.avg(F.when(F.col("rolling_sharpe").isNotNull(), (F.col("rolling_sharpe") > 0).cast("double"))).alias("rolling_positive"),
     )
 
 
@@ -215,6 +231,16 @@ def exposure_summary(book: DataFrame, over: float = 1.0) -> DataFrame:
     return book.agg(F.avg(e).alias("mean"), F.percentile(e, F.lit(0.95)).alias("p95"), F.max(e).alias("max"), F.avg((e > over).cast("double")).alias("share_over"))
 
 
+def total_extra_cost(weights: DataFrame, rates: DataFrame | None = None, stress: float = 1.0, legs: DataFrame | None = None) -> DataFrame:
+    """Borrow and financing together: day, extra. Without ``rates`` there is no borrow cost, without ``legs`` no financing."""
+    parts = [borrow_cost(weights, rates, stress).withColumnRenamed("borrow", "extra")] if rates is not None else []
+    parts += [financing_cost(net_cash(weights), legs).withColumnRenamed("financing", "extra")] if legs is not None else []
+    both = weights.select("day", F.lit(0.0).alias("extra")).distinct()
+    for p in parts:
+        both = both.unionByName(p)
+    return both.groupBy("day").agg(F.sum("extra").alias("extra"))
+
+
 def scenario_grid(book: DataFrame, borrow: DataFrame, financing: DataFrame, borrow_x: tuple[float, ...], financing_x: tuple[float, ...], bps: tuple[float, ...]) -> DataFrame:
     """Metrics under every combination of cost settings. Net return is affine in them, so the daily basis is made once."""
     basis = book.select("day", "gross", "turnover", "exposure").join(borrow, "day", "left").join(financing, "day", "left")
@@ -225,21 +251,46 @@ def scenario_grid(book: DataFrame, borrow: DataFrame, financing: DataFrame, borr
     return book_metrics(runs.withColumn("net", net), ["borrow_x", "financing_x", "bps"])
 
 
-def break_even(book: DataFrame, cost: str, steps: int = 40, high: float = 1000.0) -> float:
-    """The multiple of daily ``cost`` at which the mean net return is nil: 0 if already lost, inf if never below ``high``.
+def break_even(book: DataFrame, high: float, bars: tuple[float, ...] = (PASS_BAR,), steps: int = 60) -> DataFrame:
+    """The price of a cost at which the annualised Sharpe ratio falls to a bar: bar, cost.
 
-    Only two sums leave the cluster; the bisection needs no more.
+    ``book`` has day, exposure, ``net`` before that cost and ``unit``, the day's cost at a price of 1. The ratio at
+    a price x needs five moments of the two series, so one aggregate over the live days serves every bar; the bracket
+    [0, ``high``] is then halved ``steps`` times. 0 where the ratio is below the bar without the cost,
+    infinite where it is still above it at ``high``; NULL where nothing varies.
     """
-    g, c = book.agg(F.sum("gross"), F.sum(cost)).first()
-    if g is None or g <= 0:
-        return 0.0
-    if not c or g - high * c > 0:
-        return float("inf")
-    low = 0.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if g - mid * c > 0 else (low, mid)
-    return (low + high) / 2
+    m = live_days(book).agg(
+        F.avg("net").alias("a"), F.avg("unit").alias("b"), F.var_samp("net").alias("aa"), F.var_samp("unit").alias("bb"), F.covar_samp("net", "unit").alias("ab")
+    )
+    m = m.withColumn("bar", F.explode(F.array(*[F.lit(float(b)) for b in bars])))
+
+    def above(x: Column) -> Column:
+        var = F.col("aa") - 2.0 * x * F.col("ab") + x * x * F.col("bb")
+        return (F.col("a") - x * F.col("b")) * F.sqrt(F.lit(YEAR)) / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0)) - F.col("bar")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        up = above(mid) > 0
+        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+
+    zero, top = F.lit(0.0), F.lit(float(high))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(zero.alias("lo"), top.alias("hi")), halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    cost = F.when(above(zero) < 0, zero).when(above(top) > 0, F.lit(float("inf"))).when(above(zero).isNotNull(), found)
+    return m.select("bar", cost.alias("cost"))
+
+
+def financing_break_even(book: DataFrame, borrow: DataFrame, cash: DataFrame, bars: tuple[float, ...] = (PASS_BAR,), bps: float = TURNOVER_BPS) -> DataFrame:
+    """Flat rate on borrowed cash at which the book, turnover and borrow paid, falls to the bar (idle cash earns nothing)."""
+    df = book.join(borrow, "day").join(cash.select("day", "cash"), "day")
+    net = F.col("gross") - F.col("turnover") * bps / 1e4 - F.col("borrow")
+    return break_even(df.select("day", "exposure", net.alias("net"), (F.greatest(-F.col("cash"), F.lit(0.0)) / YEAR).alias("unit")), 1.0, bars)
+
+
+def turnover_break_even(book: DataFrame, borrow: DataFrame, cash: DataFrame, bars: tuple[float, ...] = (PASS_BAR,), rate: float = HEADLINE_RATE) -> DataFrame:
+    """Basis points a side at which the book, borrow and a flat financing rate paid, falls to the bar."""
+    df = book.join(borrow, "day").join(cash.select("day", "cash"), "day")
+    net = F.col("gross") - F.col("borrow") - F.greatest(-F.col("cash"), F.lit(0.0)) * rate / YEAR
+    return break_even(df.select("day", "exposure", net.alias("net"), (F.col("turnover") / 1e4).alias("unit")), 500.0, bars)
 
 
 def leak_check(weights_at, lags: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -251,7 +302,38 @@ def leak_check(weights_at, lags: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return out
 
 
-def verdict(metrics: DataFrame, pass_bar: float = 0.40) -> DataFrame:
-    """Whether each scenario clears the bar with a positive return and positive rolling years in the majority."""
-    ok = (F.col("sharpe") >= pass_bar) & (F.col("ann_return") > 0) & (F.col("rolling_positive") > 0.5)
-    return metrics.withColumn("passes", F.coalesce(ok, F.lit(False)))
+def verdict(metrics: DataFrame, pass_bar: float = PASS_BAR) -> DataFrame:
+    """+ passes: the ratio reaches the bar and most rolling years are positive."""
+    return metrics.withColumn("passes", F.coalesce((F.col("sharpe") >= pass_bar) & (F.col("rolling_positive") > 0.5), F.lit(False)))
+
+
+# Cost bases a capped book must survive: spread of the debit over the short rate (None: no financing), credit paid.
+CONDITIONS = {"borrow_complete": (None, False), "measured_financing": (0.01, True), "wide_spread": (0.02, True), "zero_credit": (0.01, False)}
+
+
+def capped_verdict(
+    weights: DataFrame, rates: DataFrame, rate: DataFrame, cap: float, bars: tuple[float, ...] = (PASS_BAR,), stress: float = 1.0, bps: float = TURNOVER_BPS, credit_spread: float = 0.0025
+) -> DataFrame:
+    """Five conditions of a capped book and their conjunction, per bar: bar, condition, sharpe, rolling_positive, breaches, passes.
+
+    Four cost bases (see CONDITIONS) must each reach the bar with most rolling years positive, and gross exposure must
+    never exceed ``cap`` from the first active day on (``gross_breach``; only it has ``breaches``). ``overall`` is all
+    five. ``rate`` (day, rate) must cover every day. The daily basis is made once; net is affine in each setting.
+    """
+    basis = daily_book(weights).select("day", "gross", "turnover", "exposure").join(borrow_cost(weights, rates, stress), "day").join(net_cash(weights).select("day", "cash"), "day")
+    basis = staged(exact_cover(basis, rate, "day", "rate"))
+    rows = [(name, debit is not None, debit or 0.0, credit) for name, (debit, credit) in CONDITIONS.items()]
+    runs = basis.crossJoin(F.broadcast(basis.sparkSession.createDataFrame(rows, "condition string, financed boolean, spread double, credited boolean")))  # four settings
+    owed, idle = F.greatest(-F.col("cash"), F.lit(0.0)), F.greatest(F.col("cash"), F.lit(0.0))
+    earned = F.when(F.col("credited"), idle * F.greatest(F.col("rate") - credit_spread, F.lit(0.0))).otherwise(0.0)
+    financing = F.when(F.col("financed"), (owed * (F.col("rate") + F.col("spread")) - earned) / YEAR).otherwise(0.0)
+    net = F.col("gross") - F.col("turnover") * bps / 1e4 - F.col("borrow") - financing
+    none = F.lit(None).cast("double")
+    judged = book_metrics(runs.withColumn("net", net), ["condition"]).select("condition", "sharpe", "rolling_positive", F.lit(None).cast("long").alias("breaches"))
+    over = F.coalesce(F.sum((F.col("exposure") > cap + 1e-9).cast("int")), F.lit(0)).cast("long")
+    breach = live_days(basis).agg(over.alias("breaches")).select(F.lit("gross_breach").alias("condition"), none.alias("sharpe"), none.alias("rolling_positive"), "breaches")
+    five = judged.unionByName(breach).select(F.explode(F.array(*[F.lit(float(b)) for b in bars])).alias("bar"), "*")
+    reached = F.coalesce((F.col("sharpe") >= F.col("bar")) & (F.col("rolling_positive") > 0.5), F.lit(False))
+    five = five.withColumn("passes", F.when(F.col("condition") == "gross_breach", F.col("breaches") == 0).otherwise(reached))
+    every = five.groupBy("bar").agg(F.min("passes").alias("passes"))
+    return five.unionByName(every.select("bar", F.lit("overall").alias("condition"), none.alias("sharpe"), none.alias("rolling_positive"), F.lit(None).cast("long").alias("breaches"), "passes"))

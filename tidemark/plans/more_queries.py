@@ -110,11 +110,6 @@ def first_active_day(spark, d):
     return out(trend.first_active(trend_queries._weights(spark, d)))
 
 
-def break_even_cost(spark, d):
-    book = trend_queries._book(spark, d)
-    return out(spark.createDataFrame([(float(trend.break_even(book, "turnover")),)], "multiple double"))
-
-
 def evaluate_long_only(spark, d):
     got = harness.evaluate(panel_queries._rank_panel(spark, d), ["scenario_id", "day"], "day", "permaticker", "composite", "decile", "ret", ["scenario_id"])
     return out(got["long_only"])
@@ -151,7 +146,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {f.__name__: f for f in (
     span_overlap, known_by_span_end, pilot_sample, largest_documents, filing_summary, status_value_counts, dimension_counts, report_lag, identity_master,
-    corpus_funnel, section_funnel, pivot_sections, section_pivot, section_prompts, design_matrix, first_active_day, break_even_cost, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
+    corpus_funnel, section_funnel, pivot_sections, section_pivot, section_prompts, design_matrix, first_active_day, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
 )}
 
 _SEC = "s as (select doc_id, case when source like '%10_k%' then 'mdna' else 'risk_factors' end section, text from documents)"
@@ -169,7 +164,6 @@ SQL = {
     "pivot_sections": f"with {_PIV} select doc_id, md5(m) mdna, md5(r) risk_factors from q",
     "design_matrix": sql_out("select distinct scenario_id, cast(date as date) as day, permaticker, case when not isnan(composite) then composite end composite from panel where ranked", "composite", "permaticker"),
     "first_active_day": f"with {trend_queries._EXA}, fa as (select day, sum(abs(w)) e from xw group by day) select coalesce(min(case when e > 0 then day end), min(day)) as day from fa",
-    "break_even_cost": sql_out(f"with {trend_queries._BOOK}, t as (select sum(gross) g, sum(turnover) c from b0) select case when g is null or g <= 0 then 0.0 when coalesce(c, 0) = 0 or g - 1000 * c > 0 then 'inf'::double else g / c end multiple from t", "multiple"),
     "evaluate_long_only": panel_queries.SQL["cost_curve"],
     "walk_forward_folds": "with s as (select min(cast(date as date)) a, max(cast(date as date)) z from panel), f as (select k fold, a, (z - a + 1) / 9.0 len from s, range(1, 9) t(k)), g as (select fold, a + cast(floor(len * fold) as int) + case when fold > 1 then 21 else 0 end st, a + cast(floor(len * (fold + 1)) as int) en from f) select cast(fold as bigint) fold, st - 31 train_to, st test_from, en - 1 test_to from g",
     "stream_weekly": "with e as (select user_id, cast(ts as date) - cast((isodow(cast(ts as date)) + 1) % 7 as int) w from events) select user_id, w + 7 week_end, count(*) n from e group by 1, 2",

@@ -1,14 +1,14 @@
 """Sessions, table access and durable cut points.
 
 Nothing here is tied to a machine: intermediate tables go to the folder named by
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary
-folder is made.
+``spark.checkpoint.dir``. Only a local master without that setting (tests, a laptop) gets a
+temporary folder; on a cluster the setting is required.
 """
 
 from __future__ import annotations
 
 import io
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,17 +34,26 @@ def build_session(app: str = "tidemark", cores: str = "*", **conf: str) -> Spark
     return b.getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session names no folder that its executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; set only if unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    """The folder all executors share. Read from the session; made only on a local master that names none.
+
+    A folder of one machine on a cluster would lose data without an error, so there NoSharedFolder is raised.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 _STAGED: list[str] = []
@@ -105,11 +114,3 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. A missing table fails at once, by Spark's own path check."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def data_dir() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.001")
