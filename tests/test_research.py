@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
+import re
 from datetime import date
 from math import lgamma
 
@@ -276,15 +278,43 @@ def test_attribution_by_window(spark):
 LONG = "Sales grew because demand was firm. " * 12
 
 
-def test_sections_of_a_page_with_contents():
+def found(spark, raw, form, is_html):
+    df = spark.createDataFrame([(raw, form, is_html)], "raw string, form string, h boolean").select("form", tx.rendered("raw", F.col("form"), F.col("h")).alias("plain"))
+    return df.select(*[c.alias(k) for k, c in tx.sections(F.col("plain"), F.col("form")).items()]).first().asDict()
+
+
+def test_sections_of_a_page_with_contents(spark):
     toc = "".join(f"<p>Item {n}</p>" for n in ("1A. Risk Factors", "1B.", "7. Management&#8217;s Discussion", "7A.", "8."))
     raw = f"<script>x=1</script>{toc}<p>Item 1A. Risk Factors</p><p>{LONG} risk, see Item 8 there.</p><p>Item 1B.</p><p>none</p><p>Item 7. Management&#8217;s Discussion</p><p>{LONG}</p><p>Item 8. Tables</p><p>numbers</p>"
-    got = tx.sections_of(raw, "10-K", True)
+    got = found(spark, raw, "10-K", True)
     assert got["mdna"].count("Sales grew") == 12 and "numbers" not in got["mdna"] and "see Item 8 there" in got["risk_factors"]
     sgml = f"<DOCUMENT><TYPE>EX-1<TEXT>{'z ' * 5000}</TEXT></DOCUMENT><DOCUMENT><TYPE>10-K\n<TEXT>\nItem 7. Management's view\n{LONG}\nItem 8.\nno\n</TEXT></DOCUMENT>"
-    got = tx.sections_of(sgml, "10-K/A", False)
+    got = found(spark, sgml, "10-K/A", False)
     assert got["mdna"] and "zz" not in got["mdna"] and got["risk_factors"] is None
-    assert tx.sections_of("Item 7. Management's short\nItem 8.", "10-K", False)["mdna"] is None
+    assert found(spark, sgml.replace("<TYPE>10-K", "<TYPE>10-K/A"), "10-K", False)["mdna"] == got["mdna"]
+    assert found(spark, "Item 7. Management's short\nItem 8.", "10-K", False)["mdna"] is None
+    assert found(spark, None, None, None) == {"mdna": None, "risk_factors": None} and found(spark, "", "10-Q", True)["mdna"] is None
+
+
+def test_rendering_equals_a_second_version(spark):
+    """Against Python's own white space and references, on texts made of awkward pieces; and very long ones end."""
+    pieces = ["a", " ", "\t", "\n", "\r", "&amp;", "&#8217;", "\u00a0", "\u2014", "<b>", "</p>", "&nbsp;", "x < y", "\x0b", "\u00e9"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(300)]
+    long = ["\n" * 300_000 + "end", " \n\t" * 200_000 + "<p>z", "<" * 2_000, "word " * 200_000]
+
+    def second(t: str) -> str:
+        t = html.unescape(re.sub(r"<[^>]+>", "\n", t)).translate(tx.PLAIN).replace("\r", "\n")
+        lines = [re.sub("[ \t]+", " ", x).lstrip(" ") if k else re.sub("[ \t]+", " ", x) for k, x in enumerate(t.split("\n"))]
+        out = "\n".join(lines)
+        while "\n\n\n" in out:
+            out = out.replace("\n\n\n", "\n\n")
+        return out.strip()
+
+    df = spark.createDataFrame(list(enumerate(texts + long)), "i int, t string").select("i", tx.html_to_text("t").alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    assert all(got[i] == second(t) for i, t in enumerate(texts))
+    assert got[300] == "end" and got[301] == "z" and len(got[303]) == 999_999
 
 
 QUARTER = f"Item 1A. Risk Factors\n{LONG}quarter risk\nItem 2. Management's Discussion\n{LONG}quarter view\nItem 3. Market risk\nno"
@@ -309,27 +339,31 @@ def test_sections_follow_the_form_of_the_source(spark, both_forms):
 
 
 def test_found_sections_in_funnel_pivot_and_prompts(spark, both_forms):
-    assert tuple(more_queries.section_funnel(spark, both_forms).first()) == (9, 7, 7, 2)
+    assert tuple(more_queries.corpus_funnel(spark, both_forms).first()) == (9, 7, 7, 2)
     found = {r.doc_id: (r.mdna, r.risk_factors) for r in text_queries.section_extract(spark, both_forms).collect() if r.mdna or r.risk_factors}
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    assert {r.doc_id: (r.mdna, r.risk_factors) for r in more_queries.section_pivot(spark, both_forms).collect()} == {k: (md5(m), md5(r)) for k, (m, r) in found.items()}
+    assert {r.doc_id: (r.mdna, r.risk_factors) for r in more_queries.pivot_sections(spark, both_forms).collect()} == {k: (md5(m), md5(r)) for k, (m, r) in found.items()}
     assert {r.doc_id: r.digest for r in more_queries.section_prompts(spark, both_forms).collect()} == {k: md5(f"MD&A: {m}\nRisk factors: {r}") for k, (m, r) in found.items()}
 
 
 def test_features_of_found_sections(spark, both_forms):
-    got = {r.doc_id: r for r in text_queries.section_features(spark, both_forms).collect()}
-    assert got[0].rf_severity is not None and got[0].rf_specificity == 1.0 and got[0].rf_litigation == 0.0 and got[0].rf_change is None
+    got = {r.doc_id: r for r in text_queries.stub_features(spark, both_forms).collect()}
+    assert got[0].rf_severity == 0.0 and got[0].rf_specificity == 1.0 and got[0].rf_litigation == 0.0 and got[0].rf_change is None
     assert got[1].rf_change == got[1].mdna_change == 0.0 and 0 < got[4].rf_change < 1 and got[6].mdna_change == 0.0
     assert got[7].mdna_tone is None and got[7].rf_severity is None
 
 
 def test_masking_and_truncation(spark):
     text = "Acme Widgets Inc. (ACM, CIK 0000123) of Acme said on January 5, 2019 and 1/2/2018 that 2017 sales of $45 were firm. acm stays."
-    got = tx.mask(text, "Acme Widgets Inc", "ACM", "123")
+    rows = [(text, "Acme Widgets Inc", "ACM", "123", None), ("  ", "A", None, None, None), (None, None, None, None, None), ("Old (Name) Ltd. of Acme", None, " ", "nan", ["(Name)", "Old (Name) Ltd.", "Old", "", None])]
+    df = spark.createDataFrame(rows, "text string, name string, ticker string, cik string, other array<string>")
+    got, blank, none, alias = [r[0] for r in df.select(tx.mask("text", "name", "ticker", "cik", F.col("other"))).collect()]
     for gone in ("Acme", "Widgets", "ACM", "123", "2019", "2018", "2017"):
         assert gone not in got
     assert "acm stays" in got and "$45" in got and "[CIK]" in got and "[DATE]" in got
-    assert tx.mask("  ", "A", None, None) is None and tx.mask(None, None, None, None) is None
+    assert blank is None and none is None and "Old" not in alias and "Acme" in alias
+    made = df.select(*[c.alias(k) for k, c in zip(("x", "cut"), tx.prepared("text", "name", "ticker", "cik"), strict=True)]).collect()
+    assert made[0].x == got and [r.cut for r in made] == [False] * 4 and made[1].x is None
     r = spark.createDataFrame([("a" * 12_000 + "m" * 9_000 + "z" * 4_000,), ("short",), (None,)], "t string").select(tx.truncate_middle("t").alias("x"), tx.is_truncated("t").alias("y")).collect()
     assert r[0].x == "a" * 12_000 + tx.CUT_MARK + "z" * 4_000 and [x.y for x in r] == [True, False, False] and r[2].x is None
 
@@ -349,7 +383,7 @@ def test_scores_and_clamps(spark):
 def test_pivot_prior_and_cache(spark):
     rows = [("1", "A", date(2020, 1, 1), "mdna", "one"), ("1", "A", date(2020, 1, 1), "risk_factors", None), ("2", "A", date(2020, 2, 1), "mdna", " "), ("3", "A", date(2020, 3, 1), "mdna", "three"), ("4", "B", date(2020, 1, 1), "mdna", None)]
     p = filings.pivot_sections(spark.createDataFrame(rows, "accession string, p string, d date, section string, text string"), ["accession", "p", "d"])
-    got = {r.accession: r.prior_mdna for r in filings.with_prior(p, "p", ["d", "accession"], ["mdna"]).collect()}
+    got = {r.accession: r.prior_mdna for r in filings.with_prior(p, "p", ["d", "accession"], ["mdna"], "accession").collect()}
     assert got == {"1": None, "2": "one", "3": "one"}
     cols = ", ".join(f"{k} double" for k in tx.FEATURES)
     cache = spark.createDataFrame([("a", *[0.5] * 10)], f"key string, {cols}")

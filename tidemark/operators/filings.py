@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import acceptance_date, canon_cik, known, parse_day
-from ..functions.text import FEATURES, blank_to_null, clamp, stub_scores
+from ..functions.text import COUNTED, FEATURES, base_form, blank_to_null, clamp, stub_scores
 
 # Forms that carry the wanted sections.
 QUALIFYING_FORMS = ("10-K", "10-K405", "10-KSB", "10-KSB405", "10-KT", "10-Q", "10-QT")
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
 
 
-def base_form(form: Column) -> Column:
-    return F.regexp_replace(F.upper(F.trim(form)), "/A$", "")
-
-
 def is_amendment(form: Column) -> Column:
     return known(F.upper(F.trim(form)).endswith("/A"))
 
@@ -116,18 +112,26 @@ def pivot_sections(sections: DataFrame, keys: list[str], names: tuple[str, ...]
     return sections.groupBy(*keys).agg(*pick).where(some)
 
 
-def with_prior(df: DataFrame, entity: str, order: list[str], columns: list[str]) -> DataFrame:
+def with_prior(df: DataFrame, entity: str, order: list[str], columns: list[str], row_id: str) -> DataFrame:
     """+ prior_<column>: the entity's last non-blank text strictly before this row.
 
-    Texts ride through a window per entity, which holds an entity's filings only.
+    Only ids pass through the window, so an entity with a large part of all filings sorts ids and not texts; the texts are
+    then fetched by their ids, which are unique. Rows with a NULL ``row_id`` are left out.
     """
     line = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({f"prior_{c}": F.last(blank_to_null(c), ignorenulls=True).over(line) for c in columns})
+    rows = df.where(F.col(row_id).isNotNull())
+    flags = {c: blank_to_null(c).isNotNull().alias(f"__has_{c}") for c in columns}
+    ids = rows.select(row_id, entity, *order, *flags.values()) if row_id not in order else rows.select(entity, *order, *flags.values())
+    ids = ids.select(row_id, *[F.last(F.when(F.col(f"__has_{c}"), F.col(row_id)), ignorenulls=True).over(line).alias(f"__prior_{c}") for c in columns])
+    out = rows.join(ids, row_id)
+    for c in columns:
+        out = out.join(rows.select(F.col(row_id).alias(f"__prior_{c}"), F.col(c).alias(f"prior_{c}")), f"__prior_{c}", "left")
+    return out.drop(*[f"__prior_{c}" for c in columns])
 
 
-def stub_features(df: DataFrame) -> DataFrame:
+def stub_features(df: DataFrame, counted: dict[str, str] = COUNTED) -> DataFrame:
     """+ the ten measures of a filing's texts (mdna, risk_factors and their priors), absent sections enforced."""
-    return df.withColumns(stub_scores("mdna", "risk_factors", "prior_mdna", "prior_risk_factors"))
+    return df.withColumns(stub_scores("mdna", "risk_factors", "prior_mdna", "prior_risk_factors", counted))
 
 
 def enforce_absent(scored: DataFrame) -> DataFrame:

@@ -65,12 +65,6 @@ def identity_master(spark, d):
     return out(panel_queries._meta(spark, d))
 
 
-def _sections(spark, d):
-    """Documents as sections: two kinds by their source, the document id standing for the filing."""
-    kind = F.when(F.col("source").like("%10_k%"), "mdna").otherwise("risk_factors")
-    return table(spark, d, "documents").select("doc_id", kind.alias("section"), "text")
-
-
 def _found_sections(spark, d):
     """The sections found in each document, a row each, NULL where it lacks one."""
     both = [F.struct(F.lit(n).alias("section"), F.col(n).alias("text")) for n in ("mdna", "risk_factors")]
@@ -78,19 +72,10 @@ def _found_sections(spark, d):
 
 
 def corpus_funnel(spark, d):
-    return out(filters.corpus_funnel(_sections(spark, d), "doc_id", "section", "text", ("mdna", "risk_factors")))
-
-
-def section_funnel(spark, d):
     return out(filters.corpus_funnel(_found_sections(spark, d), "doc_id", "section", "text", ("mdna", "risk_factors")))
 
 
 def pivot_sections(spark, d):
-    got = filings.pivot_sections(_sections(spark, d), ["doc_id"])
-    return out(got.select("doc_id", F.md5("mdna").alias("mdna"), F.md5("risk_factors").alias("risk_factors")))
-
-
-def section_pivot(spark, d):
     got = filings.pivot_sections(_found_sections(spark, d), ["doc_id"])
     return out(got.select("doc_id", F.md5("mdna").alias("mdna"), F.md5("risk_factors").alias("risk_factors")))
 
@@ -98,7 +83,7 @@ def section_pivot(spark, d):
 def section_prompts(spark, d):
     got = filings.pivot_sections(_found_sections(spark, d), ["doc_id"])
     prompt = tx.section_prompt({"MD&A": F.col("mdna"), "Risk factors": F.col("risk_factors")})
-    return out(got.select("doc_id", F.md5(prompt).alias("digest"), tx.content_key(prompt, F.lit("v1")).alias("key")))
+    return out(got.select("doc_id", F.md5(prompt).alias("digest"), tx.content_key(F.md5(prompt), F.lit("v1")).alias("key")))
 
 
 def design_matrix(spark, d):
@@ -146,11 +131,10 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {f.__name__: f for f in (
     span_overlap, known_by_span_end, pilot_sample, largest_documents, filing_summary, status_value_counts, dimension_counts, report_lag, identity_master,
-    corpus_funnel, section_funnel, pivot_sections, section_pivot, section_prompts, design_matrix, first_active_day, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
+    corpus_funnel, pivot_sections, section_prompts, design_matrix, first_active_day, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
 )}
 
-_SEC = "s as (select doc_id, case when source like '%10_k%' then 'mdna' else 'risk_factors' end section, text from documents)"
-_PIV = f"{_SEC}, p as (select doc_id, min(text) filter (where section = 'mdna') m, min(text) filter (where section = 'risk_factors') r from s group by 1), q as (select * from p where m is not null or r is not null)"
+_PIV = f"{text_queries._FOUND}, q as (select doc_id, mdna m, risk_factors r from se where mdna is not null or risk_factors is not null)"
 SQL = {
     "span_overlap": f"select * from (select distinct cast(permaticker as bigint) permaticker, ticker, {sql_day('firstpricedate')} first, {sql_day('lastpricedate')} last from tickers) where first <= date '2014-12-31' and last >= date '2013-01-01'",
     "known_by_span_end": "select distinct filing_id, cast(acceptance_date as date) acceptance_date from filings where acceptance_date <= date '2014-12-31'",
@@ -160,8 +144,9 @@ SQL = {
     "dimension_counts": "select dimension, count(*) n from fundamentals group by 1",
     "report_lag": sql_out(f"with f as (select distinct fund_id, dimension, cast(reportperiod as date) r, {sql_day('datekey')} k from fundamentals) select dimension, median(k - r) median_lag, count(*) n from f where r is not null and k is not null group by 1", "median_lag"),
     "identity_master": f"select cast(permaticker as bigint) permaticker, b last, category, exchange from (select permaticker, {sql_day('firstpricedate')} a, {sql_day('lastpricedate')} b, category, exchange from tickers) where a <= b qualify row_number() over (partition by permaticker order by b desc, category desc nulls last, exchange desc nulls last) = 1",
-    "corpus_funnel": sql_out(f"with {_SEC}, e as (select doc_id, max(coalesce(section = 'mdna' and length(trim(text, ' ')) > 0, false)::int) m, max(coalesce(section = 'risk_factors' and length(trim(text, ' ')) > 0, false)::int) r from s group by 1) select count(*) filings, sum(m) with_mdna, sum(r) with_risk_factors, sum((m + r = 0)::int) without_any from e", "", "with_mdna with_risk_factors without_any"),
+    "corpus_funnel": f"with {text_queries._FOUND} select count(*) filings, count(mdna) with_mdna, count(risk_factors) with_risk_factors, count(*) filter (where mdna is null and risk_factors is null) without_any from se",
     "pivot_sections": f"with {_PIV} select doc_id, md5(m) mdna, md5(r) risk_factors from q",
+    "section_prompts": f"""with {_PIV}, p as (select doc_id, md5('MD&A: ' || coalesce(m, 'NOT PRESENT') || chr(10) || 'Risk factors: ' || coalesce(r, 'NOT PRESENT')) digest from q) select doc_id, digest, sha256('["' || digest || '","v1"]') as key from p""",
     "design_matrix": sql_out("select distinct scenario_id, cast(date as date) as day, permaticker, case when not isnan(composite) then composite end composite from panel where ranked", "composite", "permaticker"),
     "first_active_day": f"with {trend_queries._EXA}, fa as (select day, sum(abs(w)) e from xw group by day) select coalesce(min(case when e > 0 then day end), min(day)) as day from fa",
     "evaluate_long_only": panel_queries.SQL["cost_curve"],

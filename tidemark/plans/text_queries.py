@@ -9,12 +9,13 @@ from ..functions import text as tx
 from ..functions.scalars import acceptance_date, canon_cik, no_nan
 from ..operators import audit, factors, filings, integrity
 from ..operators.asof import asof_join, with_age_limit
-from ..session import table
+from ..session import staged, table
 from .common import out, sql_out
 from .pit_queries import STALE_DAYS, sql_day
 
 # Word lists for the tone measure, in the words of the test corpus.
 GOOD = ["RECOVERED", "EXPANDED", "WIDENED", "IMPROVED", "PERSIST", "CLOSED"]
+COUNTED = {"mdna_uncertainty": "may", "mdna_liquidity_stress": "loan", "rf_severity": "harm", "rf_specificity": "could", "rf_litigation": "claim"}
 BAD = ["WEAKEN", "WRITTEN", "MISSED", "FELL", "DECLINED", "SLIPPED", "HARM", "IMPAIRED", "INTERRUPT"]
 
 
@@ -29,7 +30,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def _turns(spark, d):
     """Each document with the last non-blank text of the same company before it."""
     docs = _docs(spark, d).where("cik is not null and published is not null").select("doc_id", "cik", "published", "text")
-    return filings.with_prior(docs, "cik", ["published", "doc_id"], ["text"])
+    return filings.with_prior(docs, "cik", ["published", "doc_id"], ["text"], "doc_id")
 
 
 def filing_qualify(spark, d):
@@ -92,13 +93,21 @@ def lexicon_tone(spark, d):
 
 
 def _named(spark, d):
-    """Documents beside one registrant name of their CIK."""
+    """Documents beside one registrant of their CIK. As the texts name places and not registrants, the name is
+    joined by the document's first words and the ticker by the first capitals in it."""
     names = table(spark, d, "bridge").select(canon_cik("cik").alias("plain"), "name", "ticker").where("plain <> ''").groupBy("plain").agg(F.min("name").alias("name"), F.min("ticker").alias("ticker"))
-    return _docs(spark, d).withColumn("plain", canon_cik("cik")).join(names, "plain", "left")
+    docs = _docs(spark, d).withColumn("plain", canon_cik("cik")).join(names, "plain", "left")
+    alias = F.nullif(F.regexp_extract("text", r"([A-Z][a-z]{4,}) \d{4}", 1), F.lit(""))
+    return docs.withColumns({"aliases": F.array_compact(F.array(alias)), "number": F.nullif(F.regexp_extract("text", r"\b([3-9]\d{3})\b", 1), F.lit("")), "code": F.nullif(F.regexp_extract("text", r"\b([A-Z]{3,4})\b", 1), F.lit(""))})
 
 
 def mask_identity(spark, d):
-    return out(_named(spark, d).select("doc_id", tx.mask_identity("text", "name", "ticker", "plain").alias("masked")))
+    return out(_named(spark, d).select("doc_id", tx.mask("text", "name", F.coalesce("code", "ticker"), F.coalesce("number", "plain"), F.col("aliases")).alias("masked")))
+
+
+def prepared_sections(spark, d):
+    text, cut = tx.prepared("text", "name", "ticker", "plain")
+    return out(_named(spark, d).select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("chars"), cut.alias("cut")))
 
 
 def html_to_text(spark, d):
@@ -107,24 +116,38 @@ def html_to_text(spark, d):
 
 def _extracted(spark, d, *keep: str):
     """Documents with the sections that the form of their source holds."""
-    found = tx.extract_sections("text", tx.form_of_source("source"), F.lit(True))
-    return _docs(spark, d).select("doc_id", *keep, found.alias("s")).select("doc_id", *keep, "s.*")
+    form = tx.form_of_source("source")
+    text = _docs(spark, d).select("doc_id", *keep, form.alias("form"), tx.rendered("text", form, F.lit(True)).alias("plain"))
+    return text.select("doc_id", *keep, *[c.alias(k) for k, c in tx.sections(F.col("plain"), F.col("form")).items()])
 
 
 def section_extract(spark, d):
     return out(_extracted(spark, d))
 
 
+def submission_sections(spark, d):
+    """Documents wrapped as full submissions: an exhibit that is longer, then the filing, every third under an amended type."""
+    form = tx.form_of_source("source")
+    kind = F.when(F.col("doc_id") % 3 == 0, F.concat(form, F.lit("/A"))).when(F.col("doc_id") % 7 == 0, "8-K").otherwise(form)
+    part = lambda k, body: F.concat(F.lit("<DOCUMENT>\n<TYPE>"), k, F.lit("\n<TEXT>\n"), body, F.lit("\n</TEXT>\n</DOCUMENT>\n"))
+    raw = F.concat(part(F.lit("EX-99"), F.concat("text", F.lit(" and more"))), part(kind, F.col("text")))
+    text = _docs(spark, d).select("doc_id", form.alias("form"), tx.rendered(raw, form, F.lit(False)).alias("plain"))
+    found = tx.sections(F.col("plain"), F.col("form"))
+    return out(text.select("doc_id", F.md5("plain").alias("digest"), *[F.md5(c).alias(k) for k, c in found.items()]))
+
+
 def stub_features(spark, d):
-    rows = _turns(spark, d).select("doc_id", F.col("text").alias("mdna"), F.lit(None).cast("string").alias("risk_factors"), F.col("prior_text").alias("prior_mdna"), F.lit(None).cast("string").alias("prior_risk_factors"))
-    return out(filings.stub_features(rows).select("doc_id", *tx.FEATURES))
+    """The ten measures over the sections that each document holds, and the company's sections before."""
+    rows = staged(_extracted(spark, d, "cik", "published").where("cik is not null and published is not null"))  # found once, read for each join
+    turns = filings.with_prior(rows, "cik", ["published", "doc_id"], ["mdna", "risk_factors"], "doc_id")
+    return out(filings.stub_features(turns, COUNTED).select("doc_id", *tx.FEATURES))
 
 
-def section_features(spark, d):
-    """The ten measures over the sections that each document really holds, and the company's sections before."""
-    rows = _extracted(spark, d, "cik", "published").where("cik is not null and published is not null")
-    turns = filings.with_prior(rows, "cik", ["published", "doc_id"], ["mdna", "risk_factors"])
-    return out(filings.stub_features(turns).select("doc_id", *tx.FEATURES))
+def absent_enforced(spark, d):
+    """Scores that an outside extractor gave for every document, in range and only where the text they describe is there."""
+    rows = _extracted(spark, d).withColumns({"prior_mdna": F.when(F.col("doc_id") % 2 == 0, F.col("mdna")), "prior_risk_factors": F.col("risk_factors")})
+    given = rows.withColumns({k: F.lit(0.1 * i).cast("double") + F.col("doc_id") % 5 - 2.0 for i, k in enumerate(tx.FEATURES)})
+    return out(filings.enforce_absent(given).select("doc_id", *tx.FEATURES))
 
 
 def feature_clamp(spark, d):
@@ -212,7 +235,7 @@ def bar_integrity(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     filing_qualify, filing_dedupe, amendment_count, cik_canon, acceptance_days, cik_window_attribution, attribution_stats, truncate_sections, prior_section_text,
-    jaccard_change, stub_density, lexicon_tone, mask_identity, html_to_text, section_extract, stub_features, section_features, feature_clamp, feature_normalize, coverage_funnel,
+    jaccard_change, stub_density, lexicon_tone, mask_identity, prepared_sections, html_to_text, section_extract, submission_sections, stub_features, absent_enforced, feature_clamp, feature_normalize, coverage_funnel,
     missing_report, masked_probe, masked_probe_verdict, identity_sensitivity, within_date_ic, lexicon_agreement, extractor_agreement, integrity_summary,
     key_multiplicity, present_coverage, repeated_bars, stale_runs, gap_check, bar_integrity,
 )}
@@ -232,9 +255,83 @@ tu as (select doc_id, text, last_value(case when length(trim(text, ' ')) > 0 the
   from documents where cik is not null and published is not null)"""
 
 
-def _density(word: str) -> str:
-    w = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
-    return f"case when length(trim(text, ' ')) > 0 then least(1.0, len(list_filter({w}, lambda w: starts_with(w, '{word}'))) / greatest(len({w}), 1) * 20.0) end"
+def _density(word: str, c: str = "text") -> str:
+    w = f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')"
+    return f"case when length(trim({c}, ' ')) > 0 then least(1.0, len(list_filter({w}, lambda w: starts_with(w, '{word}'))) / greatest(len({w}), 1) * 20.0) end"
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _tidy_sql(x: str) -> str:
+    """The only character reference in the test corpus is that of the ampersand."""
+    x = f"translate(replace({x}, '&amp;', '&'), {_q(''.join(map(chr, tx.PLAIN)) + chr(13))}, {_q(''.join(tx.PLAIN.values()) + chr(10))})"
+    for pattern, to in (("[ \\t]+", "' '"), ("\\n[ \\t]*", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    return x
+
+
+def _tagless_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '(?is)<(script|style).*?>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g')"
+
+
+def _section_sql(x: str, item: str, title: str, ends: tuple[str, ...]) -> str:
+    """Headers are marked in the text: 1 behind those that begin the section, 2 before those that end it."""
+    title = title.replace("'", "''")
+    begun = f"regexp_replace({x}, '(?i)((?:^|\\n)\\s*item\\s*{item}\\s*[.:)\\-]?\\s*{title})', '\\1' || chr(1), 'g')"
+    both = f"regexp_replace({begun}, '(?i)(\\n\\s*item\\s*(?:{'|'.join(ends)}))', chr(2) || '\\1', 'g')"
+    found = f"list_transform(regexp_extract_all({both}, chr(1) || '([^' || chr(2) || ']*)', 1), lambda x: replace(x, chr(1), ''))"
+    return f"(select case when length(w) >= 200 then w end from (select regexp_replace(l[list_position(list_transform(l, lambda x: length(x)), list_max(list_transform(l, lambda x: length(x))))], '^\\s+|\\s+$', '', 'g') w from (select {found} l)))"
+
+
+_FORM = "case when replace(lower(source), '-', '') like '%10q%' then '10-Q' else '10-K' end"
+_BOTH = ", ".join(f"case when form = '10-Q' then {_section_sql('plain', *tx.SECTION_MAP['10-Q'][n])} else {_section_sql('plain', *tx.SECTION_MAP['10-K'][n])} end {n}" for n in ("mdna", "risk_factors"))
+_FOUND = f"""
+pl as (select doc_id, cik, cast(published as date) published, {_FORM} form, {_tidy_sql(_tagless_sql('text'))} plain from documents),
+se as (select doc_id, cik, published, {_BOTH} from pl)"""
+
+
+def _feature_sql() -> str:
+    prior = lambda c: f"last_value(case when length(trim({c}, ' ')) > 0 then {c} end ignore nulls) over (partition by cik order by published, doc_id rows between unbounded preceding and 1 preceding) prior_{c}"
+    here = lambda c, x: f"case when length(trim({c}, ' ')) > 0 then {x} end"
+
+    def change(c: str) -> str:
+        a, b = _W.format(c=c), _W.format(c=f"prior_{c}")
+        return f"case when length(trim({c}, ' ')) > 0 and prior_{c} is not null then 1.0 - len(list_intersect({a}, {b})) / greatest(len(list_distinct(list_concat({a}, {b}))), 1) end"
+
+    tone = here("mdna", "tanh((length(mdna) % 7 - 3) / 3.0)")
+    cols = [tone, tone, _density(COUNTED["mdna_uncertainty"], "mdna"), here("mdna", "least(1.0, length(mdna) / 5000.0)"), _density(COUNTED["mdna_liquidity_stress"], "mdna"), change("mdna"), _density(COUNTED["rf_severity"], "risk_factors"), f"1.0 - {_density(COUNTED['rf_specificity'], 'risk_factors')}", _density(COUNTED["rf_litigation"], "risk_factors"), change("risk_factors")]
+    return f"with {_FOUND}, tu as (select *, {prior('mdna')}, {prior('risk_factors')} from se where cik is not null and published is not null) select doc_id, {', '.join(f'{x} {k}' for x, k in zip(cols, tx.FEATURES, strict=True))} from tu"
+
+
+def _enforced_sql() -> str:
+    out = []
+    for i, (k, (low, high)) in enumerate(tx.FEATURES.items()):
+        name = "mdna" if k.startswith("mdna") else "risk_factors"
+        there = f"length(trim({name}, ' ')) > 0" + (" and doc_id % 2 = 0" if k == "mdna_change" else "")
+        out.append(f"case when {there} then greatest({low}, least({high}, {0.1 * i} + doc_id % 5 - 2.0)) end {k}")
+    return f"with {_FOUND} select doc_id, {', '.join(out)} from se"
+
+
+_NOISE = ", ".join(_q(w) for w in tx.NAME_NOISE)
+_NAMED = f"""
+nm as (select {_CIK} c, min(name) name, min(ticker) ticker from bridge group by 1),
+na as (select d.doc_id, d.text, nm.name, nm.ticker, nm.c plain, nullif(regexp_extract(text, '([A-Z][a-z]{{4,}}) \\d{{4}}', 1), '') alias,
+  nullif(regexp_extract(text, '\\b([3-9]\\d{{3}})\\b', 1), '') number, nullif(regexp_extract(text, '\\b([A-Z]{{3,4}})\\b', 1), '') code
+  from (select *, {_CIK} c from documents) d left join nm on nm.c = d.c and nm.c <> '')"""
+
+
+def _mask_sql(alias: str, ticker: str, number: str) -> str:
+    """CTE mk (doc_id, masked) over _NAMED."""
+    words = f"list_concat(list_filter(regexp_extract_all(coalesce(name, ''), '[A-Za-z][A-Za-z\\-'']+'), lambda w: length(w) > 2 and lower(w) not in ({_NOISE})), {alias})"
+    ordered = f"list_transform(list_sort(list_transform(list_distinct({words}), lambda w: {{'n': -length(w), 'w': w}})), lambda s: s.w)"
+    return f"""
+mw as (select *, {ordered} words, {ticker} tk, {number} no from na),
+m1 as (select *, case when len(words) > 0 then regexp_replace(text, '(?i)\\b(?:' || array_to_string(words, '|') || ')\\b', '[COMPANY]', 'g') else text end t1 from mw where length(trim(text, ' ')) > 0),
+m2 as (select *, case when length(trim(tk)) > 0 then regexp_replace(t1, '\\b' || trim(tk) || '\\b', '[TICKER]', 'g') else t1 end t2 from m1),
+m3 as (select *, case when length(no) > 0 then regexp_replace(t2, '\\b0*' || no || '\\b', '[CIK]', 'g') else t2 end t3 from m2),
+mk as (select na.doc_id, regexp_replace(regexp_replace(regexp_replace(t3, '(?i){tx.MONTH_DATE}', '[DATE]', 'g'), '{tx.NUMERIC_DATE}', '[DATE]', 'g'), '{tx.YEAR}', '[YEAR]', 'g') masked from na left join m3 using (doc_id))"""
 
 
 _SX = "sx as (select distinct scenario_id, cast(date as date) as day, permaticker, case when not isnan(composite) then composite end x, case when not isnan(fwd_ret_21) then fwd_ret_21 end y from panel)"
@@ -269,12 +366,6 @@ def bar_check_sql(days: str, longs: str) -> str:
     )
 
 
-_NONE = ", ".join(f"cast(null as double) {c}" for c in ("rf_severity", "rf_specificity", "rf_litigation", "rf_change"))
-_STUB = sql_out(
-    f"with {_TURN}, w as (select *, {_W.format(c='text')} a, {_W.format(c='p')} b, length(trim(text, ' ')) > 0 ok from tu) select doc_id, case when ok then tanh((length(text) % 7 - 3) / 3.0) end mdna_tone, case when ok then tanh((length(text) % 7 - 3) / 3.0) end mdna_forward_tone, {_density('may')} mdna_uncertainty, case when ok then least(1.0, length(text) / 5000.0) end mdna_complexity, {_density('liquid')} mdna_liquidity_stress, case when ok and p is not null then 1.0 - len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) end mdna_change, {_NONE} from w",
-    "mdna_tone mdna_forward_tone mdna_uncertainty mdna_complexity mdna_liquidity_stress mdna_change rf_severity rf_specificity rf_litigation rf_change",
-)
-
 _F = "distinct filing_id, upper(trim(form)) f from filings"
 SQL = {
     "filing_qualify": f"select filing_id, regexp_replace(f, '/A$', '') base, coalesce(f like '%/A', false) amended, coalesce(f in {_QUAL}, false) qualifies from (select {_F})",
@@ -305,5 +396,14 @@ SQL = {
     "stale_runs": f"with {_DY}, {_RUN} select ticker, longest from rl",
     "gap_check": f"with {_DY}, {_GAP} select ticker, day, gap, row_number() over (partition by ticker order by gap desc, day) place from gg where gap is not null qualify place <= 3",
     "bar_integrity": bar_check_sql(_DY, "bad_prices gaps big_moves"),
-    "stub_features": _STUB,
+    "html_to_text": f"select doc_id, {_tidy_sql(_tagless_sql('text'))} plain from documents",
+    "section_extract": f"with {_FOUND} select doc_id, mdna, risk_factors from se",
+    "stub_features": sql_out(_feature_sql(), " ".join(tx.FEATURES)),
+    "absent_enforced": sql_out(_enforced_sql(), " ".join(tx.FEATURES)),
+    "submission_sections": f"""with sg as (select doc_id, {_FORM} form, case when doc_id % 3 <> 0 and doc_id % 7 = 0 then text || ' and more' else text end body from documents),
+pl as (select doc_id, form, {_tidy_sql("regexp_replace(chr(10) || body || chr(10), '(?s)<[^>]+>', chr(10), 'g')")} plain from sg)
+select doc_id, md5(plain) digest, md5(mdna) mdna, md5(risk_factors) risk_factors from (select *, {_BOTH} from pl)""",
+    "mask_identity": f"with {_NAMED}, {_mask_sql('case when alias is null then [] else [alias] end', 'coalesce(code, ticker)', 'coalesce(number, plain)')} select doc_id, masked from mk",
+    "prepared_sections": f"""with {_NAMED}, {_mask_sql('[]::varchar[]', 'ticker', 'plain')}, c as (select doc_id, case when length(masked) > 16000 then substr(masked, 1, 12000) || chr(10) || chr(10) || '...[SECTION TRUNCATED - MIDDLE OMITTED]...' || chr(10) || chr(10) || right(masked, 4000) else masked end x, coalesce(length(masked) > 16000, false) cut from mk)
+select doc_id, md5(x) digest, length(x) chars, cut from c""",
 }
