@@ -61,6 +61,22 @@ def asof_join(
     return left.join(near, [*on, F.col(left_on) == F.col("__ts")], how).select(*own, *out)
 
 
+def asof_line(probes: DataFrame, facts: dict[str, DataFrame], key: str, at: str) -> DataFrame:
+    """Several backward as-of joins on one line per key, one shuffle for all of them.
+
+    ``facts`` are tables of ``key``, ``at`` and values, unique in (key, at); NULL keys and times are left out. Adds to each
+    probe a struct per name: the newest row up to and with the probe's time (its values and, as ``at``, its own
+    time), NULL where there is none. Probes stay as they are; those with a NULL key or time are dropped.
+    """
+    known = f"`{key}` is not null and `{at}` is not null"
+    both = probes.where(known).withColumn("__probe", F.lit(1))
+    for name, df in facts.items():
+        row = F.struct(*[F.col(c) for c in df.columns if c != key])
+        both = both.unionByName(df.where(known).select(key, at, row.alias(name), F.lit(0).alias("__probe")), allowMissingColumns=True)
+    line = Window.partitionBy(key).orderBy(at, "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({n: F.last(n, ignorenulls=True).over(line) for n in facts}).where("__probe = 1").drop("__probe")
+
+
 def with_age_limit(joined: DataFrame, at: str, as_of: str, columns: list[str], max_days: int, status: str = "status") -> DataFrame:
     """After a left as-of join: facts older than ``max_days`` are blanked, with their day, and a status says why.
 

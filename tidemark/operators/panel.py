@@ -13,9 +13,11 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import no_nan, ratio
+from ..functions.scalars import parse_day, ratio
 from ..session import staged
-from .asof import asof_join
+from .asof import asof_line
+from .identity import attribute, current_bars, sole_owner_segments, usable_windows
+from .rolling import trailing_figures
 
 
 @dataclass(frozen=True)
@@ -58,18 +60,6 @@ def numbered_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"seq": F.row_number().over(own), "ret": ratio(F.col("closeadj"), before) - 1})
 
 
-def trailing_features(bars: DataFrame, p: PanelParams = PanelParams()) -> DataFrame:
-    """+ vol (sample deviation of returns, partial frames, NULL below two) and dollarvol (median of close x volume)."""
-    own = Window.partitionBy("permaticker").orderBy("day")
-    numbered = numbered_returns(bars)
-    return numbered.withColumns(
-        {
-            "vol": F.stddev_samp("ret").over(own.rowsBetween(-(p.vol_rows - 1), 0)),
-            "dollarvol": F.percentile(F.col("closeadj") * F.col("volume"), F.lit(0.5)).over(own.rowsBetween(-(p.dollar_rows - 1), 0)),
-        }
-    )
-
-
 def calendar_of(bars: DataFrame) -> DataFrame:
     """Trade days with a dense number: day, idx. One row per day of the market, so one partition holds it."""
     return bars.select("day").distinct().withColumn("idx", F.row_number().over(Window.orderBy("day")))
@@ -108,14 +98,6 @@ def probe_grid(rebal: DataFrame, spans: DataFrame) -> DataFrame:
     return grid.select("permaticker", F.explode(alive).alias("day"))
 
 
-def asof_anchor_prices(probes: DataFrame, bars: DataFrame) -> DataFrame:
-    """As-of closes at several anchors in one pass: probes (permaticker, day, kind, at) -> permaticker, day, c_<kind>, d_<kind>."""
-    got = asof_join(probes, bars.select("permaticker", F.col("day").alias("bar_day"), "closeadj"), ["permaticker"], "at", "bar_day", ["closeadj"], as_of="seen")
-    kinds = ["skip", "back", "fwd"]
-    pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-    return got.groupBy("permaticker", "day").agg(*[pick(k, "closeadj").alias(f"c_{k}") for k in kinds], *[pick(k, "seen").alias(f"d_{k}") for k in kinds])
-
-
 def momentum(c_skip: str = "c_skip", c_back: str = "c_back"):
     return ratio(F.col(c_skip), F.col(c_back)) - 1
 
@@ -150,41 +132,63 @@ def build_panel(
     ``fund`` (permaticker, day, fund_id, eps, bvps, gp, assets), ``meta`` (permaticker, last, category, exchange).
 
     One row per rebalance day and identity that has a bar by then and is not past its last day.
-    Facts are the latest known by the day, a whole row at a time. Every join is on
-    permaticker, so after the attribution the data stay in one partitioning.
+    Facts are the latest known by the day, a whole row at a time. Bars and caps are unique in (permaticker, day); of
+    several fundamentals known on a day the greatest fund_id stands.
+
+    Bars, market values, fundamentals and the probes of all anchors are laid on one line per identity and carried
+    forward together: one shuffle serves the eight look-ups. Trailing volatility and median dollar volume are made at
+    the probes only.
     """
-    bars = bars.where("closeadj is not null")
-    feat = trailing_features(bars, params)
+    bars = staged(numbered_returns(bars.where("closeadj is not null")).withColumn("dv", F.col("closeadj") * F.col("volume")))  # read for the line and for both figures
     cal = calendar_of(bars)
-    anchored = with_anchors(cal, params)
-    rebal = rebalance_days(cal, start, end).join(F.broadcast(anchored), "day")  # a calendar: one row per trade day
+    rebal = rebalance_days(cal, start, end).join(F.broadcast(with_anchors(cal, params)), "day")  # a calendar: one row per trade day
     spans = bars.groupBy("permaticker").agg(F.min("day").alias("first")).join(meta.select("permaticker", "last"), "permaticker")
-    grid = probe_grid(rebal, spans)
-    at = asof_join(
-        grid, feat.select("permaticker", F.col("day").alias("bar_day"), "closeadj", "seq", "vol", "dollarvol"), ["permaticker"], "day", "bar_day", ["closeadj", "seq", "vol", "dollarvol"]
-    ).withColumnsRenamed({"closeadj": "close", "seq": "hist_days"})
-    at = asof_join(at, caps.withColumnRenamed("day", "cap_day").where("marketcap is not null"), ["permaticker"], "day", "cap_day", ["marketcap"], how="left")
+    stops = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("at")) for k, c in (("now", "day"), ("skip", "day_skip"), ("back", "day_back"), ("fwd", "day_fwd"))])
+    probes = probe_grid(rebal.select("day"), spans).join(F.broadcast(rebal.select("day", "day_skip", "day_back", "day_fwd")), "day")
+    probes = probes.select("permaticker", "day", "day_fwd", F.explode(stops).alias("s")).select("permaticker", "day", "day_fwd", "s.kind", "s.at")
     figures = ["eps", "bvps", "gp", "assets"]
-    at = asof_join(at, fund.withColumnRenamed("day", "known"), ["permaticker"], "day", "known", figures, tie_break=[F.col("fund_id")], how="left")
-    at = at.join(F.broadcast(rebal.select("day", "day_skip", "day_back", "day_fwd")), "day")
-    at = staged(at)  # the cross-section, far smaller than the bars; it is read twice below
-    stops = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"day_{k}").alias("at")) for k in ("skip", "back", "fwd")])
-    probes = at.select("permaticker", "day", F.explode(stops).alias("s")).select("permaticker", "day", "s.kind", "s.at").where("at is not null")
-    at = at.join(asof_anchor_prices(probes, bars), ["permaticker", "day"], "left").join(meta, "permaticker")
+    newest = fund.groupBy("permaticker", F.col("day").alias("at")).agg(F.max_by(F.struct(*figures), "fund_id").alias("f")).select("permaticker", "at", "f.*")
+    facts = {
+        "bar": bars.select("permaticker", F.col("day").alias("at"), "closeadj", "seq"),
+        "cap": caps.where("marketcap is not null").select("permaticker", F.col("day").alias("at"), "marketcap"),
+        "fund": newest,
+    }
+    seen = asof_line(probes, facts, "permaticker", "at")
+    when = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    at = seen.groupBy("permaticker", "day").agg(
+        when("now", "bar.closeadj").alias("close"), when("now", "bar.seq").alias("hist_days"), when("now", "cap.marketcap").alias("marketcap"),
+        *[when("now", f"fund.{c}").alias(c) for c in figures],
+        *[when(k, "bar.closeadj").alias(f"c_{k}") for k in ("skip", "back", "fwd")], when("fwd", "bar.at").alias("d_fwd"), F.max("day_fwd").alias("day_fwd"),
+    )
+    at = staged(at.where("close is not null"))  # the cross-section, far smaller than the bars; it is read twice below
+    trail = trailing_figures(at.select("permaticker", "day", F.col("hist_days").alias("h")), bars.select("permaticker", "seq", "ret", "dv"), ["permaticker", "day"], "ret", params.vol_rows, "dv", params.dollar_rows)
+    at = at.join(trail.withColumnsRenamed({"trail_std": "vol", "trail_median": "dollarvol"}), ["permaticker", "day"], "left").join(meta, "permaticker")
     out = forward_label(at.withColumn("mom", momentum()))
     keep = ["day", "permaticker", "close", "marketcap", "dollarvol", "hist_days", "mom", "vol", *figures, "category", "exchange", "fwd_ret", "fwd_status"]
     return out.select(*keep)
 
 
-def identity_meta(tickers: DataFrame, windows: DataFrame) -> DataFrame:
+def panel_from_tables(prices: DataFrame, tickers: DataFrame, caps: DataFrame, fund: DataFrame, *, ambiguous: str = "raise", params: PanelParams = PanelParams(), start: date | None = None, end: date | None = None) -> DataFrame:
+    """The cross-section from raw tables: ``prices`` (ticker, date, closeadj, volume, lastupdated), ``tickers`` (the
+    master), ``caps`` (ticker, date, marketcap), ``fund`` (ticker, day, fund_id and figures of one dimension).
+
+    A day that two windows of a ticker claim fails at once (``ambiguous='raise'``) or belongs to nobody ('drop').
+    """
+    windows = usable_windows(tickers, ["ticker", "permaticker"])
+    if ambiguous == "raise":
+        assert_unambiguous(prices, windows)
+    seg = sole_owner_segments(windows)
+    bars = current_bars(prices, tickers, ("closeadj", "volume"))
+    valued = attribute(caps.where("marketcap is not null"), seg, "ticker", "date").groupBy("permaticker", F.col("date").alias("day")).agg(F.max("marketcap").alias("marketcap"))
+    known = attribute(fund.where("day is not null"), seg, "ticker", "day").drop("ticker").distinct()
+    master = tickers.select(F.col("permaticker").cast("long").alias("permaticker"), parse_day("firstpricedate").alias("first"), parse_day("lastpricedate").alias("last"), "category", "exchange")
+    return build_panel(bars, valued, known, identity_meta(master.where("first <= last")), params=params, start=start, end=end)
+
+
+def identity_meta(windows: DataFrame) -> DataFrame:
     """Latest master row per identity, chosen by its last day then by content: permaticker, last, category, exchange.
 
     ``windows`` must hold the readable last day as ``last`` beside permaticker, category, exchange.
     """
-    del tickers
     best = F.struct("last", "category", "exchange")
     return windows.groupBy("permaticker").agg(F.max(best).alias("m")).select("permaticker", "m.*")
-
-
-def clean_bars(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({"closeadj": no_nan("closeadj"), "volume": no_nan("volume")})

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def daily(df: DataFrame, entity: str, day: str, **totals: Column) -> DataFrame:
     """Sums per entity and day, partial sums before the shuffle. A NULL value adds nothing; NULL keys are left out."""
@@ -53,6 +55,46 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, spans: tupl
     return trailing(densify(daily(df, entity, day, total=F.col(value)), entity, ["total"]), entity, "total", spans)
 
 
+#: Rows of an entity that are joined as one unit; only a join key, it bounds nothing.
+BLOCK = 128
+
+
+def last_rows(probes: DataFrame, numbered: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Pairs of a probe and each of the last ``rows`` rows up to it: ``keys``, seq and h, and the columns of ``numbered``.
+
+    ``probes`` has ``keys`` (the first is the entity) and ``h``, the number of the last row it sees; ``numbered`` has the
+    entity, ``seq`` (1, 2, ... within it) and values. A row number is cut into blocks and a probe asks for the few
+    blocks it reaches into, so the join is on (entity, block): a long entity is spread over its blocks, and a
+    probe meets at most ``rows`` + 2 * BLOCK rows however long the entity is.
+    """
+    e = keys[0]
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    first = F.greatest(F.col("h") - (rows - 1), F.lit(1))
+    asked = probes.where("h > 0").select(*keys, "h", F.explode(F.sequence(block(first), block(F.col("h")))).alias("__b"))
+    held = numbered.withColumn("__b", block(F.col("seq")))
+    return asked.join(held, [e, "__b"]).where((F.col("seq") <= F.col("h")) & (F.col("seq") > F.col("h") - rows)).drop("__b")
+
+
+def median_of_list(values: Column) -> Column:
+    """Interpolated median of an array without NULLs; NULL if it is empty."""
+    x, k = F.sort_array(values), F.size(values)
+    mid = (F.element_at(x, F.floor((k + 1) / 2).cast("int")) + F.element_at(x, F.floor(k / 2).cast("int") + 1)) / 2
+    return F.when(k > 0, mid)
+
+
+def trailing_figures(probes: DataFrame, numbered: DataFrame, keys: list[str], std_of: str, std_rows: int, median_of: str, median_rows: int) -> DataFrame:
+    """Sample deviation and median over the last rows up to each probe: ``keys``, trail_std, trail_median.
+
+    Work is done for the probes' own rows only (see last_rows). Probes are unique in ``keys``; one without rows, or
+    without values among them, gives NULL figures or no row.
+    """
+    std = last_rows(probes, numbered.select(keys[0], "seq", F.col(std_of).alias("__s")).where("__s is not null"), keys, std_rows)
+    mid = last_rows(probes, numbered.select(keys[0], "seq", F.col(median_of).alias("__m")).where("__m is not null"), keys, median_rows)
+    std = std.groupBy(*keys).agg(F.stddev_samp("__s").alias("trail_std"))
+    mid = mid.groupBy(*keys).agg(F.collect_list("__m").alias("__l")).select(*keys, median_of_list(F.col("__l")).alias("trail_median"))
+    return std.join(mid, keys, "full")
+
+
 def trailing_at(
     probes: DataFrame,
     bars: DataFrame,
@@ -66,28 +108,19 @@ def trailing_at(
 ) -> DataFrame:
     """Sample deviation and median over the last rows up to each probe's day (inclusive).
 
-    ``bars`` must hold one row per entity and ``day``. Bars and probes are laid on one line per
-    entity; a running count numbers the bars and RANGE frames over that number skip the probes.
-    Probes are reduced to distinct days first and joined back, so an entity's line is as long as its
-    calendar. NULL values inside the rows are left out; the deviation needs two values, the
-    median one, else NULL. Probes without an earlier bar get NULLs; probes with a NULL key or day
-    are dropped. Adds ``trail_std``, ``trail_median``.
+    ``bars`` must hold one row per entity and ``day``. Bars and distinct probe days are laid on one line per
+    entity, where a running count numbers the bars and tells each probe the last one it sees; figures are then
+    made at the probes only. NULL values inside the rows are left out; the deviation needs two values, the
+    median one, else NULL. Probes without an earlier bar get NULLs; probes with a NULL key or day are dropped.
+    Adds ``trail_std``, ``trail_median``.
     """
     left = probes.select(F.col(entity).cast("long").alias("__e"), F.col(probe_day).alias("__d")).where("__e is not null and __d is not null").distinct()
-    right = bars.select(F.col(entity).cast("long").alias("__e"), F.col("day").alias("__d"), F.col(std_of).alias("__s"), median_of.alias("__m"), F.lit(1).alias("__n"))
-    both = right.unionByName(left, allowMissingColumns=True)
+    right = bars.select(F.col(entity).cast("long").alias("__e"), F.col("day").alias("__d"), F.col(std_of).alias("__std"), median_of.alias("__med"), F.lit(1).alias("__n"))
     line = Window.partitionBy("__e").orderBy("__d", F.col("__n").asc_nulls_last())
-    both = both.withColumn("__seq", F.count("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    at = Window.partitionBy("__e").orderBy("__seq")
-    both = both.withColumns(
-        {
-            "trail_std": F.stddev_samp("__s").over(at.rangeBetween(-(std_rows - 1), 0)),
-            "__list": F.collect_list("__m").over(at.rangeBetween(-(median_rows - 1), 0)),
-        }
-    ).where("__n is null")
-    x, k = F.array_sort("__list"), F.size("__list")
-    mid = (F.element_at(x, F.floor((k + 1) / 2).cast("int")) + F.element_at(x, F.floor(k / 2).cast("int") + 1)) / 2
-    figures = both.select("__e", "__d", "trail_std", F.when(k > 0, mid).alias("trail_median"))
+    both = right.unionByName(left, allowMissingColumns=True).withColumn("seq", F.count("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    both = staged(both)  # read for the rows of either figure and for the probes
+    asked = both.where("__n is null and seq > 0").select("__e", "__d", F.col("seq").alias("h"))
+    figures = trailing_figures(asked, both.where("__n is not null"), ["__e", "__d"], "__std", std_rows, "__med", median_rows)
     own = [c for c in probes.columns if c not in ("trail_std", "trail_median")]
     on = [F.col(entity).cast("long") == F.col("__e"), F.col(probe_day) == F.col("__d")]
-    return probes.select(*own).join(figures, on).drop("__e", "__d")
+    return probes.where(F.col(entity).isNotNull() & F.col(probe_day).isNotNull()).select(*own).join(figures, on, "left").drop("__e", "__d")

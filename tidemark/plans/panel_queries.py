@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,41 +11,45 @@ from ..functions.scalars import no_nan, parse_day
 from ..operators import factors, harness, panel
 from ..operators.asof import asof_join, period_returns, with_age_limit
 from ..operators.book import BookParams, buffered_book, half_spread, side_cost_bps, size_tier, water_fill
+from ..operators.filters import guard_span
 from ..operators.identity import attribute, current_bars, sole_owner_segments, usable_windows
+from ..operators.rolling import last_rows, median_of_list
 from ..session import staged, table
 from .common import out, sql_out
 from .pit_queries import SQL_BARS, SQL_OWNERS, STALE_DAYS, sql_day
 
-# Look-backs shortened, as in the SQL below; the operators' defaults are the design's.
-SHORT = panel.PanelParams(skip=5, lookback=60, vol_rows=60, dollar_rows=20, horizon=21)
-
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
     return current_bars(table(spark, d, "sep_prices"), table(spark, d, "tickers"), ("closeadj", "volume"))
 
 
-def _caps(bars: DataFrame) -> DataFrame:
-    """Market value in $M, standing in for a valuation feed that the inputs lack."""
-    return bars.select("permaticker", "day", (F.col("closeadj") * (F.col("permaticker") % 200 + 10)).alias("marketcap"))
+def _fund_rows(spark: SparkSession, d: str) -> DataFrame:
+    nums = [no_nan(c).alias(c) for c in ("eps", "bvps", "gp", "assets")]
+    return table(spark, d, "fundamentals").where("dimension = 'ART'").select("fund_id", "ticker", parse_day("datekey").alias("day"), *nums)
 
 
 def _fund(spark: SparkSession, d: str) -> DataFrame:
     seg = sole_owner_segments(usable_windows(table(spark, d, "tickers"), ["ticker", "permaticker"]))
-    nums = [no_nan(c).alias(c) for c in ("eps", "bvps", "gp", "assets")]
-    f = table(spark, d, "fundamentals").where("dimension = 'ART'").select("fund_id", "ticker", parse_day("datekey").alias("day"), *nums)
-    return attribute(f.where("day is not null"), seg, "ticker", "day").drop("ticker").distinct()
+    return attribute(_fund_rows(spark, d).where("day is not null"), seg, "ticker", "day").drop("ticker").distinct()
 
 
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "tickers").select(
         F.col("permaticker").cast("long").alias("permaticker"), parse_day("firstpricedate").alias("first"), parse_day("lastpricedate").alias("last"), "category", "exchange"
     )
-    return panel.identity_meta(w, w.where("first <= last"))
+    return panel.identity_meta(w.where("first <= last"))
+
+
+def _valuation(spark: SparkSession, d: str) -> DataFrame:
+    """Daily market value in $M by ticker, standing in for a valuation feed that the inputs lack: price times a number of
+    shares that the ticker's name tells, in ticks of 5 days and missing for every seventh ticker."""
+    shares = F.length("ticker") * 7 + F.ascii("ticker") % 60
+    p = table(spark, d, "sep_prices").where("ticker is not null and closeadj is not null").groupBy("ticker", "date").agg(F.max("closeadj").alias("c"))
+    return p.where((F.ascii(F.right("ticker", F.lit(1))) % 7 != 0) & (F.dayofmonth("date") % 5 == 0)).select("ticker", "date", (F.col("c") * shares).alias("marketcap"))
 
 
-def _built(spark: SparkSession, d: str) -> DataFrame:
-    bars = staged(_bars(spark, d))
-    return panel.build_panel(bars, _caps(bars), _fund(spark, d), _meta(spark, d), params=SHORT)
+def _built(spark: SparkSession, d: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    return panel.panel_from_tables(table(spark, d, "sep_prices"), table(spark, d, "tickers"), _valuation(spark, d), _fund_rows(spark, d), ambiguous="drop", start=start, end=end)
 
 
 def _rank_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +81,13 @@ def panel_returns_vol(spark, d):
 
 
 def trailing_median_dollarvol(spark, d):
-    return out(panel.trailing_features(_bars(spark, d)).select("permaticker", "day", "dollarvol"))
+    """Median dollar volume of the last 60 bars at each rebalance day of an identity, as far as its bars reach."""
+    bars = staged(panel.numbered_returns(_bars(spark, d)).withColumn("dv", F.col("closeadj") * F.col("volume")))
+    spans = bars.groupBy("permaticker").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    grid = panel.probe_grid(panel.rebalance_days(panel.calendar_of(bars)), spans)
+    at = asof_join(grid, bars.withColumnRenamed("day", "bar_day"), ["permaticker"], "day", "bar_day", ["seq"]).withColumnRenamed("seq", "h")
+    mid = last_rows(at, bars.select("permaticker", "seq", "dv").where("dv is not null"), ["permaticker", "day"], 60)
+    return out(mid.groupBy("permaticker", "day").agg(median_of_list(F.collect_list("dv")).alias("dollarvol")))
 
 
 def calendar_anchors(spark, d):
@@ -112,6 +124,17 @@ def built_panel(spark, d):
     return out(_built(spark, d))
 
 
+def span_panel(spark, d):
+    """Rebalance days of two years only; prices before and after them are still read."""
+    return out(_built(spark, d, *guard_span(date(2013, 1, 1), date(2014, 12, 31), date(2021, 1, 1))))
+
+
+def daily_valuation(spark, d):
+    """Market values attributed to the identity that owned the ticker on the day."""
+    seg = sole_owner_segments(usable_windows(table(spark, d, "tickers"), ["ticker", "permaticker"]))
+    return out(attribute(_valuation(spark, d), seg, "ticker", "date").select("permaticker", "ticker", F.col("date").alias("day"), "marketcap"))
+
+
 BAND = factors.Band("core", {"dollarvol_60": (200_000.0, None), "close_t": (5.0, 400.0), "hist_days": (60, None)})
 WIDE = BAND.with_floors(dollarvol_60=50_000.0, close_t=1.0)
 
@@ -247,7 +270,7 @@ def buffered_book_query(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     attribute_interval_join, attribution_ambiguity, panel_returns_vol, trailing_median_dollarvol, calendar_anchors, asof_price, asof_fundamentals,
-    asof_strict_filing, anchor_momentum, forward_label_status, built_panel, universe_screen, universe_funnel, band_screen_grid, winsor_z, factor_scores,
+    asof_strict_filing, anchor_momentum, forward_label_status, built_panel, span_panel, daily_valuation, universe_screen, universe_funnel, band_screen_grid, winsor_z, factor_scores,
     ranking_coverage, deciles, rank_ic_by_date, ic_summary, newey_west, decile_table, monotonicity, long_only_monthly, long_short_spread, cost_curve,
     cheat_control, permutation_null, leak_audit, ew_universe_benchmark, status_counts, benchmark_period_returns, water_fill_weights, impact_cost,
 )} | {"buffered_book": buffered_book_query}
@@ -260,13 +283,19 @@ fd0 as (
   join ok o on o.ticker = f.ticker and f.k between o.a and o.b group by all having count(distinct o.permaticker) = 1),
 fd as (select * from fd0 qualify row_number() over (partition by permaticker, k order by fund_id desc) = 1)"""
 
-_PANEL = f"""{SQL_BARS},{_FD},
+_CAP = """
+cap0 as (select ticker, cast(date as date) d, max(closeadj) * (length(ticker) * 7 + ascii(ticker) % 60) marketcap from sep_prices
+  where ticker is not null and not isnan(closeadj) and ascii(right(ticker, 1)) % 7 <> 0 and day(date) % 5 = 0 group by ticker, date),
+cap as (select c.ticker, c.d, c.marketcap, min(o.permaticker) permaticker from cap0 c join ok o on o.ticker = c.ticker and c.d between o.a and o.b
+  group by all having count(distinct o.permaticker) = 1)"""
+
+_PANEL = f"""{SQL_BARS},{_FD},{_CAP},
 px as (select permaticker, d, closeadj, volume, row_number() over w seq, closeadj / nullif(lag(closeadj) over w, 0) - 1 r
   from bar window w as (partition by permaticker order by d)),
-fx as (select *, stddev_samp(r) over (w rows 59 preceding) vol, median(closeadj * volume) over (w rows 19 preceding) dollarvol
+fx as (select *, stddev_samp(r) over (w rows 251 preceding) vol, median(closeadj * volume) over (w rows 59 preceding) dollarvol
   from px window w as (partition by permaticker order by d)),
 cal as (select distinct d from bar),
-anc as (select d, lag(d, 5) over o dskip, lag(d, 60) over o dback, lead(d, 21) over o dfwd from cal window o as (order by d)),
+anc as (select d, lag(d, 21) over o dskip, lag(d, 252) over o dback, lead(d, 21) over o dfwd from cal window o as (order by d)),
 reb as (select * from anc where d in (select max(d) from cal group by date_trunc('month', d))),
 meta as (
   select permaticker, b, category, exchange
@@ -276,7 +305,7 @@ grid as (
   select m.permaticker, m.b, m.category, m.exchange, r.* from reb r
   join (select permaticker, min(d) a from bar group by 1) s on r.d >= s.a join meta m on m.permaticker = s.permaticker where r.d <= m.b),
 p0 as (select g.*, x.closeadj, x.seq, x.vol, x.dollarvol from grid g asof join fx x on g.permaticker = x.permaticker and g.d >= x.d),
-p1 as (select p0.*, c.closeadj * (c.permaticker % 200 + 10) marketcap from p0 asof left join bar c on p0.permaticker = c.permaticker and p0.d >= c.d),
+p1 as (select p0.*, c.marketcap from p0 asof left join (select permaticker, d, max(marketcap) marketcap from cap group by all) c on p0.permaticker = c.permaticker and p0.d >= c.d),
 p2 as (select p1.*, f.eps, f.bvps, f.gp, f.assets from p1 asof left join fd f on p1.permaticker = f.permaticker and p1.d >= f.k),
 p3 as (select p2.*, x.closeadj c_skip from p2 asof left join bar x on p2.permaticker = x.permaticker and p2.dskip >= x.d),
 p4 as (select p3.*, x.closeadj c_back from p3 asof left join bar x on p3.permaticker = x.permaticker and p3.dback >= x.d),
@@ -367,7 +396,7 @@ SQL = {
     "attribute_interval_join": sql_out(f"with {SQL_BARS} select permaticker, count(*) n, cast(min(date) as date) first_day, cast(max(date) as date) last_day, sum(volume) volume from owned group by 1", "volume", "permaticker n"),
     "attribution_ambiguity": sql_out(f"with {SQL_OWNERS} select p.ticker, cast(p.date as date) as day, count(*) matches from sep_prices p join ok o on o.ticker = p.ticker and p.date between o.a and o.b group by all having count(*) > 1"),
     "panel_returns_vol": sql_out(f"with {SQL_BARS}, px as (select permaticker, d as day, row_number() over w seq, closeadj / nullif(lag(closeadj) over w, 0) - 1 r from bar window w as (partition by permaticker order by d)) select permaticker, day, seq, r ret, stddev_samp(r) over (partition by permaticker order by day rows 251 preceding) vol from px", "ret vol", "permaticker"),
-    "trailing_median_dollarvol": sql_out(f"with {SQL_BARS} select permaticker, d as day, median(closeadj * volume) over (partition by permaticker order by d rows 59 preceding) dollarvol from bar", "dollarvol", "permaticker"),
+    "trailing_median_dollarvol": sql_out(f"with {SQL_BARS}, n as (select *, row_number() over (partition by permaticker order by d) i from bar), r as (select max(d) r from (select distinct d from bar) group by date_trunc('month', d)), h as (select permaticker, r, max(i) filter (where d <= r) h from n, r group by 1, 2 having min(d) <= r and max(d) >= r) select h.permaticker, h.r as day, median(closeadj * volume) dollarvol from h join n on n.permaticker = h.permaticker and n.i between h.h - 59 and h.h group by all having count(closeadj * volume) > 0", "dollarvol", "permaticker"),
     "calendar_anchors": f"with {SQL_BARS}, cal as (select distinct d from bar), anc as (select d as day, row_number() over o idx, lag(d, 21) over o day_skip, lag(d, 252) over o day_back, lead(d, 21) over o day_fwd from cal window o as (order by d)) select * from anc where day in (select max(d) from cal group by date_trunc('month', d))",
     "asof_price": sql_out(f"with {SQL_BARS}, {_FT} select ft.feat_id, bar.d bar_seen, bar.closeadj from ft asof join bar on ft.permaticker = bar.permaticker and ft.t >= bar.d", "closeadj"),
     "asof_fundamentals": sql_out(f"with {SQL_OWNERS}, {_FD}, {_FT} select ft.feat_id, fd.fund_id, fd.eps, fd.bvps from ft asof left join fd on ft.permaticker = fd.permaticker and ft.t >= fd.k", "eps bvps"),
@@ -375,6 +404,8 @@ SQL = {
     "anchor_momentum": sql_out(f"with {_PANEL} select day, permaticker, mom from built", "mom", "permaticker"),
     "forward_label_status": sql_out(f"with {_PANEL} select day, permaticker, fwd_ret, fwd_status from built", "fwd_ret", "permaticker"),
     "built_panel": sql_out(f"with {_PANEL} select * from built", "close marketcap dollarvol mom vol eps bvps gp assets fwd_ret", "permaticker"),
+    "span_panel": sql_out(f"with {_PANEL} select * from built where day between date '2013-01-01' and date '2014-12-31'", "close marketcap dollarvol mom vol eps bvps gp assets fwd_ret", "permaticker"),
+    "daily_valuation": sql_out(f"with {SQL_OWNERS},{_CAP} select permaticker, ticker, d as day, marketcap from cap", "marketcap", "permaticker"),
     "universe_screen": f"with {_SCREEN} select * exclude (wide) from e",
     "universe_funnel": sql_out(f"with {_SCREEN} select t, count(*) candidates, sum(dollarvol_60_ok::int) n_dollarvol_60_ok, sum(close_t_ok::int) n_close_t_ok, sum(hist_days_ok::int) n_hist_days_ok, sum(eligible::int) n_eligible from e group by t", "", "n_dollarvol_60_ok n_close_t_ok n_hist_days_ok n_eligible"),
     "band_screen_grid": sql_out(f"with {_SCREEN} select 'core' band, t, sum(eligible::int) eligible from e group by t union all select 'wide', t, sum(wide::int) from e group by t", "", "eligible"),
