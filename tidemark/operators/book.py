@@ -77,83 +77,96 @@ def fill_exact(caps: np.ndarray) -> np.ndarray:
     return np.minimum(caps, share[np.argmax(o >= share)])
 
 
-BOOK_SCHEMA = "scenario string, day date, rebalanced boolean, held int, invested double, gross double, turnover double, cost double, net double, missing int"
+BOOK_SCHEMA = (
+    "scenario string, day date, rebalanced boolean, held int, invested double, gross double, turnover double, cost double, net double, "
+    "part_mean double, part_max double, valid int, missing int, delisted int"
+)
 
 
-def _fold(pdf: pd.DataFrame, p: BookParams) -> pd.DataFrame:
-    """Walk one scenario's dates. Names are numbered once; the book is one array over those numbers."""
-    scenario, aum, scale = pdf["scenario"].iloc[0], float(pdf["aum"].iloc[0]), float(pdf["cost_scale"].iloc[0])
-    pdf = pdf.sort_values(["day", "item"], kind="stable")
-    names, code = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-    col = {c: pdf[c].to_numpy(float) for c in ("decile", "composite", "ret", "dollarvol", "marketcap")}
-    days = pdf["day"].to_numpy()
-    bounds = np.flatnonzero(np.concatenate([[True], days[1:] != days[:-1], [True]]))
-    w, out = np.zeros(len(names)), []
-    blank = np.full(len(names), np.nan)
-    for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        at = code[a:z]
-        here = {}
-        for c, v in col.items():
-            here[c] = blank.copy()
-            here[c][at] = v[a:z]
+def _spread(cap: np.ndarray) -> np.ndarray:
+    return np.where(cap < NANO_BELOW, HALF_SPREAD["nano"], np.where(cap < MICRO_BELOW, HALF_SPREAD["micro"], HALF_SPREAD["liquid"]))
+
+
+def _walk(days: list, slices: list, n: int, aum: float, scale: float, p: BookParams) -> list[tuple]:
+    """One setting's way through the dates; ``slices`` hold the names of a date and their columns."""
+    w, out = np.zeros(n), []
+    for k, (day, (at, c)) in enumerate(zip(days, slices, strict=True)):
         turnover = cost = 0.0
+        parts = np.zeros(0)
         if k % p.every == 0:
-            held = w > 0
-            kept = held & (here["decile"] >= p.hold)
-            fresh = np.flatnonzero(~held & (here["decile"] >= p.buy))
-            room = max(0, p.target_n - int(kept.sum()))
-            best = fresh[np.argsort(-np.nan_to_num(here["composite"][fresh], nan=-np.inf), kind="stable")][:room]
+            held = w[at] > 0
+            kept = held & (c["decile"] >= p.hold)
+            fresh = np.flatnonzero(~kept & (c["decile"] >= p.buy))
+            best = fresh[np.argsort(-np.nan_to_num(c["composite"][fresh], nan=-np.inf), kind="stable")][: max(0, p.target_n - int(kept.sum()))]
             chosen = np.concatenate([np.flatnonzero(kept), best])
-            new = np.zeros(len(names))
+            new = np.zeros(n)
             if len(chosen):
-                new[chosen] = fill_exact(np.clip(p.adv_multiple * np.nan_to_num(here["dollarvol"][chosen]) / aum, 0.0, p.max_weight))
-            delta, vol = np.abs(new - w), np.nan_to_num(here["dollarvol"])
-            part = np.divide(np.maximum(w, new) * aum, vol, out=np.zeros(len(names)), where=vol > 0)
-            cap = np.nan_to_num(here["marketcap"])
-            spread = np.where(cap < NANO_BELOW, HALF_SPREAD["nano"], np.where(cap < MICRO_BELOW, HALF_SPREAD["micro"], HALF_SPREAD["liquid"]))
-            present = np.zeros(len(names))
-            present[at] = 1.0  # a name that left the panel costs nothing here
-            turnover = float(delta.sum())
-            cost = float((delta * present * (spread + IMPACT_BPS * np.sqrt(part) + COMMISSION_BPS) * scale).sum() / 1e4)
-            w = new
-        on = w > 0
-        gross = float((w * np.nan_to_num(here["ret"])).sum())
-        out.append((scenario, days[a], k % p.every == 0, int(on.sum()), float(w.sum()), gross, turnover, cost, gross - cost, int(np.isnan(here["ret"][on]).sum())))
-    return pd.DataFrame(out, columns=["scenario", "day", "rebalanced", "held", "invested", "gross", "turnover", "cost", "net", "missing"])
+                new[at[chosen]] = fill_exact(np.clip(p.adv_multiple * np.nan_to_num(c["dollarvol"][chosen]) / aum, 0.0, p.max_weight))
+            turnover = float(np.abs(new - w).sum())
+            # a name that left the panel costs nothing here; one without volume or value trades at no participation
+            delta, size = np.abs(new - w)[at], np.maximum(w, new)[at] * aum
+            known = (c["dollarvol"] > 0) & ~np.isnan(c["marketcap"])
+            part = np.divide(size, c["dollarvol"], out=np.zeros(len(at)), where=known)
+            cost = float((delta * (_spread(np.nan_to_num(c["marketcap"])) + IMPACT_BPS * np.sqrt(part) + COMMISSION_BPS) * scale).sum() / 1e4)
+            parts, w = part[delta > 0], new
+        mine, seen = w[at] > 0, ~np.isnan(c["ret"])
+        n_held, valid = int((w > 0).sum()), int((mine & seen).sum())
+        gross = float((w[at] * np.nan_to_num(c["ret"])).sum())
+        delisted = int((mine & seen & (c["gone"] > 0)).sum())
+        figures = (float(parts.mean()), float(parts.max())) if len(parts) else (None, None)
+        out.append((day, k % p.every == 0, n_held, float(w.sum()), gross, turnover, cost, gross - cost, *figures, valid, n_held - valid, delisted))
+    return out
+
+
+def _fold(pdf: pd.DataFrame, p: BookParams, settings: list[tuple[float, float]]) -> pd.DataFrame:
+    """All settings of one group. Names are numbered and dates cut once; a book is one array over those numbers."""
+    pdf = pdf.sort_values(["day", "item"], kind="stable")
+    names, code = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+    col = {c: pdf[c].to_numpy(float) for c in ("decile", "composite", "ret", "dollarvol", "marketcap", "gone")}
+    day = pdf["day"].to_numpy()
+    bounds = np.flatnonzero(np.concatenate([[True], day[1:] != day[:-1], [True]]))
+    cuts = [slice(a, z) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    days, slices = [day[c.start] for c in cuts], [(code[c], {k: v[c] for k, v in col.items()}) for c in cuts]
+    g = pdf["g"].iloc[0]
+    rows = [(f"{g}|{int(aum)}|{scale:.1f}", *r) for aum, scale in settings for r in _walk(days, slices, len(names), aum, scale, p)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in BOOK_SCHEMA.split(", ")])
 
 
 def buffered_book(panel: DataFrame, aums: tuple[float, ...] = (5e5,), scales: tuple[float, ...] = (1.0,), p: BookParams = BookParams(), group: str | None = None) -> DataFrame:
-    """Monthly book per scenario (``group`` x AUM x cost scale): see BOOK_SCHEMA.
+    """Monthly book per scenario (``group``|AUM|cost scale): see BOOK_SCHEMA.
 
     Every ``every``-th date: names held with a decile of ``hold`` or more stay, the best of ``buy`` or more
     fill up to ``target_n``, all are reweighted. Between, weights stand. A missing or absent return
-    counts 0. ``panel`` has day, item, decile, composite, ret, dollarvol, marketcap; of repeated
-    (day, item) rows the greatest counts. Rows below ``hold`` are only kept where an item is held-able
-    (``hold`` or more at some date), since no other row can touch the book.
+    counts 0. ``panel`` has day, item, decile, composite, ret, dollarvol, marketcap and, if known, fwd_status; of repeated
+    (day, item) rows the greatest counts. Only items that can be bought at some date take part, since no other row
+    can touch the book; a group's rows are sent once and every AUM and scale is walked over them.
     """
     name = F.coalesce(F.col(group).cast("string"), F.lit("-")) if group else F.lit("all")
-    body = F.struct("decile", "composite", "ret", "dollarvol", "marketcap")
+    gone = F.coalesce(F.col("fwd_status") == "delisted_partial", F.lit(False)) if "fwd_status" in panel.columns else F.lit(False)
+    body = F.struct("decile", "composite", "ret", "dollarvol", "marketcap", gone.cast("double").alias("gone"))
     one = panel.select(name.alias("g"), "day", "item", body.alias("b")).where("day is not null and item is not null").groupBy("g", "day", "item").agg(F.max("b").alias("b"))
     can = F.max(F.col("b.decile") >= p.buy).over(Window.partitionBy("g", "item"))
     days = one.select("g", "day").distinct()
     one = one.withColumn("__can", can).where("__can").drop("__can")
     # a date on which nobody can be held still is a date of the walk
-    one = days.join(one, ["g", "day"], "left")
-    settings = [F.struct(F.lit(float(a)).alias("aum"), F.lit(float(s)).alias("cost_scale")) for a in aums for s in scales]
-    rows = one.withColumn("s", F.explode(F.array(*settings))).select(
-        F.concat_ws("|", "g", F.col("s.aum").cast("long").cast("string"), F.format_number("s.cost_scale", 1)).alias("scenario"), "s.*", "day", F.coalesce("item", F.lit(-1)).alias("item"), "b.*"
-    )
-    return rows.groupBy("scenario").applyInPandas(lambda pdf: _fold(pdf, p), BOOK_SCHEMA)
+    rows = days.join(one, ["g", "day"], "left").select("g", "day", F.coalesce("item", F.lit(-1)).alias("item"), "b.*")
+    settings = [(float(a), float(s)) for a in aums for s in scales]
+    return rows.groupBy("g").applyInPandas(lambda pdf: _fold(pdf, p, settings), BOOK_SCHEMA)
 
 
 def book_diagnostics(book: DataFrame) -> DataFrame:
-    on = F.when(F.col("rebalanced"), F.col("turnover"))
+    """Per scenario: months, rebalances, turnover over all months and over rebalances, median names, invested share, mean and greatest participation, delisted and missing name-months."""
+    total = lambda c: F.sum(c).cast("long")
     return book.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("months"),
-        F.avg(F.col("rebalanced").cast("int")).alias("share_rebalanced"),
-        F.median("held").cast("int").alias("median_held"),
+        total(F.col("rebalanced").cast("int")).alias("rebalances"),
+        F.avg("turnover").alias("mean_turnover"),
+        F.avg(F.when(F.col("rebalanced"), F.col("turnover"))).alias("mean_turnover_rebalanced"),
+        F.floor(F.median("held")).cast("int").alias("median_held"),
         F.avg("invested").alias("mean_invested"),
-        F.avg(on).alias("mean_turnover"),
+        F.avg("part_mean").alias("mean_participation"),
+        F.max("part_max").alias("max_participation"),
         F.max("cost").alias("max_cost"),
-        F.sum("missing").alias("missing"),
+        total(F.col("delisted")).alias("delisted"),
+        total(F.col("missing")).alias("missing"),
     )

@@ -121,15 +121,16 @@ def deciles(df: DataFrame, by: list[str], score: str, item: str, buckets: int =
 FACTORS = ("momentum", "value", "quality", "lowvol", "size")
 
 
-def factor_scores(panel: DataFrame, by: str = "day", item: str = "permaticker") -> DataFrame:
+def factor_scores(panel: DataFrame, by: str | list[str] = "day", item: str = "permaticker") -> DataFrame:
     """Five standardised factors, composite, ranked flag and decile, within ``by``.
 
     momentum z(mom); value z of the mean of z(eps/close) and z(bvps/close); quality z(gp/assets); lowvol
     z(-vol); size z(-ln marketcap). Zero denominators give NULL. ``ranked`` needs all five; the
     composite is their mean. Both stages of z-scores share one partitioning: one shuffle.
     """
-    require_columns(panel, [by, item, "mom", "eps", "bvps", "gp", "assets", "vol", "marketcap", "close"], "panel")
-    w = Window.partitionBy(by)
+    by = [by] if isinstance(by, str) else by
+    require_columns(panel, [*by, item, "mom", "eps", "bvps", "gp", "assets", "vol", "marketcap", "close"], "panel")
+    w = Window.partitionBy(*by)
     first = {
         "momentum": F.col("mom"),
         "__ep": ratio(F.col("eps"), F.col("close")),
@@ -146,7 +147,7 @@ def factor_scores(panel: DataFrame, by: str = "day", item: str = "permaticker")
         every = every & F.col(f).isNotNull()
         total = total + F.col(f)
     df = df.withColumns({"ranked": every, "composite": F.when(every, total / len(FACTORS))})
-    return deciles(df, [by], "composite", item)
+    return deciles(df, by, "composite", item)
 
 
 def normalize_within(df: DataFrame, by: str, columns: list[str], only: str = "ranked") -> DataFrame:

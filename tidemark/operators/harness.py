@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import no_nan
+from ..session import staged
+from .factors import Band, factor_scores, screen_grid
 
 # Fixed values of the evaluation.
 COST_GRID_BPS = (5.0, 10.0, 20.0)
@@ -46,28 +48,30 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str, *, least: int = 5,
     return ranked.groupBy(*by).agg(ic.alias(out), n.alias("n"), (F.count(F.lit(1)) - n).alias("n_missing"))
 
 
-def newey_west(series: DataFrame, order: str, value: str, lags: int | None = None) -> DataFrame:
-    """Mean of a short dated series, its t-statistic with Bartlett weights, n and lags: one row.
+def newey_west(series: DataFrame, order: str, value: str, lags: int | None = None, scenario: list[str] | None = None) -> DataFrame:
+    """Mean of a dated series, its t-statistic with Bartlett weights, n and lags: one row, or one per ``scenario``.
 
     ``lags`` defaults to floor(n ** 0.25) + 1. Below three values t is NULL, as it is for a constant
     series. Autocovariances come from a join of the numbered series with itself on the lag, so
     rows are n times lags.
     """
-    s = series.where(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("v"))
-    s = s.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy()), "m": F.avg("v").over(Window.partitionBy())})
-    s = s.withColumns({"e": F.col("v") - F.col("m"), "lags": F.lit(lags) if lags is not None else (F.floor(F.pow("n", F.lit(0.25))) + 1).cast("int")})
-    lagged = s.select(F.explode(F.sequence(F.lit(0), F.col("lags"))).alias("l"), (F.col("i") + F.col("l")).alias("i"), F.col("e").alias("e0"), "lags")
-    pair = s.select("i", "e", "n", "m").join(lagged, "i")
+    s = scenario or []
+    part = Window.partitionBy(*s)
+    df = series.where(F.col(value).isNotNull()).select(*s, F.row_number().over(part.orderBy(order)).alias("i"), F.col(value).alias("v"))
+    df = df.withColumns({"n": F.count(F.lit(1)).over(part), "m": F.avg("v").over(part)})
+    df = df.withColumns({"e": F.col("v") - F.col("m"), "lags": F.lit(lags) if lags is not None else (F.floor(F.pow("n", F.lit(0.25))) + 1).cast("int")})
+    lagged = df.select(*s, F.explode(F.sequence(F.lit(0), F.col("lags"))).alias("l"), (F.col("i") + F.col("l")).alias("i"), F.col("e").alias("e0"), "lags")
+    pair = df.select(*s, "i", "e", "n", "m").join(lagged, [*s, "i"])
     weight = F.when(F.col("l") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("l") / (F.col("lags") + 1.0)))
-    total = pair.agg(F.max("m").alias("mean"), F.max("n").alias("n"), F.max("lags").alias("lags"), F.sum(weight * F.col("e") * F.col("e0")).alias("__s"))
+    total = pair.groupBy(*s).agg(F.max("m").alias("mean"), F.max("n").alias("n"), F.max("lags").alias("lags"), F.sum(weight * F.col("e") * F.col("e0")).alias("__s"))
     se = F.sqrt(F.when(F.col("__s") > 0, F.col("__s"))) / F.col("n")
-    return total.select("mean", F.when(F.col("n") >= 3, F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t_stat"), F.col("n").cast("long").alias("n"), F.col("lags").cast("int").alias("lags"))
+    return total.select(*s, "mean", F.when(F.col("n") >= 3, F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t_stat"), F.col("n").cast("long").alias("n"), F.col("lags").cast("int").alias("lags"))
 
 
-def ic_summary(ic: DataFrame, value: str = "ic") -> DataFrame:
-    """One row: periods, mean, median and deviation of the correlation, and the share above 0 (rounding noise is 0)."""
+def ic_summary(ic: DataFrame, value: str = "ic", scenario: list[str] | None = None) -> DataFrame:
+    """One row (per ``scenario``): periods, mean, median and deviation of the correlation, and the share above 0 (rounding noise is 0)."""
     v = F.col(value)
-    return ic.agg(
+    return ic.groupBy(*(scenario or [])).agg(
         F.count(v).alias("periods"), F.avg(v).alias("mean_ic"), F.median(v).alias("median_ic"), F.stddev_samp(v).alias("sd_ic"), F.avg(F.when(v.isNotNull(), (F.round(v, 12) > 0).cast("double"))).alias("share_positive")
     )
 
@@ -77,28 +81,32 @@ def bucket_returns(panel: DataFrame, by: list[str], decile: str, ret: str) -> Da
     return panel.where(F.col(decile).isNotNull() & no_nan(ret).isNotNull()).groupBy(*by, F.col(decile).alias("decile")).agg(F.avg(no_nan(ret)).alias("ret"))
 
 
-def decile_table(panel: DataFrame, by: list[str], decile: str, ret: str, per_year: float = MONTHS, buckets: int = 10) -> DataFrame:
-    """decile 1..``buckets``: mean, annualised Sharpe ratio, periods. A decile without rows stays, with 0 periods."""
-    spark = panel.sparkSession
+def decile_table(panel: DataFrame, by: list[str], decile: str, ret: str, per_year: float = MONTHS, buckets: int = 10, scenario: list[str] | None = None) -> DataFrame:
+    """decile 1..``buckets`` (per ``scenario``, which is among ``by``): mean, annualised Sharpe ratio, periods. A decile without rows stays, with 0 periods."""
+    s = scenario or []
     monthly = bucket_returns(panel, by, decile, ret)
     sd = F.stddev_samp("ret")
-    stats = monthly.groupBy("decile").agg(
+    stats = monthly.groupBy(*s, F.col("decile").cast("int").alias("decile")).agg(
         F.avg("ret").alias("mean_ret"), (F.avg("ret") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(per_year))).alias("sharpe"), F.count(F.lit(1)).alias("periods")
     )
-    every = spark.range(1, buckets + 1).select(F.col("id").cast("int").alias("decile"))
-    return every.join(stats.withColumn("decile", F.col("decile").cast("int")), "decile", "left").withColumn("periods", F.coalesce("periods", F.lit(0)).cast("long"))
-
-
-def monotonicity(table: DataFrame) -> DataFrame:
-    """One row: rank correlation of decile with mean and with Sharpe, rising steps, top minus bottom."""
-    step = F.col("mean_ret") - F.lag("mean_ret").over(Window.orderBy("decile"))
-    full = table.withColumns({"step": step, "k": F.lit(1)})
-    m = spearman_by(full, ["k"], "decile", "mean_ret", least=3, out="spearman_ret").select("k", "spearman_ret")
-    s = spearman_by(full, ["k"], "decile", "sharpe", least=3, out="spearman_sharpe").select("k", "spearman_sharpe")
-    rest = full.groupBy("k").agg(
-        F.sum((F.col("step") > 0).cast("int")).cast("long").alias("rising"), (F.max_by("mean_ret", "decile") - F.min_by("mean_ret", "decile")).alias("top_minus_bottom")
+    number = F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("decile")
+    every = panel.select(*s).distinct().select(*s, number) if s else panel.sparkSession.range(1).select(number)
+    return every.join(stats, [*s, "decile"], "left").withColumn("periods", F.coalesce("periods", F.lit(0)).cast("long"))
+
+
+def monotonicity(table: DataFrame, scenario: list[str] | None = None) -> DataFrame:
+    """One row (per ``scenario``): rank correlation of decile with mean and with Sharpe, rising steps, top minus bottom."""
+    s = scenario or []
+    step = F.col("mean_ret") - F.lag("mean_ret").over(Window.partitionBy(*s).orderBy("decile"))
+    full = table.withColumns({"step": step, "__k": F.lit(1)})
+    k = [*s, "__k"]
+    m = spearman_by(full, k, "decile", "mean_ret", least=3, out="spearman_ret").select(*k, "spearman_ret")
+    r = spearman_by(full, k, "decile", "sharpe", least=3, out="spearman_sharpe").select(*k, "spearman_sharpe")
+    has = F.when(F.col("mean_ret").isNotNull(), F.col("decile"))
+    rest = full.groupBy(*k).agg(
+        F.sum((F.col("step") > 0).cast("int")).cast("long").alias("rising"), (F.max_by("mean_ret", has) - F.min_by("mean_ret", has)).alias("top_minus_bottom")
     )
-    return m.join(s, "k").join(rest, "k").drop("k")
+    return m.join(r, k).join(rest, k).drop("__k")
 
 
 def portfolio_periods(panel: DataFrame, scenario: list[str], day: str, item: str, ret: str, pick: Column) -> DataFrame:
@@ -206,14 +214,61 @@ def evaluate(panel: DataFrame, by: list[str], day: str, item: str, score: str, d
     }
 
 
-def decision(grid: DataFrame, candidate: str, baseline: str, margin: float = 0.20) -> DataFrame:
-    """Does the candidate beat the baseline by ``margin`` of Sharpe at every cost scale, on the mean over sizes?
+def score_bands(built: DataFrame, bands: list[Band], by: str = "day", item: str = "permaticker") -> DataFrame:
+    """Screen, score and label a built panel under several bands at once: the eligible rows with band, factors, composite, ranked, decile.
 
-    ``grid`` has name, aum, cost_scale, sharpe. One row per cost scale: candidate, baseline, better.
+    Scores are made among a band's eligible rows of a date; labels stay on their rows, so nothing is joined back.
+    """
+    return factor_scores(screen_grid(built, bands).where("eligible").drop("eligible"), ["band", by], item)
+
+
+def band_summary(built: DataFrame, bands: list[Band], by: str = "day", item: str = "permaticker", ret: str = "fwd_ret") -> DataFrame:
+    """Screen, score, label and evaluate: one row per band.
+
+    n_eligible, median_eligible (per date, floored; dates without any count 0), delisting_rate of the eligible rows, ranked,
+    correlation figures with the Newey-West t, and the two monotonicity correlations.
+    """
+    grid = screen_grid(built, bands)
+    ok = F.col("eligible").cast("int")
+    per_date = grid.groupBy("band", by).agg(F.sum(ok).alias("n"), F.sum(ok * F.coalesce(F.col("fwd_status") == "delisted_partial", F.lit(False)).cast("int")).alias("gone"))
+    counts = per_date.groupBy("band").agg(
+        F.sum("n").cast("long").alias("n_eligible"), F.floor(F.median("n")).cast("long").alias("median_eligible"), (F.sum("gone") / F.nullif(F.sum("n"), F.lit(0))).alias("delisting_rate")
+    )
+    scored = staged(score_bands(built, bands, by, item))  # read for the correlations, the deciles and the counts
+    ic = spearman_by(scored, ["band", by], "composite", ret)
+    table = decile_table(scored, ["band", by], "decile", ret, scenario=["band"])
+    parts = [
+        scored.groupBy("band").agg(F.sum(F.col("ranked").cast("int")).cast("long").alias("ranked")),
+        ic_summary(ic, scenario=["band"]),
+        newey_west(ic, by, "ic", scenario=["band"]).select("band", "t_stat"),
+        monotonicity(table, ["band"]).select("band", "spearman_ret", "spearman_sharpe"),
+    ]
+    for p in parts:
+        counts = counts.join(p, "band", "left")
+    return counts
+
+
+def attach_labels(scores: DataFrame, built: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
+    """Scores kept elsewhere with the labels of the panel they were made from; a score without a panel row has NULL labels."""
+    one = built.groupBy(*keys).agg(F.max(F.struct(*labels)).alias("__l")).select(*keys, "__l.*")
+    return scores.drop(*labels).join(one, keys, "left")
+
+
+def decision(grid: DataFrame, summary: DataFrame, candidate: str, baseline: str, margin: float = 0.20, least_monotone: float = 0.5) -> DataFrame:
+    """Does the candidate qualify? One row of the figures and the verdict.
+
+    ``grid`` has name, aum, cost_scale, sharpe; Sharpe ratios are averaged over sizes. The candidate must beat the baseline
+    at cost scale 1 by ``margin`` both at scale 1 and at scale 2, have a positive mean correlation and
+    rank Sharpe by decile above ``least_monotone`` (``summary``: band, mean_ic, spearman_sharpe). What is NULL is not met.
     """
-    pick = lambda n: F.avg(F.when(F.col("name") == n, F.col("sharpe")))
-    out = grid.groupBy("cost_scale").agg(pick(candidate).alias("candidate"), pick(baseline).alias("baseline"))
-    return out.withColumn("better", F.coalesce(F.col("candidate") - F.col("baseline") >= margin, F.lit(False)))
+    pick = lambda n, scale: F.avg(F.when((F.col("name") == n) & (F.col("cost_scale") == scale), F.col("sharpe")))
+    out = grid.agg(pick(candidate, 1.0).alias("candidate_1x"), pick(candidate, 2.0).alias("candidate_2x"), pick(baseline, 1.0).alias("baseline_1x"))
+    of = lambda c: F.max(F.when(F.col("band") == candidate, F.col(c)))
+    out = out.crossJoin(F.broadcast(summary.agg(of("mean_ic").alias("mean_ic"), of("spearman_sharpe").alias("spearman_sharpe"))))  # one row
+    out = out.withColumns({"margin_1x": F.col("candidate_1x") - F.col("baseline_1x"), "margin_2x": F.col("candidate_2x") - F.col("baseline_1x")})
+    met = lambda c: F.coalesce(c, F.lit(False))
+    out = out.withColumns({"ic_ok": met(F.col("mean_ic") > 0), "monotone_ok": met(F.col("spearman_sharpe") > least_monotone), "margin_ok": met((F.col("margin_1x") >= margin) & (F.col("margin_2x") >= margin))})
+    return out.withColumn("qualifies", F.col("ic_ok") & F.col("monotone_ok") & F.col("margin_ok"))
 
 
 def default_lags(n: int) -> int:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scalars import no_nan, parse_day
 from ..operators import factors, filings, filters, harness, trend
-from ..operators.book import buffered_book, book_diagnostics
 from ..session import table
 from ..streaming.streams import weekly_last
 from . import panel_queries, text_queries, trend_queries
@@ -100,14 +99,6 @@ def evaluate_long_only(spark, d):
     return out(got["long_only"])
 
 
-def book_summary(spark, d):
-    p = table(spark, d, "panel").select(
-        "scenario_id", F.col("date").alias("day"), F.col("permaticker").cast("long").alias("item"), F.col("decile").cast("double").alias("decile"),
-        no_nan("composite").alias("composite"), no_nan("fwd_ret_21").alias("ret"), F.lit(1e6).alias("dollarvol"), F.lit(200.0).alias("marketcap"),
-    )
-    return out(book_diagnostics(buffered_book(p, group="scenario_id")))
-
-
 def walk_forward_folds(spark, d):
     days = table(spark, d, "panel").select(F.col("date").alias("day")).distinct()
     return out(filters.walk_forward(days, "day", 8, 30, 21))
@@ -131,7 +122,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {f.__name__: f for f in (
     span_overlap, known_by_span_end, pilot_sample, largest_documents, filing_summary, status_value_counts, dimension_counts, report_lag, identity_master,
-    corpus_funnel, pivot_sections, section_prompts, design_matrix, first_active_day, evaluate_long_only, book_summary, walk_forward_folds, stream_weekly,
+    corpus_funnel, pivot_sections, section_prompts, design_matrix, first_active_day, evaluate_long_only, walk_forward_folds, stream_weekly,
 )}
 
 _PIV = f"{text_queries._FOUND}, q as (select doc_id, mdna m, risk_factors r from se where mdna is not null or risk_factors is not null)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import no_nan, parse_day
 from ..operators import factors, harness, panel
 from ..operators.asof import asof_join, period_returns, with_age_limit
-from ..operators.book import BookParams, buffered_book, half_spread, side_cost_bps, size_tier, water_fill
+from ..operators.book import BookParams, book_diagnostics, buffered_book, half_spread, side_cost_bps, size_tier, water_fill
 from ..operators.filters import guard_span
 from ..operators.identity import attribute, current_bars, sole_owner_segments, usable_windows
 from ..operators.rolling import last_rows, median_of_list
@@ -186,8 +187,8 @@ def ic_summary(spark, d):
 
 
 def newey_west(spark, d):
-    ic = harness.spearman_by(_rank_panel(spark, d), ["day"], "composite", "ret")
-    return out(harness.newey_west(ic, "day", "ic"))
+    ic = harness.spearman_by(_rank_panel(spark, d), KEYS, "composite", "ret")
+    return out(harness.newey_west(ic, "day", "ic", scenario=["scenario_id"]))
 
 
 def decile_table(spark, d):
@@ -260,19 +261,96 @@ def impact_cost(spark, d):
     return out(f.select("t", "permaticker", "tier", side_cost_bps(part, half_spread(F.col("tier")), 1.0).alias("bps")))
 
 
-def buffered_book_query(spark, d):
-    p = table(spark, d, "panel").select(
-        "scenario_id", F.col("date").alias("day"), F.col("permaticker").cast("long").alias("item"), F.col("decile").cast("double").alias("decile"),
-        no_nan("composite").alias("composite"), no_nan("fwd_ret_21").alias("ret"), (F.col("permaticker") % 97 * 1e4).cast("double").alias("dollarvol"), (F.col("permaticker") % 400).cast("double").alias("marketcap"),
+def _holdings(spark, d):
+    return table(spark, d, "panel").select(
+        "scenario_id", F.col("date").alias("day"), F.col("permaticker").cast("long").alias("item"), F.col("decile").cast("double").alias("decile"), no_nan("composite").alias("composite"),
+        no_nan("fwd_ret_21").alias("ret"), (F.col("permaticker") % 97 * 1e4).cast("double").alias("dollarvol"), (F.col("permaticker") % 400).cast("double").alias("marketcap"), "fwd_status",
     )
-    return out(buffered_book(p, (1e5, 2e6), (1.0, 2.0), BookParams(), "scenario_id"))
+
+
+TIGHT = BookParams(target_n=3, max_weight=0.4)  # a book that is full and weights that meet their caps
+
+
+def buffered_book_query(spark, d):
+    return out(buffered_book(_holdings(spark, d), (1e5, 2e6), (1.0, 2.0), BookParams(), "scenario_id"))
+
+
+def tight_book(spark, d):
+    return out(buffered_book(_holdings(spark, d), (1e4, 2e6), (0.5, 2.0), TIGHT, "scenario_id"))
+
+
+def book_summary(spark, d):
+    return out(book_diagnostics(buffered_book(_holdings(spark, d), (1e5, 2e6), (1.0, 2.0), BookParams(), "scenario_id")))
+
+
+FLOORS = {"dollarvol": (50_000.0, None), "close": (2.0, None)}
+SMALL = factors.Band("small", {"marketcap": (None, 1500.0), **FLOORS})
+LARGE = factors.Band("large", {"marketcap": (600.0, None), **FLOORS})
+BANDS = [SMALL, LARGE, *[replace(SMALL.with_floors(dollarvol=v, close=c), name=f"small|{v:.0f}|{c:.0f}") for v in (20_000.0, 200_000.0) for c in (1.0, 10.0)]]
+
+
+def _pooled(spark, d):
+    """The built panel with its days pooled into years, as a day of the small tables has too few names for ten deciles; an
+    item is a name in a month of the year."""
+    built = staged(_built(spark, d))
+    return built.withColumns({"item": F.col("permaticker") * 1000 + F.month("day"), "day": F.trunc("day", "year")})
+
+
+def pooled_scores(spark, d):
+    got = factors.factor_scores(_pooled(spark, d), "day", "item")
+    return out(got.select("day", "item", *factors.FACTORS, "ranked", "composite", "decile"))
+
+
+def band_scores(spark, d):
+    got = harness.score_bands(_pooled(spark, d), BANDS, "day", "item")
+    return out(got.select("band", "day", "item", "composite", "decile", "ranked", "fwd_ret", "fwd_status"))
+
+
+def band_summary(spark, d):
+    return out(harness.band_summary(_pooled(spark, d), BANDS, "day", "item"))
+
+
+def labels_attached(spark, d):
+    """Composites without their labels, given back by the panel they came from."""
+    pooled = _pooled(spark, d)
+    scores = factors.factor_scores(pooled, "day", "item").select("day", "item", "composite").where("composite is not null")
+    return out(harness.attach_labels(scores, pooled, ["day", "item"], ["fwd_ret", "fwd_status"]))
+
+
+def _band_book(pooled):
+    scored = harness.score_bands(pooled, BANDS, "day", "item")
+    p = scored.select("band", "day", "item", F.col("decile").cast("double").alias("decile"), "composite", F.col("fwd_ret").alias("ret"), "dollarvol", "marketcap", "fwd_status")
+    return buffered_book(p, (5e5, 2e6), (0.5, 1.0, 2.0), BookParams(every=1), "band")
+
+
+def _band_grid(pooled):
+    """Curve and diagnostics of every band, size and cost scale."""
+    book = staged(_band_book(pooled))
+    return harness.curve_metrics(book, ["scenario"], "day", F.col("net")).join(book_diagnostics(book), "scenario")
+
+
+def band_book_grid(spark, d):
+    return out(_band_grid(_pooled(spark, d)).select("scenario", "periods", "ann_return", "sharpe", "cagr", "max_drawdown", "median_held", "mean_invested", "mean_turnover_rebalanced", "mean_participation"))
+
+
+def decision_readout(spark, d):
+    """Both ways round, so that a case that qualifies and one that does not can come out."""
+    pooled = _pooled(spark, d)
+    parts = F.split("scenario", r"\|")
+    grid = _band_grid(pooled).where("size(split(scenario, '[|]')) = 3").select(parts[0].alias("name"), parts[1].cast("double").alias("aum"), parts[2].cast("double").alias("cost_scale"), "sharpe")
+    grid, summary = staged(grid), staged(harness.band_summary(pooled, [SMALL, LARGE], "day", "item"))
+    got = None
+    for a, b, margin in (("small", "large", 0.2), ("large", "small", 0.2), ("small", "small", -9.0), ("large", "large", -9.0)):
+        row = harness.decision(grid, summary, a, b, margin, -1.0 if margin < 0 else 0.5).select(F.lit(a).alias("candidate"), F.lit(b).alias("baseline"), F.lit(margin).alias("margin"), "*")
+        got = row if got is None else got.unionByName(row)
+    return out(got)
 
 
 QUERIES = {f.__name__: f for f in (
     attribute_interval_join, attribution_ambiguity, panel_returns_vol, trailing_median_dollarvol, calendar_anchors, asof_price, asof_fundamentals,
     asof_strict_filing, anchor_momentum, forward_label_status, built_panel, span_panel, daily_valuation, universe_screen, universe_funnel, band_screen_grid, winsor_z, factor_scores,
     ranking_coverage, deciles, rank_ic_by_date, ic_summary, newey_west, decile_table, monotonicity, long_only_monthly, long_short_spread, cost_curve,
-    cheat_control, permutation_null, leak_audit, ew_universe_benchmark, status_counts, benchmark_period_returns, water_fill_weights, impact_cost,
+    cheat_control, permutation_null, leak_audit, ew_universe_benchmark, status_counts, benchmark_period_returns, water_fill_weights, impact_cost, tight_book, book_summary, pooled_scores, band_scores, band_summary, labels_attached, band_book_grid, decision_readout,
 )} | {"buffered_book": buffered_book_query}
 
 _FT = "ft as (select distinct feat_id, cast(t as date) t, permaticker from feat_t)"
@@ -330,31 +408,92 @@ def _winsor(src: str, by: str, name: str, expr: str, dst: str) -> str:
   case when t_ <= 1e-14 * greatest(abs(n_), 1) then 0.0 else (c_ - n_) / nullif(t_, 0) end end as {name} from {dst}_d)"""
 
 
-_SCORES = (
-    _PANEL
-    + ",built0 as (select * exclude (fwd_ret, fwd_status, category, exchange) from built),"
-    + ",".join(
-        [
-            _winsor("built0", "day", "momentum", "mom", "s1"),
-            _winsor("s1", "day", "ep_z", "eps / nullif(close, 0)", "s2"),
-            _winsor("s2", "day", "bp_z", "bvps / nullif(close, 0)", "s3"),
-            _winsor("s3", "day", "quality", "gp / nullif(assets, 0)", "s4"),
-            _winsor("s4", "day", "lowvol", "-vol", "s5"),
-            _winsor("s5", "day", "size", "-ln(case when marketcap > 0 then marketcap end)", "s6"),
-            _winsor("s6", "day", "value", "(ep_z + bp_z) / 2", "s7"),
-        ]
-    )
-    + """,
-s8 as (select *, momentum is not null and value is not null and quality is not null and lowvol is not null and size is not null as ranked from s7),
-s9 as (select *, case when ranked then (momentum + value + quality + lowvol + size) / 5 end composite from s8),
-sc as (select *, case when ranked and count(*) over (partition by day, ranked) >= 10 then greatest(1,
-  ceil(10.0 * (row_number() over (partition by day, ranked order by round(composite, 12), permaticker) - 1) / (count(*) over (partition by day, ranked) - 1))) end decile from s9)"""
-)
+def _scores(src: str, by: str, item: str, dst: str) -> str:
+    """CTEs that score ``src`` within ``by`` as ``dst``."""
+    parts = [("momentum", "mom"), ("ep_z", "eps / nullif(close, 0)"), ("bp_z", "bvps / nullif(close, 0)"), ("quality", "gp / nullif(assets, 0)"), ("lowvol", "-vol"), ("size", "-ln(case when marketcap > 0 then marketcap end)"), ("value", "(ep_z + bp_z) / 2")]
+    steps = ",".join(_winsor(f"{dst}{k}" if k else src, by, name, expr, f"{dst}{k + 1}") for k, (name, expr) in enumerate(parts))
+    return f"""{steps},
+{dst}8 as (select *, momentum is not null and value is not null and quality is not null and lowvol is not null and size is not null as ranked from {dst}7),
+{dst}9 as (select *, case when ranked then (momentum + value + quality + lowvol + size) / 5 end composite from {dst}8),
+{dst} as (select *, case when ranked and count(*) over (partition by {by}, ranked) >= 10 then greatest(1,
+  ceil(10.0 * (row_number() over (partition by {by}, ranked order by round(composite, 12), {item}) - 1) / (count(*) over (partition by {by}, ranked) - 1))) end decile from {dst}9)"""
+
+
+_SCORES = f"{_PANEL},{_scores('built', 'day', 'permaticker', 'sc')}"
+_POOLED = f"{_PANEL}, pool as (select * replace (cast(date_trunc('year', day) as date) as day), permaticker * 1000 + month(day) item from built)"
+_BANDS = f"""{_POOLED},
+bn as (select * from (values ('small', null, 1500.0, 50000.0, 2.0), ('large', 600.0, null, 50000.0, 2.0), ('small|20000|1', null, 1500.0, 20000.0, 1.0), ('small|20000|10', null, 1500.0, 20000.0, 10.0),
+  ('small|200000|1', null, 1500.0, 200000.0, 1.0), ('small|200000|10', null, 1500.0, 200000.0, 10.0)) t(band, lo, hi, dv, px)),
+sg as (select bn.band, pool.*, coalesce(marketcap >= coalesce(lo, marketcap) and marketcap <= coalesce(hi, marketcap), false) and coalesce(dollarvol >= dv, false) and coalesce(close >= px, false) eligible from pool, bn),
+el as (select * exclude (eligible) from sg where eligible),{_scores('el', 'band, day', 'item', 'bs')}"""
+
+
+def _book_sql(src: str, target: int, max_weight: float, aums: str, scales: str, every: int = 3) -> str:
+    """CTEs of the buffered book over ``src`` (g, day, item, decile, composite, ret, dv, cap, gone), ending in ``book``.
+
+    Which names are held does not depend on size or cost, so the recursion walks lists of names; weights, turnover and
+    costs follow from them.
+    """
+    return f"""
+bo1 as (select * from {src} where day is not null and item is not null qualify row_number() over (partition by g, day, item order by decile desc nulls last, composite desc nulls last, ret desc nulls last, dv desc nulls last, cap desc nulls last, gone desc) = 1),
+bod as (select g, day, row_number() over (partition by g order by day) - 1 i from (select distinct g, day from bo1)),
+bo as (select bo1.*, i from bo1 join bod using (g, day)),
+per as (select g, i // {every} r, coalesce(list(item) filter (decile >= 8), []) h, coalesce(list(item order by coalesce(composite, '-inf'::double) desc, item) filter (decile >= 10), []) c, coalesce(list(item) filter (dv > 0), []) v
+  from bo where i % {every} = 0 group by all),
+rec as (
+  select g, r, list_filter(c[1:{target}], lambda x: list_contains(v, x)) held from per where r = 0
+  union all
+  select g, r, list_filter(list_concat(k, list_filter(c, lambda x: not list_contains(k, x))[1:greatest(0, {target} - len(k))]), lambda x: list_contains(v, x))
+  from (select p.*, list_filter(rec.held, lambda x: list_contains(p.h, x)) k from rec join per p on p.g = rec.g and p.r = rec.r + 1)),
+se1 as (select aum, scale from unnest({aums}) a(aum), unnest({scales}) s(scale)),
+hw as (select g, r, item, aum, least({max_weight}, 10 * dv / aum) c from (select g, r, unnest(held) item from rec) join bo using (g, item), unnest({aums}) a(aum) where bo.i = r * {every}),
+hn as (select *, count(*) over (partition by g, r, aum) n, row_number() over (partition by g, r, aum order by c, item) k, sum(c) over (partition by g, r, aum order by c, item rows unbounded preceding) - c below, sum(c) over (partition by g, r, aum) al from hw),
+hl as (select *, max(case when c >= (1 - below) / (n - k + 1) then (1 - below) / (n - k + 1) end) over (partition by g, r, aum) lv from hn),
+wt as (select g, r, item, aum, case when al <= 1 then c else least(c, coalesce(lv, c)) end w from hl),
+mvd as (select g, r, item, aum, sum(w) w, sum(v) v from (select g, r, item, aum, w, 0.0 v from wt union all select g, r + 1, item, aum, 0.0, w from wt) group by all),
+tn as (select g, r, aum, sum(abs(w - v)) turnover from mvd group by all),
+pt as (select mvd.*, abs(w - v) d, cap, case when dv > 0 and cap is not null then greatest(w, v) * mvd.aum / dv else 0 end part from mvd join bo on bo.g = mvd.g and bo.item = mvd.item and bo.i = r * {every}),
+co as (select g, r, aum, scale, sum(d * (case when coalesce(cap, 0) < 50 then 150.0 when cap < 300 then 50.0 else 10.0 end + 100 * sqrt(part) + 1) * scale) / 1e4 as cost,
+  avg(part) filter (d > 0) part_mean, max(part) filter (d > 0) part_max from pt join se1 using (aum) group by all),
+mo as (select bod.g, bod.day, wt.aum, count(*) held, sum(w) invested, sum(w * coalesce(ret, 0)) gross, count(ret) valid, count(*) filter (ret is not null and gone) delisted
+  from bod join wt on wt.g = bod.g and wt.r = bod.i // {every} left join bo on bo.g = bod.g and bo.i = bod.i and bo.item = wt.item group by all),
+book as (select bod.g || '|' || cast(cast(se1.aum as bigint) as varchar) || '|' || cast(cast(se1.scale as decimal(9, 1)) as varchar) scenario, bod.day, i % {every} = 0 rebalanced, coalesce(held, 0) held, coalesce(invested, 0.0) invested, coalesce(gross, 0.0) gross,
+  case when i % {every} = 0 then coalesce(turnover, 0.0) else 0.0 end turnover, case when i % {every} = 0 then coalesce(cost, 0.0) else 0.0 end as cost, coalesce(gross, 0.0) - case when i % {every} = 0 then coalesce(cost, 0.0) else 0.0 end net,
+  case when i % {every} = 0 then part_mean end part_mean, case when i % {every} = 0 then part_max end part_max, coalesce(valid, 0) valid, coalesce(held, 0) - coalesce(valid, 0) missing, coalesce(delisted, 0) delisted
+  from bod cross join se1 left join mo on mo.g = bod.g and mo.day = bod.day and mo.aum = se1.aum left join tn on tn.g = bod.g and tn.r = i // {every} and tn.aum = se1.aum left join co on co.g = bod.g and co.r = i // {every} and co.aum = se1.aum and co.scale = se1.scale)"""
+
+
+_HOLDINGS = """
+bsrc as (select cast(scenario_id as varchar) g, cast(date as date) as day, cast(permaticker as bigint) item, decile, case when not isnan(composite) then composite end composite, case when not isnan(fwd_ret_21) then fwd_ret_21 end ret,
+  permaticker % 97 * 1e4 dv, cast(permaticker % 400 as double) cap, coalesce(fwd_status = 'delisted_partial', false) gone from panel)"""
+_BOOK_OUT = ("invested gross turnover cost net part_mean part_max", "held valid missing delisted")
+_DIAG = """
+dg as (select scenario, count(*) as months, sum(rebalanced::int) rebalances, avg(turnover) mean_turnover, avg(turnover) filter (rebalanced) mean_turnover_rebalanced, cast(floor(median(held)) as bigint) median_held, avg(invested) mean_invested,
+  avg(part_mean) mean_participation, max(part_max) max_participation, max(cost) max_cost, sum(delisted) delisted, sum(missing) missing from book group by 1)"""
+_DIAG_OUT = ("mean_turnover mean_turnover_rebalanced mean_invested mean_participation max_participation max_cost", "rebalances delisted missing")
+_BAND_BOOK = f"""{_BANDS}, bsrc as (select band g, day, item, decile, composite, fwd_ret ret, dollarvol dv, marketcap cap, coalesce(fwd_status = 'delisted_partial', false) gone from bs),
+{_book_sql('bsrc', 75, 0.03, '[500000.0, 2000000.0]', '[0.5, 1.0, 2.0]', 1)},{_DIAG},
+be as (select *, product(1 + net) over (partition by scenario order by day) eq, count(*) over (partition by scenario) n, stddev_samp(net) over (partition by scenario) sd from book),
+bf as (select *, eq / max(eq) over (partition by scenario order by day) - 1 dd, n >= 2 and sd > 0 k from be),
+bg as (select scenario, count(*) periods, case when k then avg(net) * 12 end ann_return, case when k then avg(net) / nullif(stddev_samp(net), 0) * sqrt(12) end sharpe,
+  case when k and arg_max(eq, day) > 0 then pow(arg_max(eq, day), 12.0 / count(*)) - 1 end cagr, case when k then min(dd) end max_drawdown from bf group by scenario, k)"""
+_BAND_SUM = """
+pd as (select band, day, sum(eligible::int) n, sum((eligible and coalesce(fwd_status = 'delisted_partial', false))::int) gone from sg group by all),
+cn as (select band, sum(n) n_eligible, cast(floor(median(n)) as bigint) median_eligible, sum(gone) / nullif(sum(n), 0) delisting_rate from pd group by 1),
+rp as (select band, day, item permaticker, composite, fwd_ret ret, decile, ranked from bs)"""
+
+
+_NW = """
+ns as (select {s}, row_number() over (partition by {s} order by day) i, ic v, count(*) over (partition by {s}) n, avg(ic) over (partition by {s}) m from ics where ic is not null),
+ne as (select {s}, i, v - m e, n, m, cast(floor(pow(n, 0.25)) + 1 as int) l from ns),
+nc as (select a.{s}, k, sum(a.e * b.e) g from ne a join range(0, 50) t(k) on k <= a.l join ne b on b.{s} = a.{s} and b.i = a.i - k group by all),
+nf as (select {s}, any_value(m) mean, any_value(n) n, any_value(l) lags from ne group by 1),
+nw as (select {s}, mean, case when n >= 3 then mean / nullif(sqrt(case when sum(case when k = 0 then g else 2 * (1 - k / (lags + 1.0)) * g end) > 0 then sum(case when k = 0 then g else 2 * (1 - k / (lags + 1.0)) * g end) end) / n, 0) end t_stat, n, lags from nf join nc using ({s}) group by {s}, mean, n, lags)"""
 
 _IC = """
-ok as (select {by}, permaticker, {x} x, {y} y from rp where {x} is not null and {y} is not null),
+fin as (select {by}, permaticker, {x} x, {y} y from rp where {x} is not null and {y} is not null),
 rk as (select {by}, rank() over (partition by {by} order by x) + (count(*) over (partition by {by}, x) - 1) / 2.0 a,
-  rank() over (partition by {by} order by y) + (count(*) over (partition by {by}, y) - 1) / 2.0 b from ok),
+  rank() over (partition by {by} order by y) + (count(*) over (partition by {by}, y) - 1) / 2.0 b from fin),
 one as (select {by}, count(*) n, case when count(*) >= 5 and min(a) < max(a) and min(b) < max(b)
   then covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) end ic from rk group by all),
 al as (select {by}, count(*) c from rp group by all),
@@ -415,7 +554,42 @@ SQL = {
     "deciles": sql_out(f"with {_RP} select scenario_id, day, permaticker, case when composite is not null and count(*) over p >= 10 then greatest(1, ceil(10.0 * (row_number() over (p order by composite, permaticker) - 1) / (count(*) over p - 1))) end decile from rp window p as (partition by scenario_id, day, composite is not null)", "", "permaticker decile"),
     "rank_ic_by_date": sql_out(f"with {_ic()} select scenario_id, day, ic, n, n_missing from ics", "ic"),
     "ic_summary": sql_out(f"with {_ic()} select count(ic) periods, avg(ic) mean_ic, median(ic) median_ic, stddev_samp(ic) sd_ic, avg(case when ic is not null then (round(ic, 12) > 0)::int end) share_positive from ics", "mean_ic median_ic sd_ic share_positive"),
-    "newey_west": sql_out(f"with {_ic(by='day')}, s as (select row_number() over (order by day) i, ic v, count(*) over () n, avg(ic) over () m from ics where ic is not null), e as (select i, v - m e, n, m, cast(floor(pow(n, 0.25)) + 1 as int) l from s), c as (select k, sum(a.e * b.e) g from e a join range(0, 50) t(k) on k <= a.l join e b on b.i = a.i - k group by k), o as (select any_value(m) mean, any_value(n) n, any_value(l) lags from e) select mean, mean / nullif(sqrt((select sum(case when k = 0 then g else 2 * (1 - k / (lags + 1.0)) * g end) from c)) / n, 0) t_stat, n, lags from o", "mean t_stat", "lags"),
+    "newey_west": sql_out(f"with {_ic()},{_NW.format(s='scenario_id')} select scenario_id, mean, t_stat, n, lags from nw", "mean t_stat", "lags"),
+    "buffered_book": sql_out(f"with recursive {_HOLDINGS},{_book_sql('bsrc', 75, 0.03, '[100000.0, 2000000.0]', '[1.0, 2.0]')} select * from book", *_BOOK_OUT),
+    "tight_book": sql_out(f"with recursive {_HOLDINGS},{_book_sql('bsrc', 3, 0.4, '[10000.0, 2000000.0]', '[0.5, 2.0]')} select * from book", *_BOOK_OUT),
+    "book_summary": sql_out(f"with recursive {_HOLDINGS},{_book_sql('bsrc', 75, 0.03, '[100000.0, 2000000.0]', '[1.0, 2.0]')},{_DIAG} select * from dg", *_DIAG_OUT),
+    "pooled_scores": sql_out(f"with {_POOLED},{_scores('pool', 'day', 'item', 'ps')} select day, item, momentum, value, quality, lowvol, size, ranked, composite, decile from ps", "momentum value quality lowvol size composite", "item decile"),
+    "band_scores": sql_out(f"with {_BANDS} select band, day, item, composite, decile, ranked, fwd_ret, fwd_status from bs", "composite fwd_ret", "item decile"),
+    "labels_attached": sql_out(f"with {_POOLED},{_scores('pool', 'day', 'item', 'ps')} select day, item, composite, fwd_ret, fwd_status from ps where composite is not null", "composite fwd_ret", "item"),
+    "band_summary": sql_out(
+        f"""with {_BANDS},{_BAND_SUM},{_IC.format(x='composite', y='ret', by='band, day')},{_NW.format(s='band')},
+rk1 as (select band, sum(ranked::int) ranked from bs group by 1),
+sm as (select band, count(ic) periods, avg(ic) mean_ic, median(ic) median_ic, stddev_samp(ic) sd_ic, avg(case when ic is not null then (round(ic, 12) > 0)::int end) share_positive from ics group by 1),
+mon as (select band, day, decile, avg(ret) r from rp where decile is not null and ret is not null group by all),
+dt as (select band, decile, avg(r) mean_ret, avg(r) / nullif(stddev_samp(r), 0) * sqrt(12) sharpe from mon group by all),
+dr as (select *, rank() over (partition by band order by mean_ret) + (count(*) over (partition by band, mean_ret) - 1) / 2.0 a, case when sharpe is not null then rank() over (partition by band, sharpe is null order by sharpe) end b from dt),
+ms as (select band, case when count(*) >= 3 then corr(decile, a) end spearman_ret from dr group by 1),
+mt as (select band, case when count(*) >= 3 then corr(k, b) end spearman_sharpe from (select band, b, row_number() over (partition by band order by decile) k from dr where b is not null) group by 1)
+select cn.*, ranked, periods, mean_ic, median_ic, sd_ic, share_positive, t_stat, spearman_ret, spearman_sharpe from cn left join rk1 using (band) left join sm using (band) left join nw using (band) left join ms using (band) left join mt using (band)""",
+        "delisting_rate mean_ic median_ic sd_ic share_positive t_stat spearman_ret spearman_sharpe",
+        "n_eligible ranked periods",
+    ),
+    "band_book_grid": sql_out(f"with recursive {_BAND_BOOK} select scenario, periods, ann_return, sharpe, cagr, max_drawdown, median_held, mean_invested, mean_turnover_rebalanced, mean_participation from bg join dg using (scenario)", "ann_return sharpe cagr max_drawdown mean_invested mean_turnover_rebalanced mean_participation"),
+    "decision_readout": sql_out(
+        f"""with recursive {_BAND_BOOK},{_BAND_SUM},{_IC.format(x='composite', y='ret', by='band, day')},
+mon as (select band, day, decile, avg(ret) r from rp where decile is not null and ret is not null group by all),
+dt as (select band, decile, avg(r) / nullif(stddev_samp(r), 0) sharpe from mon group by all),
+mt as (select band, case when count(*) >= 3 then corr(k, b) end ss from (select band, rank() over (partition by band order by sharpe) b, row_number() over (partition by band order by decile) k from dt where sharpe is not null) group by 1),
+sm as (select band, avg(ic) mean_ic from ics group by 1),
+gr as (select split_part(scenario, '|', 1) name, cast(split_part(scenario, '|', 3) as double) sc, avg(sharpe) s from bg where len(string_split(scenario, '|')) = 3 group by all),
+cs as (select * from (values ('small', 'large', 0.2, 0.5), ('large', 'small', 0.2, 0.5), ('small', 'small', -9.0, -1.0), ('large', 'large', -9.0, -1.0)) t(candidate, baseline, margin, least)),
+fg as (select candidate, baseline, margin, least, (select s from gr where name = candidate and sc = 1) candidate_1x, (select s from gr where name = candidate and sc = 2) candidate_2x, (select s from gr where name = baseline and sc = 1) baseline_1x,
+  (select mean_ic from sm where band = candidate) mean_ic, (select ss from mt where band = candidate) spearman_sharpe from cs),
+fh as (select * exclude (least), candidate_1x - baseline_1x margin_1x, candidate_2x - baseline_1x margin_2x, coalesce(mean_ic > 0, false) ic_ok, coalesce(spearman_sharpe > least, false) monotone_ok from fg),
+fi as (select *, coalesce(margin_1x >= margin and margin_2x >= margin, false) margin_ok from fh)
+select *, ic_ok and monotone_ok and margin_ok qualifies from fi""",
+        "margin candidate_1x candidate_2x baseline_1x mean_ic spearman_sharpe margin_1x margin_2x",
+    ),
     "decile_table": sql_out(f"with {_BUCKET} select * from dt", "mean_ret sharpe", "decile periods"),
     "monotonicity": sql_out(f"with {_BUCKET}, r as (select *, rank() over (order by mean_ret) a, rank() over (order by sharpe) b, mean_ret - lag(mean_ret) over (order by decile) step from dt where periods > 0) select corr(decile, a) spearman_ret, corr(decile, b) spearman_sharpe, sum((step > 0)::int) rising, arg_max(mean_ret, decile) - arg_min(mean_ret, decile) top_minus_bottom from r", "spearman_ret spearman_sharpe top_minus_bottom", "rising"),
     "long_only_monthly": sql_out(f"with {_RP},{_held(10, 'x')} select scenario_id, day, gross, members, dropped, turnover from x", "gross turnover", "dropped"),
