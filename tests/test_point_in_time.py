@@ -132,8 +132,40 @@ def test_periods_and_gaps_equal_brute_force(spark, wins):
 def test_fuse_touching_intervals():
     import numpy as np
 
-    s, e = fuse(np.array([5, 1, 3, 9]), np.array([6, 2, 4, 9]))
-    assert s.tolist() == [1, 9] and e.tolist() == [6, 9]
+    owner, s, e = fuse(np.array([1, 1, 0, 1, 1]), np.array([5, 1, 3, 3, 9]), np.array([6, 2, 90, 4, 9]))
+    assert owner.tolist() == [0, 1, 1] and s.tolist() == [3, 1, 9] and e.tolist() == [90, 6, 9]
+    assert len(fuse(*[np.zeros(0, int)] * 3)[0]) == 0
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_entities_that_span_batches(spark, small_batches):
+    """States, rectangles and cells come out the same when an entity's rows arrive in many Arrow batches."""
+    rng = random.Random(9)
+    wins = [(rng.choice("abcd"), day(a), day(a + rng.randrange(4))) for a in (rng.randrange(900) for _ in range(300))]
+    df = spark.createDataFrame(wins, "k string, first date, last date").repartition(5)
+    got = periods_and_gaps(df, ["k"], fan=2).where("piece = 'period'").collect()
+    for key in "abcd":
+        on = {x for k, a, b in wins if k == key for x in range(a.toordinal(), b.toordinal() + 1)}
+        mine = [(r.first_day.toordinal(), r.last_day.toordinal()) for r in got if r.k == key]
+        assert days_of(mine) == on and len(mine) == sum(x - 1 not in on for x in on)
+    rec = [(e, day(v), day(v + d), i) for i, (e, v, d) in enumerate((rng.choice([1, 1, 1, 2, 3]), rng.randrange(200), rng.choice([0, 0, 0, 5, 90])) for _ in range(250))]
+    rec += [(4, day(k), day(k), 1000 + k) for k in range(0, 200, 7)]  # in order throughout
+    ev = [(i, rng.choice([1, 2, 3, 4, 5]), day(v), day(v + rng.randrange(-3, 60))) for i, v in enumerate(rng.randrange(220) for _ in range(200))]
+    kw = {"entity": "e", "event_valid": F.col("v"), "event_recorded": F.col("r"), "valid": "a", "recorded": "b", "record": "i"}
+    events, records = spark.createDataFrame(ev, "id int, e int, v date, r date"), spark.createDataFrame([(*x, x[3] * 2.0) for x in rec], "e int, a date, b date, i int, more double")
+    got = {r.id: (r.record, r.record_valid, r.more) for r in locate(events, records, carry=("more",), how="left", cell_days=16, **kw).collect()}
+    for i, e, v, r in ev:
+        known = [(a, b, k) for x, a, b, k in rec if x == e and b <= r and a <= v]
+        best = max(known) if known else None
+        assert got[i] == ((best[2], best[0], best[2] * 2.0) if best else (None, None, None))
 
 
 def test_rolling_totals_with_idle_days(spark):

@@ -26,93 +26,130 @@ from ..session import ship
 FAR = 2_000_000  # a day number beyond every calendar; marks an open side
 
 
-def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sweep rows sorted by (entity, recorded, valid); one live skyline of valid days per entity."""
-    entity: object = object()
+def _sweep(v: np.ndarray, r: np.ndarray, at: int) -> list[tuple[int, int, int, int, int]]:
+    """Rectangles (row, v_from, v_to, r_from, r_to) of one entity whose valid days do not just rise; rows count from ``at``."""
     valid: list[int] = []  # sorted valid days now current
-    live: list[tuple[int, int]] = []  # (record, opened at recorded day), beside ``valid``
-    out: list[tuple] = []
+    live: list[tuple[int, int]] = []  # (row, opened at recorded day), beside ``valid``
+    out = []
 
     def emit(i: int, until: int) -> None:
-        rec, since = live[i]
+        row, since = live[i]
         if since < until:
-            out.append((entity, rec, valid[i], valid[i + 1] if i + 1 < len(valid) else FAR, since, until))
-
-    def flush(force: bool = False) -> Iterator[pa.RecordBatch]:
-        if out and (force or len(out) > 50_000):
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]],
-                ["entity", "record", "v_from", "v_to", "r_from", "r_to"],
-            )
-            out.clear()
-
-    for b in batches:
-        for e, v, r, rec in zip(*(b.column(k).to_pylist() for k in ("entity", "v", "r", "record")), strict=True):
-            if e != entity:
-                for i in range(len(valid)):
-                    emit(i, FAR)
-                entity, valid, live = e, [], []
-            i = bisect_left(valid, v)
-            if i < len(valid) and valid[i] == v:  # a restatement takes the same valid span over
-                emit(i, r)
-                live[i] = (rec, r)
-                continue
-            if i:
-                emit(i - 1, r)
-                live[i - 1] = (live[i - 1][0], r)
-            valid.insert(i, v)
-            live.insert(i, (rec, r))
-        yield from flush()
+            out.append((row, valid[i], valid[i + 1] if i + 1 < len(valid) else FAR, since, until))
+
+    for k, (x, y) in enumerate(zip(v.tolist(), r.tolist(), strict=True), at):
+        i = bisect_left(valid, x)
+        if i < len(valid) and valid[i] == x:  # a restatement takes the same valid span over
+            emit(i, y)
+            live[i] = (k, y)
+            continue
+        if i:
+            emit(i - 1, y)
+            live[i - 1] = (live[i - 1][0], y)
+        valid.insert(i, x)
+        live.insert(i, (k, y))
     for i in range(len(valid)):
         emit(i, FAR)
-    yield from flush(True)
+    return out
 
 
-def rectangles(records: DataFrame, entity: str, valid: str, recorded: str, record: str) -> DataFrame:
+def _cut_up(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rectangles of whole entities sorted by (entity, recorded, valid).
+
+    Where an entity's records come in the order of their valid days, as nearly all do, the two rectangles of
+    each are read off its successor, for all such entities at once: open to the right until the successor is recorded, then
+    up to the successor's valid day. Entities with late or restated records are swept one by one.
+    """
+    e, v, r = (b.column(k).to_numpy().astype(np.int64) for k in ("entity", "v", "r"))
+    n = len(e)
+    first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+    size = np.diff(np.append(first, n))
+    last = np.zeros(n, bool)
+    last[first + size - 1] = True
+    falls = np.zeros(n, bool)
+    falls[1:] = (v[1:] <= v[:-1]) & ~last[:-1]
+    mixed = np.logical_or.reduceat(falls, first)
+    plain = ~np.repeat(mixed, size)
+    nv, nr = np.append(v[1:], FAR), np.append(r[1:], FAR)
+    nv, nr = np.where(last, FAR, nv), np.where(last, FAR, nr)
+    rows = np.arange(n)
+    one, two = plain & (r < nr), plain & ~last
+    far = np.full(n, FAR)
+    parts = [np.stack([rows, v, far, r, nr])[:, one], np.stack([rows, v, nv, nr, far])[:, two]]
+    swept = [x for k in np.flatnonzero(mixed) for x in _sweep(v[first[k] : first[k] + size[k]], r[first[k] : first[k] + size[k]], int(first[k]))]
+    if swept:
+        parts.append(np.array(swept, np.int64).T)
+    row, *sides = np.concatenate(parts, axis=1)
+    names = [c for c in b.schema.names if c not in ("v", "r")]
+    kept = [b.column(c).take(pa.array(row)) for c in names]
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(x.astype(np.int32)) for x in sides]], [*names, "v_from", "v_to", "r_from", "r_to"])
+
+
+def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where an entity ends; the rest waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        e = b.column("entity").to_numpy()
+        cut = int(np.searchsorted(e, e[-1]))  # sorted: where the last entity begins
+        if cut or (held and held[-1].column("entity")[-1].as_py() != e[0]):
+            done = [*held, b.slice(0, cut)] if cut else held
+            yield _cut_up(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield _cut_up(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def rectangles(records: DataFrame, entity: str, valid: str, recorded: str, record: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Disjoint current-version rectangles of a record table.
 
-    Columns out: entity, record BIGINT; v_from, v_to, r_from, r_to INT day numbers, half open.
-    Rows with a NULL in any of the four columns describe nothing and are left out. Repeated
+    Columns out: entity, record BIGINT, the ``carry`` columns; v_from, v_to, r_from, r_to INT day numbers, half open.
+    Rows with a NULL in any of the four named columns describe nothing and are left out. Repeated
     rows and rows equal in (entity, valid, recorded) are reduced to the greatest record id
-    before the shuffle, so a hot entity sends one row per pair of days.
+    before the shuffle, so an entity sends one row per pair of days, however many rows it has.
     """
     rows = (
         records.select(
             F.col(entity).cast("long").alias("entity"),
             F.unix_date(valid).alias("v"),
             F.unix_date(recorded).alias("r"),
-            F.col(record).cast("long").alias("record"),
+            F.struct(F.col(record).cast("long").alias("record"), *carry).alias("x"),
         )
-        .where("entity is not null and v is not null and r is not null and record is not null")
+        .where("entity is not null and v is not null and r is not null and x.record is not null")
         .groupBy("entity", "v", "r")
-        .agg(F.max("record").alias("record"))
+        .agg(F.max("x").alias("x"))
+        .select("entity", "v", "r", "x.*")
     )
     ship(records.sparkSession)
     ordered = rows.repartition("entity").sortWithinPartitions("entity", "r", "v")
-    return ordered.mapInArrow(_rectangles, "entity long, record long, v_from int, v_to int, r_from int, r_to int")
+    out = ordered.drop("v", "r").select("*", *[F.lit(0).alias(c) for c in ("v_from", "v_to", "r_from", "r_to")]).schema
+    return ordered.mapInArrow(_rectangles, out)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], cell: int, lag_min: int, lag_max: int) -> Iterator[pa.RecordBatch]:
     """Grid cells of each rectangle that a point with r - v in [lag_min, lag_max] can lie in."""
+
+    def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which range, and which cell of it, for every cell of the ranges [low, high]."""
+        n = np.maximum(high // cell - low // cell + 1, 0)
+        which = np.repeat(np.arange(len(n)), n)
+        return which, np.repeat(low // cell, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
     for b in batches:
         v0, v1, r0, r1 = (b.column(k).to_numpy().astype(np.int64) for k in ("v_from", "v_to", "r_from", "r_to"))
-        keep_i, keep_v, keep_r = [], [], []
         # clip the open sides to the band first: v in [r0 - lag_max, r1 - 1 - lag_min] and so on
         a, z = np.maximum(v0, r0 - lag_max), np.minimum(v1 - 1, r1 - 1 - lag_min)
-        for i in np.flatnonzero(a <= z):
-            for cv in range(a[i] // cell, z[i] // cell + 1):
-                lo, hi = max(a[i], cv * cell), min(z[i], cv * cell + cell - 1)
-                ra, rz = max(r0[i], lo + lag_min), min(r1[i] - 1, hi + lag_max)
-                for cr in range(ra // cell, rz // cell + 1):
-                    keep_i.append(i)
-                    keep_v.append(cv)
-                    keep_r.append(cr)
-        if keep_i:
-            part = b.take(pa.array(keep_i, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(keep_v, pa.int32()), pa.array(keep_r, pa.int32())], [*b.schema.names, "cv", "cr"]
-            )
+        i = np.flatnonzero(a <= z)
+        which, cv = spread(a[i], z[i])
+        i = i[which]
+        low, high = np.maximum(a[i], cv * cell), np.minimum(z[i], cv * cell + cell - 1)
+        which, cr = spread(np.maximum(r0[i], low + lag_min), np.minimum(r1[i] - 1, high + lag_max))
+        if len(which):
+            part = b.take(pa.array(i[which]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cv[which].astype(np.int32)), pa.array(cr.astype(np.int32))], [*b.schema.names, "cv", "cr"])
 
 
 def locate(
@@ -125,27 +162,29 @@ def locate(
     valid: str,
     recorded: str,
     record: str,
+    carry: tuple[str, ...] = (),
+    how: str = "inner",
     max_age: int | None = None,
     cell_days: int = 128,
 ) -> DataFrame:
-    """Each event with the record current at its point (``event_valid``, ``event_recorded``), inner.
+    """Each event with the record current at its point (``event_valid``, ``event_recorded``).
 
-    Adds ``record`` and ``record_valid`` (the record's valid day). ``max_age`` drops records whose
-    valid day lies more than so many days before the event's. Events with a NULL entity or day, or
-    without a current record, give no row. Repeated events stay repeated. Event columns of the two names
-    are replaced.
+    Adds ``record``, ``record_valid`` (the record's valid day) and the ``carry`` columns of the record. ``max_age`` drops
+    records whose valid day lies more than so many days before the event's. Events with a NULL entity or day, or
+    without a current record, give no row (``how='inner'``) or NULLs ('left'). Repeated events stay repeated. Event columns
+    of an added name are replaced.
 
     Rectangles open to the future are clipped to the band of delays that the events really have
     (one small aggregate), so a rectangle meets few cells. Both sides are joined on
     (entity, cell, cell), which also spreads a hot entity over the calendar.
     """
-    ev = events.withColumns(
-        {"__e": F.col(entity).cast("long"), "__v": F.unix_date(event_valid), "__r": F.unix_date(event_recorded)}
-    ).where("__e is not null and __v is not null and __r is not null")
-    lo, hi, v_min, v_max = ev.agg(F.min(F.expr("__r - __v")), F.max(F.expr("__r - __v")), F.min("__v"), F.max("__v")).first()
+    own = [c for c in events.columns if c not in ("record", "record_valid", *carry)]
+    ev = events.select(*own, F.col(entity).cast("long").alias("__e"), F.unix_date(event_valid).alias("__v"), F.unix_date(event_recorded).alias("__r"))
+    known = ev.where("__e is not null and __v is not null and __r is not null")
+    lo, hi, v_min, v_max = known.agg(F.min(F.expr("__r - __v")), F.max(F.expr("__r - __v")), F.min("__v"), F.max("__v")).first()
     if lo is None:
         lo = hi = v_min = v_max = 0
-    rect = rectangles(records, entity, valid, recorded, record)
+    rect = rectangles(records, entity, valid, recorded, record, carry)
     start = F.col("v_from")
     rect = rect.withColumns(
         {
@@ -156,12 +195,10 @@ def locate(
 
     # v_from is needed whole for the answer, so the clipped start is a column of its own
     rect = rect.withColumns({"record_from": start, "v_from": F.greatest(start, F.lit(v_min)), "r_from": F.greatest("r_from", F.lit(v_min + lo))})
-    out = "entity long, record long, v_from int, v_to int, r_from int, r_to int, record_from int, cv int, cr int"
-    cells = rect.select("entity", "record", "v_from", "v_to", "r_from", "r_to", "record_from").mapInArrow(
-        lambda it: _cells(it, cell_days, lo, hi), out
-    )
+    out = rect.select("*", F.lit(0).alias("cv"), F.lit(0).alias("cr")).schema
+    cells = rect.mapInArrow(lambda it: _cells(it, cell_days, lo, hi), out)
     grid = lambda c: F.floor(F.col(c) / cell_days).cast("int")
-    points = ev.withColumns({"__cv": grid("__v"), "__cr": grid("__r")})
+    points = (ev if how == "left" else known).withColumns({"__cv": grid("__v"), "__cr": grid("__r")})
     c = cells.select(*[F.col(x).alias(f"__c_{x}") for x in cells.columns])
     hit = points.join(
         c,
@@ -172,6 +209,6 @@ def locate(
         & (F.col("__v") < F.col("__c_v_to"))
         & (F.col("__r") >= F.col("__c_r_from"))
         & (F.col("__r") < F.col("__c_r_to")),
+        how,
     )
-    own = [c for c in events.columns if c not in ("record", "record_valid")]
-    return hit.select(*own, F.col("__c_record").alias("record"), F.date_from_unix_date("__c_record_from").alias("record_valid"))
+    return hit.select(*own, F.col("__c_record").alias("record"), F.date_from_unix_date("__c_record_from").alias("record_valid"), *[F.col(f"__c_{x}").alias(x) for x in carry])

@@ -26,12 +26,19 @@ def known_fundamentals(spark: SparkSession, d: str) -> DataFrame:
     return attribute(f.where("day is not null"), seg, "ticker", "day").distinct()
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fund_t").select("event_id", "t", F.col("permaticker").cast("long").alias("permaticker"), no_nan("eps").alias("stored")).distinct()
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "fund_t").select("event_id", F.col("t"), F.col("permaticker").cast("long").alias("permaticker"), no_nan("eps").alias("stored")).distinct()
-    fund = known_fundamentals(spark, d)
+    ev = staged(_events(spark, d))  # located twice, and measured before
     by_fund = locate(
-        ev, fund, entity="permaticker", event_valid=F.col("t"), event_recorded=F.col("t"), valid="day", recorded="day", record="fund_id"
-    ).select("event_id", "permaticker", "stored", F.col("record").alias("fund_id"))
+        ev, known_fundamentals(spark, d), entity="permaticker", event_valid=F.col("t"), event_recorded=F.col("t"), valid="day", recorded="day", record="fund_id", carry=("eps",), how="left"
+    )
+    case = lambda cond, kind, rec: F.when(cond, F.struct(F.lit(kind).alias("kind"), rec.alias("record_id")))
+    rec = F.col("record")
+    cases = F.array_compact(F.array(case(rec.isNotNull(), "fundamentals", rec), case(~F.col("stored").eqNullSafe(F.col("eps")), "eps_wrong", F.coalesce(rec, F.lit(0)))))
+    found = by_fund.where("event_id is not null").select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*")
     filed = table(spark, d, "filings").where("not coalesce(is_amendment, false) and acceptance_date is not null and permaticker is not null")
     eve = F.date_sub("t", 1)
     by_filing = locate(
@@ -45,15 +52,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         record="filing_id",
         max_age=STALE_DAYS - 1,  # the point is the day before t
     )
-    eps = fund.select("fund_id", "eps").distinct()
-    judged = ev.select("event_id", "stored").join(
-        by_fund.select("event_id", "fund_id").join(eps, "fund_id"), "event_id", "left"
-    )
-    wrong = judged.where(~F.col("stored").eqNullSafe(F.col("eps"))).select(
-        "event_id", F.lit("eps_wrong").alias("kind"), F.coalesce("fund_id", F.lit(0)).cast("long").alias("record_id")
-    )
-    pick = lambda df, kind, rec: df.select("event_id", F.lit(kind).alias("kind"), F.col(rec).cast("long").alias("record_id"))
-    return pick(by_fund, "fundamentals", "fund_id").unionByName(pick(by_filing, "filings", "record")).unionByName(wrong).distinct()
+    return found.unionByName(by_filing.select("event_id", F.lit("filings").alias("kind"), F.col("record").alias("record_id"))).distinct()
+
+
+LOOK_BACK = 120
+
+
+def p1_two_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Two kinds of time: a row of fundamentals describes the world from its report period on and is known from its datekey on.
+
+    Per event the row in force at t as known at t, the row in force LOOK_BACK days before as known at t (a restatement may
+    have come since), and as known then. Late reports and restatements make the three differ, and differ from p1_found.
+    """
+    seg = sole_owner_segments(usable_windows(table(spark, d, "tickers"), ["ticker", "permaticker"]))
+    f = table(spark, d, "fundamentals").where("dimension = 'ART' and fund_id is not null and reportperiod is not null")
+    f = staged(attribute(f.select("fund_id", "ticker", "reportperiod", parse_day("datekey").alias("day")).where("day is not null"), seg, "ticker", "day").select("permaticker", "fund_id", "reportperiod", "day").distinct())
+    ev = staged(_events(spark, d).where("event_id is not null").select("event_id", "permaticker", "t").distinct())
+    now, then = F.col("t"), F.date_sub("t", LOOK_BACK)
+    got = None
+    for kind, v, r in (("now", now, now), ("then_known_now", then, now), ("then_known_then", then, then)):
+        one = locate(ev, f, entity="permaticker", event_valid=v, event_recorded=r, valid="reportperiod", recorded="day", record="fund_id")
+        one = one.select("event_id", F.lit(kind).alias("kind"), F.col("record").alias("record_id"), day_text("record_valid").alias("period"))
+        got = one if got is None else got.unionByName(one)
+    return got.distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +108,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("entity_kind", "entity", "piece", day_text("first_day").alias("first_day"), day_text("last_day").alias("last_day"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_two_axes": p1_two_axes, "p4_found": p4_found, "p5_found": p5_found}
 
 _DAY = "try_cast(regexp_extract(trim({c}), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})([T ].*)?$', 1) as date)"
 
@@ -133,6 +154,19 @@ union all select ev.event_id, 'eps_wrong', coalesce(vf.fund_id, 0) from ev left
   where ev.eps is distinct from vf.eps
 """
 
+P1_AXES_SQL = f"""
+with {SQL_OWNERS},
+ev as (select distinct event_id, cast(t as date) t, permaticker from fund_t),
+fd as (
+  select f.fund_id, f.k, f.v, min(o.permaticker) permaticker
+  from (select distinct fund_id, ticker, {sql_day("datekey")} k, cast(reportperiod as date) v from fundamentals where dimension = 'ART' and reportperiod is not null) f
+  join ok o on o.ticker = f.ticker and f.k between o.a and o.b
+  group by all having count(distinct o.permaticker) = 1),
+pt as (select event_id, permaticker, 'now' kind, t v, t r from ev union all select event_id, permaticker, 'then_known_now', t - 120, t from ev union all select event_id, permaticker, 'then_known_then', t - 120, t - 120 from ev)
+select cast(event_id as bigint) event_id, kind, cast(fund_id as bigint) record_id, strftime(fd.v, '%Y-%m-%d') period from pt join fd on fd.permaticker = pt.permaticker and fd.k <= pt.r and fd.v <= pt.v
+qualify row_number() over (partition by event_id, kind, pt.v, pt.r order by fd.v desc, fd.k desc, fd.fund_id desc) = 1
+"""
+
 P4_SQL = f"""
 with {SQL_BARS},
 span as (select permaticker, min(d) a, max(d) b from bar group by 1),
@@ -172,4 +206,4 @@ select k entity_kind, e entity, 'period' piece, strftime(a, '%Y-%m-%d') first_da
 union all select k, e, 'gap', strftime(b + 1, '%Y-%m-%d'), strftime(nx - 1, '%Y-%m-%d') from q where nx is not null
 """
 
-SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+SQL = {"p1_found": P1_SQL, "p1_two_axes": P1_AXES_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
