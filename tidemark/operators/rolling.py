@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
-
 
 def daily(df: DataFrame, entity: str, day: str, **totals: Column) -> DataFrame:
     """Sums per entity and day, partial sums before the shuffle. A NULL value adds nothing; NULL keys are left out."""
@@ -55,26 +53,6 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, spans: tupl
     return trailing(densify(daily(df, entity, day, total=F.col(value)), entity, ["total"]), entity, "total", spans)
 
 
-#: Rows of an entity that are joined as one unit; only a join key, it bounds nothing.
-BLOCK = 128
-
-
-def last_rows(probes: DataFrame, numbered: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Pairs of a probe and each of the last ``rows`` rows up to it: ``keys``, seq and h, and the columns of ``numbered``.
-
-    ``probes`` has ``keys`` (the first is the entity) and ``h``, the number of the last row it sees; ``numbered`` has the
-    entity, ``seq`` (1, 2, ... within it) and values. A row number is cut into blocks and a probe asks for the few
-    blocks it reaches into, so the join is on (entity, block): a long entity is spread over its blocks, and a
-    probe meets at most ``rows`` + 2 * BLOCK rows however long the entity is.
-    """
-    e = keys[0]
-    block = lambda c: F.floor(c / BLOCK).cast("int")
-    first = F.greatest(F.col("h") - (rows - 1), F.lit(1))
-    asked = probes.where("h > 0").select(*keys, "h", F.explode(F.sequence(block(first), block(F.col("h")))).alias("__b"))
-    held = numbered.withColumn("__b", block(F.col("seq")))
-    return asked.join(held, [e, "__b"]).where((F.col("seq") <= F.col("h")) & (F.col("seq") > F.col("h") - rows)).drop("__b")
-
-
 def median_of_list(values: Column) -> Column:
     """Interpolated median of an array without NULLs; NULL if it is empty."""
     x, k = F.sort_array(values), F.size(values)
@@ -85,14 +63,19 @@ def median_of_list(values: Column) -> Column:
 def trailing_figures(probes: DataFrame, numbered: DataFrame, keys: list[str], std_of: str, std_rows: int, median_of: str, median_rows: int) -> DataFrame:
     """Sample deviation and median over the last rows up to each probe: ``keys``, trail_std, trail_median.
 
-    Work is done for the probes' own rows only (see last_rows). Probes are unique in ``keys``; one without rows, or
-    without values among them, gives NULL figures or no row.
+    ``probes`` is unique in ``keys`` (the first is the entity) and has ``h``, the number of the last row it sees;
+    ``numbered`` has the entity, ``seq`` (1, 2, ... within it) and the values. An entity's rows become one sorted array, of
+    which each probe takes its slices: work is done for the probes' own rows only, and nothing is shuffled but by entity. An
+    entity has a row per day, so the calendar bounds its array. NULL values are left out; a probe without
+    rows gives no row.
     """
-    std = last_rows(probes, numbered.select(keys[0], "seq", F.col(std_of).alias("__s")).where("__s is not null"), keys, std_rows)
-    mid = last_rows(probes, numbered.select(keys[0], "seq", F.col(median_of).alias("__m")).where("__m is not null"), keys, median_rows)
-    std = std.groupBy(*keys).agg(F.stddev_samp("__s").alias("trail_std"))
-    mid = mid.groupBy(*keys).agg(F.collect_list("__m").alias("__l")).select(*keys, median_of_list(F.col("__l")).alias("trail_median"))
-    return std.join(mid, keys, "full")
+    e = keys[0]
+    lines = numbered.groupBy(e).agg(F.sort_array(F.collect_list(F.struct("seq", F.col(std_of).alias("s"), F.col(median_of).alias("m")))).alias("__x"))
+    part = lambda rows: F.slice("__x", F.greatest(F.col("h") - (rows - 1), F.lit(1)).cast("int"), F.least(F.col("h"), F.lit(rows)).cast("int"))
+    near = probes.where("h > 0").join(lines, e)
+    # the median is a column of its own before the unfolding, else it would be made again for every unfolded value
+    near = near.select(*keys, median_of_list(F.array_compact(part(median_rows)["m"])).alias("__mid"), part(std_rows)["s"].alias("__list"))
+    return near.select(*keys, "__mid", F.explode_outer("__list").alias("__s")).groupBy(*keys).agg(F.stddev_samp("__s").alias("trail_std"), F.max("__mid").alias("trail_median"))
 
 
 def trailing_at(
@@ -118,7 +101,6 @@ def trailing_at(
     right = bars.select(F.col(entity).cast("long").alias("__e"), F.col("day").alias("__d"), F.col(std_of).alias("__std"), median_of.alias("__med"), F.lit(1).alias("__n"))
     line = Window.partitionBy("__e").orderBy("__d", F.col("__n").asc_nulls_last())
     both = right.unionByName(left, allowMissingColumns=True).withColumn("seq", F.count("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    both = staged(both)  # read for the rows of either figure and for the probes
     asked = both.where("__n is null and seq > 0").select("__e", "__d", F.col("seq").alias("h"))
     figures = trailing_figures(asked, both.where("__n is not null"), ["__e", "__d"], "__std", std_rows, "__med", median_rows)
     own = [c for c in probes.columns if c not in ("trail_std", "trail_median")]

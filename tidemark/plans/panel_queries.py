@@ -14,7 +14,7 @@ from ..operators.asof import asof_join, period_returns, with_age_limit
 from ..operators.book import BookParams, book_diagnostics, buffered_book, half_spread, side_cost_bps, size_tier, water_fill
 from ..operators.filters import guard_span
 from ..operators.identity import attribute, current_bars, sole_owner_segments, usable_windows
-from ..operators.rolling import last_rows, median_of_list
+from ..operators.rolling import trailing_figures
 from ..session import staged, table
 from .common import out, sql_out
 from .pit_queries import SQL_BARS, SQL_OWNERS, STALE_DAYS, sql_day
@@ -87,8 +87,8 @@ def trailing_median_dollarvol(spark, d):
     spans = bars.groupBy("permaticker").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     grid = panel.probe_grid(panel.rebalance_days(panel.calendar_of(bars)), spans)
     at = asof_join(grid, bars.withColumnRenamed("day", "bar_day"), ["permaticker"], "day", "bar_day", ["seq"]).withColumnRenamed("seq", "h")
-    mid = last_rows(at, bars.select("permaticker", "seq", "dv").where("dv is not null"), ["permaticker", "day"], 60)
-    return out(mid.groupBy("permaticker", "day").agg(median_of_list(F.collect_list("dv")).alias("dollarvol")))
+    got = trailing_figures(at, bars, ["permaticker", "day"], "ret", 252, "dv", 60)
+    return out(got.where("trail_median is not null").select("permaticker", "day", F.col("trail_median").alias("dollarvol")))
 
 
 def calendar_anchors(spark, d):
