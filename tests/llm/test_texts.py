@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -9,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import leaks, spans
+from pyspark.sql import functions as F
+
+from tidemark.llm import leaks
 from tidemark.llm.hashing import Roller, scramble, sliding_min
 from tidemark.llm.leaks import Index, find_leaks
 from tidemark.llm.mixing import mix, source_name, token_counts
-from tidemark.llm.spans import CHUNK, shared_portions, shared_span_pairs
+from tidemark.llm.spans import CHUNK, copies, shared_lengths, shared_passages, shared_portions, shared_span_pairs
 
 DOCS = "doc_id long, text string, item_id string, k string"
 WORDS = ["alpha", "beta", "gamma", "delta", "rho", "pi", "net", "of", "tax", "19"]
@@ -121,6 +124,21 @@ def brute_cover(docs, n):
     return out
 
 
+def brute_passages(docs, n):
+    """Windows that stand in two records or more and behind different characters, by their digest."""
+    seen = {}
+    for d, t in docs:
+        for i in range(len(t or "") - n + 1) if d is not None else ():
+            seen.setdefault(t[i : i + n], []).append((d, i, t[i - 1] if i else ("start", d)))
+    real = {w: rows for w, rows in seen.items() if len({d for d, *_ in rows}) > 1 and len({b for *_, b in rows}) > 1}
+    out = {}
+    for w, rows in real.items():
+        for d, i, _ in rows:
+            key = (hashlib.sha256(w.encode()).hexdigest(), d)
+            out[key] = (min(i, out.get(key, (i,))[0]), len({x for x, *_ in rows}))
+    return out
+
+
 @pytest.mark.parametrize(("seed", "n"), [(1, 20), (2, 21), (3, 20), (4, 9)])
 def test_spans_equal_brute_force(spark, seed, n):
     rng = random.Random(seed)
@@ -140,13 +158,28 @@ def test_spans_equal_brute_force(spark, seed, n):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(docs, n)
     cover = {r.doc_id: r.shared_chars for r in shared_portions(df, n).collect()}
     assert cover == brute_cover(docs, n)
-
-
-def test_large_groups_of_copies_are_linked_through_one_member(spark, monkeypatch):
-    monkeypatch.setattr(spans, "FULL_PAIRS", 20)
+    held = {(r.passage, r.doc_id): (r.start, r.records) for r in shared_passages(df, n).collect()}
+    assert held == brute_passages(docs, n)
+    if seed < 3:
+        lengths = {(r.doc_id, r.length): r.shared_chars for r in shared_lengths(df, n).collect()}
+        want, k = {}, n
+        while any(more := brute_cover(docs, k).values()):
+            want |= {(d, k): c for d, c in brute_cover(docs, k).items() if c}
+            k *= 2
+        assert lengths == want and k > n
+
+
+def test_large_groups_of_copies_are_linked_through_one_member(spark):
     a, b, c = "a1" * 40 + "!" * 30, "b2" * 40 + "!" * 30, "c3" * 40 + "?" * 30
     docs = [(i, a) for i in range(10)] + [(20 + i, b) for i in range(9)] + [(40, c), (41, c), (42, "!" * 30)]
-    got = {(r.doc_a, r.doc_b) for r in shared_span_pairs(spark.createDataFrame([(*x, "", "") for x in docs], DOCS), 30).collect()}
+    df = spark.createDataFrame([(*x, "", "") for x in docs], DOCS)
+    got = {(r.doc_a, r.doc_b) for r in shared_span_pairs(df, 30, full_pairs=20).collect()}
+    member = {r.doc_id: r.representative for r in copies(df, 30).collect()}
+    assert member == {**{i: 0 for i in range(10)}, **{20 + i: 20 for i in range(9)}, 40: 40, 41: 40}
+    rep = lambda d: member.get(d, d)
+    linked = {(min(x, y), max(x, y)) for x, y in ((rep(a), rep(b)) for a, b in got)}
+    full = {(a, b) for a, b in brute_pairs(docs, 30)}
+    assert {(x, y) for x in range(43) for y in range(x + 1, 43) if (rep(x) == rep(y) and x in member) or (min(rep(x), rep(y)), max(rep(x), rep(y))) in linked} >= full  # membership spells every pair out
     stars = {(0, i) for i in range(1, 10)} | {(20, 20 + i) for i in range(1, 9)} | {(40, 41)}
     across = {(i, 20) for i in range(10)} | {(0, 20 + i) for i in range(9)}
     assert got == stars | across | {(i, 42) for i in range(10)} | {(20 + i, 42) for i in range(9)}
@@ -172,9 +205,19 @@ def test_spans_across_slices_of_a_long_text(spark):
     assert {p for p in got if p[0] > 1} == brute_pairs(docs[1:], 450)
 
 
+def test_a_passage_in_very_many_texts_stays_linear(spark):
+    """10,000 different texts with one passage: a row each, and the pairs are not needed."""
+    licence = "".join(random.Random(1).choices("abcdefgh ", k=500))
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(licence), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    got = shared_passages(df, 450).groupBy("passage").agg(F.count("*").alias("n"), F.max("records").alias("m")).where("n > 5000").collect()
+    assert [(r.n, r.m) for r in got] == [(10_000, 10_000)]
+    assert shared_portions(df, 450).where("shared_chars >= 500").count() == 10_000
+
+
 def test_spans_of_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert shared_span_pairs(df, 450).count() == 0 and shared_portions(df, 450).count() == 0
+    assert shared_passages(df, 450).count() == 0 and shared_lengths(df, 450).count() == 0 and copies(df, 450).count() == 0
     one = spark.createDataFrame([(1, "x" * 2000, "", ""), (1, "x" * 2000, "", "")], DOCS)
     assert shared_span_pairs(one, 450).count() == 0
     assert [tuple(r) for r in shared_portions(one, 450).collect()] == [(1, 2000, 0, 0.0)]

