@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import leaks
 from tidemark.llm.hashing import Roller, scramble, sliding_min
 from tidemark.llm.leaks import Index, find_leaks
-from tidemark.llm.mixing import mix, source_name, token_counts
+from tidemark.llm import mixing
+from tidemark.llm.mixing import mix, slices, source_name, token_counts
+from tidemark.llm.queries import TOKENIZER
 from tidemark.llm.spans import CHUNK, copies, shared_lengths, shared_passages, shared_portions, shared_span_pairs
 
 DOCS = "doc_id long, text string, item_id string, k string"
@@ -269,9 +271,37 @@ def test_mix_of_one_hot_source_and_equal_sizes(spark):
     assert rep["hot"].drawn == 1000 and sum(got.values()) == sum(r.drawn for r in rep.values())
 
 
+def test_slices_change_no_count():
+    enc = mixing._encoding(TOKENIZER)
+    rng = random.Random(6)
+    bits = ["word", "it's", "don't  ", " ", "\n\n", "\t", "3.5%", "é", "漢字", "🙂", "...", "_x_", "\u00a0", "\u2003", "\x1c", "A1b2", "'", "'s "]
+    for piece in (1, 3, 10, 57):
+        for _ in range(150):
+            t = "".join(rng.choices(bits, k=60))
+            assert "".join(slices(t, piece)) == t and sum(len(enc.encode_ordinary(x)) for x in slices(t, piece)) == len(enc.encode_ordinary(t))
+    assert list(slices("x" * 50, 10)) == ["x" * 50] and list(slices("", 10)) == [""]
+
+
+def test_tokens_of_a_very_long_text(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghij'", k=rng.randrange(1, 9))) for _ in range(600_000))
+    assert len(text) > 3_000_000 and len(list(slices(text))) == 4 - (len(text) < 3_000_000)
+    got = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), TOKENIZER).first().tokens
+    assert got == len(mixing._encoding(TOKENIZER).encode_ordinary(text))
+
+
+def test_mix_that_all_sources_can_meet(spark):
+    docs = [(i, "a" if i < 900 else "b" if i < 990 else "c", 10 + i % 7, "") for i in range(1000)]
+    got, rep = drawn(spark, docs, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4)], fit=True)
+    assert all(abs(r.actual_share - r.target_share) < 0.02 for r in rep.values()) and max(rep.values(), key=lambda r: r.drawn / r.available).shortfall < 1e-6
+    assert all(r.wanted - r.drawn < 17 for r in rep.values()) and max(got.values()) <= 4
+    got, rep = drawn(spark, docs, [("a", 0.5, 1), ("none", 0.5, 1)], fit=True)
+    assert len(got) == 900 and rep["none"].shortfall == rep["a"].drawn
+
+
 def test_tokens_and_source_names(spark):
     df = spark.createDataFrame([(1, "Hello world, 3.5%", "x"), (2, None, "x"), (3, "", "x"), (4, "<|endoftext|>", "x")], "doc_id long, text string, tokens string")
-    got = {r.doc_id: r.tokens for r in token_counts(df.drop("tokens")).collect()}
+    got = {r.doc_id: r.tokens for r in token_counts(df.drop("tokens"), TOKENIZER).collect()}
     assert got[1] > 3 and got[2] == 0 and got[3] == 0 and got[4] > 1
     names = spark.createDataFrame([(x,) for x in [" Filing-10Q", "FILING 10q", "", None, "filing_10q"]], "s string").select(source_name("s")).collect()
     assert [r[0] for r in names] == ["filing_10q", "filing_10q", None, None, "filing_10q"]

@@ -4,31 +4,33 @@ Every record has a fixed 60-bit hash. A source that must give a fraction of itse
 records below a threshold of that hash, so a larger budget always contains a smaller one.
 The threshold comes from histograms: sizes by source and hash bucket are summed up once, the
 bucket in which the budget ends is found, and only the rows of that one bucket are read into a
-finer histogram, until it holds a single hash. What reaches the driver is one
-number per source and bucket.
+finer histogram, until it holds a single hash. What reaches the driver is one row per source and level.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, staged
 
 BITS = 10  # buckets of a level: 1024
 LEVELS = 6  # 60 bits in all
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that parts a text before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are encoded in pieces of at most so many characters; see token_counts.
+#: Texts are encoded in pieces of about so many characters, which bounds memory and changes no count; see slices().
 PIECE = 1_000_000
+#: A letter or digit before a blank: no match of PATTERN goes over this place, and none looks beyond it.
+_SEAM = re.compile(r"(?<=[^\W_])(?=[ \t\n\r])")
 
 
 @lru_cache(maxsize=2)
@@ -40,25 +42,46 @@ def _encoding(path: str):
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = _encoding(path)
+def slices(text: str, piece: int = PIECE) -> Iterator[str]:
+    """A text in pieces whose tokens are just those of the whole: cut only where a letter or digit meets a blank.
+
+    There the pattern always ends a match (none holds a blank behind a letter), and what follows does not depend on what went
+    before. A stretch without such a place stays whole.
+    """
+    at = 0
+    while len(text) - at > piece:
+        seam = _SEAM.search(text, at + piece)
+        if seam is None:
+            break
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    enc = _encoding(SparkFiles.get(name))
     for b in batches:
-        n = [sum(len(enc.encode_ordinary(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) if t else 0 for t in b.column("text").to_pylist()]
+        n = [sum(len(enc.encode_ordinary(x)) for x in slices(t)) if t else 0 for t in b.column("text").to_pylist()]
         rest = [i for i, name in enumerate(b.schema.names) if name != "text"]
         yield pa.RecordBatch.from_arrays([*[b.column(i) for i in rest], pa.array(n, pa.int64())], [*[b.schema.names[i] for i in rest], "tokens"])
 
 
-def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``docs`` with ``text`` replaced by ``tokens`` BIGINT under a public byte-pair vocabulary.
+def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` replaced by ``tokens`` BIGINT under a public byte-pair vocabulary, exactly, however long the text.
 
-    The whole text counts; NULL and empty texts have 0 tokens. A text above ``PIECE`` characters is
-    encoded piece by piece, which can count a token more at a seam. The vocabulary is read from a
-    file that every executor has.
+    NULL and empty texts have 0 tokens. ``tokenizer`` is a vocabulary file that the driver can read; it is sent to the
+    executors with the job.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.__dict__.setdefault("_tidemark_files", set())
+    if tokenizer not in sent:
+        spark.sparkContext.addFile(tokenizer)
+        sent.add(tokenizer)
+    name = Path(tokenizer).name
     rest = docs.drop(text)
     out = rest.select(*rest.columns, F.lit(0).cast("long").alias("tokens")).schema
-    return docs.select(*rest.columns, F.col(text).alias("text")).mapInArrow(lambda it: _tokens(it, tokenizer), out)
+    return docs.select(*rest.columns, F.col(text).alias("text")).mapInArrow(lambda it: _tokens(it, name), out)
 
 
 def source_name(c: Column | str) -> Column:
@@ -67,6 +90,12 @@ def source_name(c: Column | str) -> Column:
     return F.nullif(s, F.lit(""))
 
 
+def record_hash(record: Column | str, seed: int) -> Column:
+    """60 bits of the MD5 of a record's id and the seed, as any engine can make them."""
+    text = F.concat_ws("|", (F.col(record) if isinstance(record, str) else record).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 @dataclass
 class Draw:
     """How much of a source is taken: ``copies`` of every record and one more below ``threshold``."""
@@ -78,80 +107,84 @@ class Draw:
     copies: int = 0
     threshold: int = 0
     remainder: float = 0.0
-    path: list[int] = field(default_factory=list)
+    path: int = 0
+
 
+def _table(spark, rows: list[tuple], ddl: str) -> DataFrame:  # noqa: ANN001
+    """A setting per source as a table to broadcast; mix() bounds the number of sources."""
+    return F.broadcast(spark.createDataFrame(rows, ddl))
 
-def _histogram(sized: DataFrame, level: int, open_paths: dict[str, int] | None) -> dict[str, dict[int, tuple[int, int]]]:
-    """Size and rows by source and bucket of a level, of the rows under each source's open path."""
+
+def _histogram(sized: DataFrame, level: int, rows: list[tuple] | None) -> DataFrame:
+    """source, bucket, size, n of a level - of all rows, or of those under the open path of each source in ``rows``."""
     shift = BITS * (LEVELS - 1 - level)
-    rows = sized
-    if open_paths is not None:
-        if not open_paths:
-            return {}
-        prefix = F.shiftrightunsigned("hash", shift + BITS)
-        cond = F.lit(False)
-        for s, p in open_paths.items():
-            cond = cond | ((F.col("source") == s) & (prefix == F.lit(p)))
-        rows = rows.where(cond)
-    bucket = F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << BITS) - 1))
-    out: dict[str, dict[int, tuple[int, int]]] = {}
-    got = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("n"))
-    for s, b, size, n in got.toLocalIterator():  # sources x 1024 at most
-        out.setdefault(s, {})[b] = (size, n)
-    return out
-
-
-def plan_draws(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None) -> tuple[dict[str, Draw], float]:
-    """Thresholds per source for ``total`` tokens (all available tokens of the targets' sources if None)."""
+    if rows is not None:
+        opened = _table(sized.sparkSession, rows, "source string, path long")
+        sized = sized.join(opened, "source").where(F.shiftrightunsigned("hash", shift + BITS) == F.col("path"))
+    bucket = F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("n"))
+
+
+def _boundaries(hist: DataFrame, left: dict[str, float]) -> dict[str, tuple[int, int, int]]:
+    """Per source the bucket in which its remainder ends, its rows, and the size before it. Sources that fit whole are not there."""
+    wanted = _table(hist.sparkSession, list(left.items()), "source string, remainder double")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))  # at most 1024 rows a source
+    ends = hist.join(wanted, "source").withColumn("upto", upto).where("upto > remainder").groupBy("source").agg(F.min(F.struct("bucket", "n", (F.col("upto") - F.col("size")).alias("before"))).alias("b"))
+    return {r[0]: (r[1], r[2], r[3]) for r in ends.select("source", "b.*").collect()}  # a row per source
+
+
+def plan_draws(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, fit: bool = False) -> tuple[dict[str, Draw], float]:
+    """Thresholds per source for ``total`` tokens.
+
+    Without ``total`` it is all available tokens of the targets' sources or, with ``fit``, the largest total whose
+    targets all sources can meet that have anything at all.
+    """
     draws = {s: Draw(share, reps) for s, (share, reps) in targets.items()}
-    top = _histogram(sized, 0, None)
-    for s, d in draws.items():
-        d.available = sum(size for size, _ in top.get(s, {}).values())
+    if not draws:
+        return draws, total or 0.0
+    top = staged(_histogram(sized, 0, None))
+    for s, available in top.groupBy("source").agg(F.sum("size")).collect():  # a row per source
+        draws[s].available = available
     if total is None:
-        total = float(sum(d.available for d in draws.values()))
+        able = [d.available * d.max_repeats / d.share for d in draws.values() if d.share > 0 and d.available]
+        total = (min(able) if able else 0.0) if fit else float(sum(d.available for d in draws.values()))
     for d in draws.values():
         d.budget = d.share * total
         d.copies = min(int(d.budget // d.available), d.max_repeats) if d.available else 0
-        d.remainder = d.budget - d.copies * d.available if d.copies < d.max_repeats else 0.0
-    level, hist = 0, top
-    while True:
-        again: dict[str, int] = {}
-        for s, d in draws.items():
-            if s not in hist or d.remainder <= 0:
-                continue
-            left, boundary = d.remainder, None
-            for b in sorted(hist[s]):
-                size, n = hist[s][b]
-                if size > left:
-                    boundary = b, n
-                    break
-                left -= size
-            if boundary is None:  # only rounding can lead here: everything fits
+        d.remainder = d.budget - d.copies * d.available if d.copies < d.max_repeats and d.available else 0.0
+    level, hist, left = 0, top, {s: d.remainder for s, d in draws.items() if d.remainder > 0}
+    while left:
+        ends = _boundaries(hist, left)
+        again: dict[str, float] = {}
+        for s in left:
+            d = draws[s]
+            if s not in ends:  # only rounding can lead here: everything fits
                 d.threshold = 1 << (BITS * LEVELS)
                 continue
-            d.remainder = left
-            d.path.append(boundary[0])
-            value = 0
-            for x in d.path:
-                value = (value << BITS) | x
-            d.threshold = value << (BITS * (LEVELS - 1 - level))
-            if boundary[1] > 1 and level + 1 < LEVELS:
-                again[s] = value
-        level += 1
-        if not again:
-            return draws, total
-        hist = _histogram(sized, level, again)
-
-
-def mix(docs: DataFrame, targets: DataFrame, *, total: float | None = None, seed: int = 17, doc_id: str = "doc_id", max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+            bucket, n, before = ends[s]
+            d.remainder -= before
+            d.path = (d.path << BITS) | bucket
+            d.threshold = d.path << (BITS * (LEVELS - 1 - level))
+            if n > 1 and level + 1 < LEVELS:
+                again[s] = d.remainder
+        level, left = level + 1, again
+        if left:
+            hist = _histogram(sized, level, [(s, draws[s].path) for s in left])
+    return draws, total
+
+
+def mix(
+    docs: DataFrame, targets: DataFrame, *, total: float | None = None, fit: bool = False, seed: int = 17, doc_id: str = "doc_id", size: str = "tokens", max_sources: int = 10_000
+) -> tuple[DataFrame, DataFrame]:
     """The drawn records and the shares reached.
 
-    ``docs`` has ``doc_id``, ``source`` and ``tokens``; ``targets`` has source, target_share,
+    ``docs`` has ``doc_id``, ``source`` and ``size`` (not negative); ``targets`` has source, target_share,
     max_repeats. Each source is to give ``target_share * total`` tokens. Where that is more than it
     has, its records are repeated whole, at most ``max_repeats`` times; the rest is drawn by hash
     threshold, never above the budget: it falls short by less than one record (or by
     all records of one equal hash). A source that cannot meet its target gives
-    all it may, and the shortfall is reported, not shifted onto others.
+    all it may, and the shortfall is reported, not shifted onto others; with ``fit`` the total is the largest that all sources
+    with any records can meet, so their shares reached stand to each other as their targets do.
 
     First result: doc_id, source, tokens, copies (1 or more). Second, a row per target: source,
     target_share, max_repeats, available, wanted, drawn, actual_share, shortfall (of the wanted
@@ -167,16 +200,11 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: float | None = None, seed
     if len(rows) > max_sources:
         raise ValueError("more targets than max_sources")
     goals = {r[0]: (float(r[1]), max(int(r[2]), 0)) for r in rows}
-    sized = docs.select(F.col(doc_id).alias("doc_id"), source_name("source").alias("source"), F.col("tokens").cast("long").alias("tokens")).where(
-        F.col("doc_id").isNotNull() & F.col("tokens").isNotNull() & F.col("source").isin(*goals) if goals else F.lit(False)
-    )
-    mask = (1 << (BITS * LEVELS)) - 1
-    sized = staged(sized.withColumn("hash", F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(mask))))
-    draws, total = plan_draws(sized, goals, total)
-    copies = F.lit(0)
-    for s, d in draws.items():
-        copies = F.when(F.col("source") == s, F.lit(d.copies) + (F.col("hash") < F.lit(d.threshold)).cast("int")).otherwise(copies)
-    drawn = sized.withColumn("copies", copies.cast("int")).where("copies > 0")
+    named = docs.select(F.col(doc_id).alias("doc_id"), source_name("source").alias("source"), F.col(size).cast("long").alias("tokens")).where("doc_id is not null and tokens is not null")
+    sized = staged(named.join(_table(spark, [(s,) for s in goals], "source string"), "source").select("doc_id", "source", "tokens", record_hash("doc_id", seed).alias("hash")))
+    draws, total = plan_draws(sized, goals, total, fit)
+    plan = _table(spark, [(s, d.copies, d.threshold) for s, d in draws.items()], "source string, whole int, threshold long")
+    drawn = sized.join(plan, "source").withColumn("copies", F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int")).where("copies > 0")
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn"))
     goal = spark.createDataFrame(
         [(s, d.share, d.max_repeats, d.available, d.budget) for s, d in sorted(draws.items())],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day_text
 from ..operators.identity import current_bars
+from ..plans.common import out, sql_out
 from ..plans.pit_queries import SQL_BARS
 from ..session import table
 from .leaks import find_leaks
@@ -32,8 +33,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), span=12)
 
 
+#: Vocabulary file of a public tokenizer, read by the driver.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    docs = token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), TOKENIZER)
     return mix(docs, table(spark, d, "mix_targets"))
 
 
@@ -45,6 +50,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def _by_chars(spark: SparkSession, d: str, fit: bool) -> tuple[DataFrame, DataFrame]:
+    """The same mix with characters as sizes, which SQL can count."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars", fit=fit)
+
+
+def p7_chars(spark: SparkSession, d: str) -> DataFrame:
+    return _by_chars(spark, d, False)[0].withColumnRenamed("tokens", "chars")
+
+
+def p7_chars_shares(spark: SparkSession, d: str) -> DataFrame:
+    return out(_by_chars(spark, d, False)[1])
+
+
+def p7_chars_fit(spark: SparkSession, d: str) -> DataFrame:
+    return out(_by_chars(spark, d, True)[1])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_span_pairs(table(spark, d, "documents"), 450)
 
@@ -65,7 +87,7 @@ def p8_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies(table(spark, d, "documents"), 450)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared": p8_shared, "p8_passages": p8_passages, "p8_lengths": p8_lengths, "p8_copies": p8_copies}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_chars": p7_chars, "p7_chars_shares": p7_chars_shares, "p7_chars_fit": p7_chars_fit, "p8_found": p8_found, "p8_shared": p8_shared, "p8_passages": p8_passages, "p8_lengths": p8_lengths, "p8_copies": p8_copies}
 
 P2_SQL = f"""
 with {SQL_BARS},
@@ -92,6 +114,28 @@ ew as (select item_id, array_to_string(w[i:i + 11], ' ') g from (select item_id,
 select distinct cast(doc_id as bigint) doc_id, cast(item_id as bigint) item_id from dw join ew using (g)
 """
 
+def _mix_sql(fit: bool) -> str:
+    name = "nullif(regexp_replace(lower(trim(source, ' ')), '[\\s\\-]+', '_', 'g'), '')"
+    total = "min(available * max_repeats / target_share) filter (available > 0 and target_share > 0)" if fit else "cast(sum(available) as double)"
+    return f"""
+with tg as (select {name} source, sum(target_share) target_share, max(coalesce(max_repeats, 1)) max_repeats from mix_targets where target_share is not null and {name} is not null group by 1),
+sd as (select doc_id, {name} source, n_chars tokens, ('0x' || substr(md5(doc_id || '|17'), 1, 15))::bigint h from documents where n_chars is not null),
+sz as (select sd.* from sd join tg using (source)),
+av as (select tg.*, coalesce((select sum(tokens) from sz where sz.source = tg.source), 0) available from tg),
+bg as (select *, target_share * (select {total} from av) wanted from av),
+pl as (select *, case when available > 0 then least(floor(wanted / available), max_repeats) else 0 end whole from bg),
+pr as (select *, case when whole < max_repeats and available > 0 then wanted - whole * available else 0 end remainder from pl),
+cu as (select sz.*, whole, remainder, sum(tokens) over (partition by source order by h) upto from sz join pr using (source)),
+dr as (select doc_id, source, tokens, cast(whole + (remainder > 0 and upto <= remainder)::int as int) copies from cu),
+rp as (select source, target_share, max_repeats, available, wanted, coalesce((select sum(tokens * copies) from dr where dr.source = pr.source), 0) drawn from pr)"""
+
+
+P7_CHARS_SQL = f"{_mix_sql(False)} select cast(doc_id as bigint) doc_id, source, cast(tokens as bigint) chars, copies from dr where copies > 0"
+P7_SHARES_SQL = [
+    sql_out(f"{_mix_sql(fit)} select source, target_share, max_repeats, available, wanted, drawn, coalesce(drawn / nullif(cast(sum(drawn) over () as double), 0), 0) actual_share, greatest(wanted - drawn, 0) shortfall from rp", "target_share wanted actual_share shortfall", "max_repeats available drawn")
+    for fit in (False, True)
+]
+
 P8_SQL = """
 with w as (
   select doc_id, substr(text, i, 450) s from (select doc_id, text, unnest(range(1, length(text) - 448)) i from documents where length(text) >= 450)),
@@ -140,4 +184,4 @@ select cast(doc_id as bigint) doc_id, cast(min(doc_id) over (partition by text)
 from documents where length(text) >= 450 qualify records > 1
 """
 
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_shared": P8_SHARED_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_lengths": P8_LENGTHS_SQL, "p8_copies": P8_COPIES_SQL}
+SQL = {"p7_chars": P7_CHARS_SQL, "p7_chars_shares": P7_SHARES_SQL[0], "p7_chars_fit": P7_SHARES_SQL[1], "p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p8_found": P8_SQL, "p8_shared": P8_SHARED_SQL, "p8_passages": P8_PASSAGES_SQL, "p8_lengths": P8_LENGTHS_SQL, "p8_copies": P8_COPIES_SQL}
