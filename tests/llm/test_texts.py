@@ -104,6 +104,16 @@ def test_very_long_text_is_read_in_slices(monkeypatch):
         assert list(leaks._search(iter([pa.RecordBatch.from_pydict({"doc": [1], "text": [text]})]), index))
 
 
+def test_items_that_share_a_window_are_listed_together(spark):
+    w = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(w[:20])), (2, " ".join(w[5:30])), (3, "x " + " ".join(w[5:20])), (4, " ".join(w[25:40])), (5, " ".join(w[:20]))]
+    index = Index([i for i, _ in items], [t for _, t in items], 12)
+    index.order(np.zeros(len(index.shingles), np.int64))
+    assert len(index.row) == len({tuple(t.split()[k : k + 12]) for _, t in items for k in range(len(t.split()) - 11)}) < len(index.first)
+    got = list(leaks._search(iter([pa.RecordBatch.from_pydict({"doc": [7], "text": ["no " + " ".join(w[6:18])]})]), index))
+    assert got[0].column("item").to_pylist() == [1, 2, 3, 5]
+
+
 def brute_pairs(docs, n):
     wins = {}
     for d, t in docs:

@@ -154,19 +154,31 @@ class Index:
         each = np.stack([by_word[self.first + j] for j in range(self.span - SHINGLE + 1)], 1) if len(self.first) else np.zeros((0, 1), np.int64)
         self.offset = each.argmin(1)
         chosen = self.shingles[np.argsort(rank)][each.min(1)] if len(each) else np.zeros(0, np.uint64)
-        # windows with the same words are looked for once; their items are listed beside them
-        o = np.lexsort((self.window, chosen))
+        self.items = self._items()
+        lead = np.array(sorted(self.items), np.int64)  # windows with the same words are looked for once
+        o = lead[np.lexsort((self.window[lead], chosen[lead]))] if len(lead) else lead
         self.keys, self.begin = np.unique(chosen[o], return_index=True)
         self.begin = np.append(self.begin, len(o))
         self.row = o
         return self
 
+    def _items(self) -> dict[int, tuple[int, ...]]:
+        """The items of each window, by the first window of the same words."""
+        out: dict[int, set[int]] = {}
+        _, lead, back = np.unique(self.window, return_index=True, return_inverse=True)
+        for r, a in enumerate(lead[back].tolist() if len(lead) else ()):
+            # equal hashes of other words stand for themselves
+            a = a if r == a or self.words.words(self.first[r], self.span) == self.words.words(self.first[a], self.span) else r
+            out.setdefault(a, set()).add(self.ids[self.words.text[self.first[r]]])
+        return {a: tuple(sorted(i)) for a, i in out.items()}
+
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     look, span = Lookup(index.keys), index.span
     own = index.words
     for b in batches:
         found: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int]] = set()
         for ids, texts in _slices(b.column(0).to_pylist(), b.column(1).to_pylist(), span):
             w = Words(texts)
             if len(w.hash) < span:  # length bound
@@ -189,9 +201,10 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
                 ok = w.hash[begin + j] == own.hash[index.first[rows] + j]
                 begin, rows = begin[ok], rows[ok]
             for s, r in zip(begin.tolist(), rows.tolist(), strict=True):
-                pair = (ids[w.text[s]], index.ids[own.text[index.first[r]]])
-                if pair not in found and w.words(s, span) == own.words(index.first[r], span):
-                    found.add(pair)
+                doc = ids[w.text[s]]
+                if (doc, r) not in seen and w.words(s, span) == own.words(index.first[r], span):
+                    seen.add((doc, r))
+                    found.update((doc, i) for i in index.items[r])
         if found:
             d, i = zip(*sorted(found), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], ["doc", "item"])
