@@ -13,6 +13,7 @@ from ..functions.scalars import no_nan
 from .harness import spearman_by
 
 # Thresholds of the audit.
+AGREE_GOOD, AGREE_WEAK, MANY_WEAK = 0.70, 0.50, 3
 SHIFT_RHO, SHIFT_P, SHIFT_SD, IC_CEILING, AGREE_FLOOR, LEAST = 0.05, 0.01, 0.5, 0.08, 0.40, 20
 
 
@@ -97,3 +98,17 @@ def compare_extractors(a: DataFrame, b: DataFrame, key: str, features: list[str]
         F.when(sd > 0, F.covar_pop("a", "b") / F.nullif(sd, F.lit(0.0))).alias("pearson"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff")
     )
     return spearman_by(long, ["feature"], "a", "b", least=3, out="spearman").drop("n_missing").join(plain, "feature")
+
+
+def extractor_verdict(compared: DataFrame) -> DataFrame:
+    """One row over compare_extractors(): features, median_spearman, good, weak and verdict.
+
+    'tracks' if the median is good and no feature weak; 'diverges' if the median or MANY_WEAK features are weak; else 'mixed'. NULL
+    without any correlation.
+    """
+    r = F.col("spearman")
+    c = lambda cond: F.coalesce(F.sum(F.coalesce(cond, F.lit(False)).cast("int")), F.lit(0)).cast("long")
+    out = compared.agg(F.count(r).alias("features"), F.median(r).alias("median_spearman"), c(r >= AGREE_GOOD).alias("good"), c(r < AGREE_WEAK).alias("weak"))
+    m, weak = F.col("median_spearman"), F.col("weak")
+    verdict = F.when(m.isNull(), F.lit(None)).when((m >= AGREE_GOOD) & (weak == 0), "tracks").when((weak >= MANY_WEAK) | (m < AGREE_WEAK), "diverges").otherwise("mixed")
+    return out.withColumn("verdict", verdict)

@@ -21,8 +21,8 @@ def known_by(df: DataFrame, day: str, end: date) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of their keys: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    """``n`` rows in the order of the MD5 of their keys and the seed: the same rows whatever the partitioning or the engine."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *keys).limit(n)
 
 
 def head_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -135,3 +135,16 @@ def pull_coverage(bars: DataFrame, expected: DataFrame, key: str = "ticker") ->
     """Which of the expected keys arrived: key, rows, first_day, last_day, missing."""
     got = bars.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     return expected.select(key).distinct().join(got, key, "left").withColumn("missing", F.col("n").isNull()).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def require_coverage(report: DataFrame, key: str = "ticker") -> DataFrame:
+    """The report of pull_coverage(), or IntegrityError naming keys that did not arrive."""
+    gone = [str(r[0]) for r in report.where("missing").select(key).orderBy(key).limit(20).collect()]
+    if gone:
+        raise IntegrityError(f"nothing arrived for {', '.join(gone)}")
+    return report
+
+
+def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Files in the order of ``keys``, rows in order within them: a read of the files by name gives one fixed order."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)

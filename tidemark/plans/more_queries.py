@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scalars import no_nan, parse_day
 from ..operators import factors, filings, filters, harness, trend
-from ..session import table
+from ..session import scratch, table
 from ..streaming.streams import weekly_last
 from . import panel_queries, text_queries, trend_queries
 from .common import out, sql_out
@@ -105,14 +104,23 @@ def walk_forward_folds(spark, d):
 
 
 def stream_weekly(spark, d):
-    """The weekly resample as a stream run to its end over the events, one micro-batch source."""
+    """The weekly resample as a stream run to its end over the events, into files.
+
+    Weeks are given out once the watermark has passed them; a day far in the future closes the last one. The files lie in the
+    shared folder, so nothing is kept on the driver.
+    """
+    path = f"{d}/events.parquet"
     schema = table(spark, d, "events").schema
-    live = spark.readStream.schema(schema).parquet(f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parquet*")
-    weekly = weekly_last(live.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "value")
-    name = f"weekly_{uuid.uuid4().hex}"
-    query = weekly.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return out(spark.table(name).select("user_id", F.to_date("week_end").alias("week_end"), "n"))
+    live = spark.readStream.schema(schema).parquet(path if _is_dir(spark, path) else f"{path}*").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    far = scratch(spark, "weekly-in")
+    spark.createDataFrame([(datetime(2200, 1, 1), None, None)], live.schema).coalesce(1).write.parquet(far)
+    closing = spark.readStream.schema(live.schema).parquet(far)
+    weekly = weekly_last(live.unionByName(closing), "ts", "user_id", "value")
+    target = scratch(spark, "weekly-out")
+    for _ in range(2):  # the watermark of a batch closes weeks in the next one
+        query = weekly.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-log").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return out(spark.read.schema(weekly.schema).parquet(target).where("user_id is not null").select("user_id", F.to_date("week_end").alias("week_end"), "value", "n"))
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
@@ -142,5 +150,6 @@ SQL = {
     "first_active_day": f"with {trend_queries._EXA}, fa as (select day, sum(abs(w)) e from xw group by day) select coalesce(min(case when e > 0 then day end), min(day)) as day from fa",
     "evaluate_long_only": panel_queries.SQL["cost_curve"],
     "walk_forward_folds": "with s as (select min(cast(date as date)) a, max(cast(date as date)) z from panel), f as (select k fold, a, (z - a + 1) / 9.0 len from s, range(1, 9) t(k)), g as (select fold, a + cast(floor(len * fold) as int) + case when fold > 1 then 21 else 0 end st, a + cast(floor(len * (fold + 1)) as int) en from f) select cast(fold as bigint) fold, st - 31 train_to, st test_from, en - 1 test_to from g",
-    "stream_weekly": "with e as (select user_id, cast(ts as date) - cast((isodow(cast(ts as date)) + 1) % 7 as int) w from events) select user_id, w + 7 week_end, count(*) n from e group by 1, 2",
+    "stream_weekly": sql_out("with e as (select user_id, ts, value, cast(ts as date) - cast((isodow(cast(ts as date)) + 1) % 7 as int) w from events) select user_id, w + 7 week_end, arg_max(value, ts) as value, count(*) n from e where user_id is not null group by 1, 2", "value"),
+    "pilot_sample": "select permaticker from (select distinct permaticker from tickers) order by md5(permaticker || '|7'), permaticker limit 25",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.scalars import acceptance_date, canon_cik, no_nan
+from ..functions.scalars import acceptance_date, canon_cik, cik_from_url, no_nan
 from ..operators import audit, factors, filings, integrity
 from ..operators.asof import asof_join, with_age_limit
 from ..session import staged, table
@@ -184,7 +184,9 @@ def masked_probe_verdict(spark, d):
 
 
 def identity_sensitivity(spark, d):
-    return out(audit.identity_sensitivity(_scored(spark, d), ["scenario_id"], "x", "y"))
+    """Shifts of three sizes, by scenario, so that some are within half a deviation and some are not."""
+    shifted = _scored(spark, d).withColumn("shift", F.col("x") * (F.col("scenario_id") % 3) * 0.05)
+    return out(audit.identity_sensitivity(shifted, ["scenario_id"], "shift", "y"))
 
 
 def within_date_ic(spark, d):
@@ -192,7 +194,9 @@ def within_date_ic(spark, d):
 
 
 def lexicon_agreement(spark, d):
-    return out(audit.agreement(_scored(spark, d), ["scenario_id"], "x", "y"))
+    """A second tone that follows the first closely in every second scenario."""
+    other = F.when(F.col("scenario_id") % 2 == 0, F.col("x") + F.col("y") * 3.0).otherwise(F.col("y"))
+    return out(audit.agreement(_scored(spark, d).withColumn("other", other), ["scenario_id"], "x", "other"))
 
 
 def extractor_agreement(spark, d):
@@ -201,6 +205,37 @@ def extractor_agreement(spark, d):
     return out(audit.compare_extractors(f, other, "feat_id", ["close_t", "vol_252"]))
 
 
+def extractor_verdict(spark, d):
+    """The verdict on extractors that differ little, in part and much."""
+    f = table(spark, d, "feat_t").select("feat_id", no_nan("close_t").alias("close_t"), no_nan("vol_252").alias("vol_252"), F.col("hist_days").cast("double").alias("hist_days")).distinct()
+    got = None
+    for name, cols in (("little", {"close_t": F.col("close_t") * 2, "vol_252": F.col("vol_252") + 1, "hist_days": F.col("hist_days")}), ("part", {"close_t": F.col("close_t"), "vol_252": -F.col("vol_252"), "hist_days": F.col("hist_days")}), ("much", {"close_t": -F.col("close_t"), "vol_252": -F.col("vol_252"), "hist_days": F.col("feat_id") % 7.0})):
+        other = f.select("feat_id", *[c.alias(k) for k, c in cols.items()])
+        row = audit.extractor_verdict(audit.compare_extractors(f, other, "feat_id", list(cols))).select(F.lit(name).alias("differ"), "*")
+        got = row if got is None else got.unionByName(row)
+    return out(got)
+
+
+def manifest_rows(spark, d):
+    """Filings as manifests of parallel arrays, the last one an entry short, and back to rows."""
+    f = _filings(spark, d).where("cik is not null and filing_id is not null").groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("filing_id", "form", "accession", "acceptance_datetime"))).alias("x"))
+    short = F.slice(F.col("x.acceptance_datetime"), F.lit(1), F.size("x") - 1)
+    m = f.select("cik", F.col("x.form").alias("form"), F.col("x.accession").alias("accessionNumber"), short.alias("acceptanceDateTime"))
+    return out(filings.flatten_manifest(m, "cik", {"form": "form", "accessionNumber": "accession", "acceptanceDateTime": "acceptance_datetime"}))
+
+
+def fetch_plan(spark, d):
+    k = F.col("filing_id") % 4
+    doc = F.when(k == 0, "a.HTM").when(k == 1, "b.html").when(k == 2, "c.txt")
+    f = _filings(spark, d).where("accession is not null").select("filing_id", canon_cik("cik").alias("cik"), "accession", doc.alias("primary_document"))
+    return out(filings.fetch_plan(f).select("filing_id", "is_html", F.array_join("urls", " ").alias("urls")))
+
+
+def cik_of_url(spark, d):
+    urls = table(spark, d, "bridge").select("permaticker", F.when(F.col("cik").isNotNull(), F.concat(F.lit("https://x.example/browse?action=get&CIK=000"), F.trim("cik"), F.lit("&type=10-K"))).alias("url")).distinct()
+    return out(urls.select("permaticker", "url", cik_from_url("url").alias("cik")))
+
+
 def integrity_summary(spark, d):
     return out(integrity.integrity_summary(table(spark, d, "sep_prices"), ["closeadj", "volume", "ret"], "date", "ticker"))
 
@@ -236,7 +271,7 @@ def bar_integrity(spark, d):
 QUERIES = {f.__name__: f for f in (
     filing_qualify, filing_dedupe, amendment_count, cik_canon, acceptance_days, cik_window_attribution, attribution_stats, truncate_sections, prior_section_text,
     jaccard_change, stub_density, lexicon_tone, mask_identity, prepared_sections, html_to_text, section_extract, submission_sections, stub_features, absent_enforced, feature_clamp, feature_normalize, coverage_funnel,
-    missing_report, masked_probe, masked_probe_verdict, identity_sensitivity, within_date_ic, lexicon_agreement, extractor_agreement, integrity_summary,
+    missing_report, masked_probe, masked_probe_verdict, identity_sensitivity, within_date_ic, lexicon_agreement, extractor_agreement, extractor_verdict, manifest_rows, fetch_plan, cik_of_url, integrity_summary,
     key_multiplicity, present_coverage, repeated_bars, stale_runs, gap_check, bar_integrity,
 )}
 
@@ -385,10 +420,24 @@ SQL = {
     "coverage_funnel": sql_out("with f as (select distinct feat_id, cast(t as date) t, permaticker from feat_t), g as (select permaticker, cast(acceptance_date as date) a, max(filing_id) filing_id from filings where not is_amendment and permaticker is not null and acceptance_date is not null group by all), j as (select f.t, g.a from f asof left join g on f.permaticker = g.permaticker and f.t > g.a) select count(*) n, sum((t - a <= 548)::int) ok, sum((t - a > 548)::int) stale, sum((a is null)::int) no_filing, sum((t - a <= 548)::int) any_feature from j", "", "ok stale no_filing any_feature"),
     "missing_report": sql_out("with s as (select distinct * from feat_t), u as (select 'close_t' feature, close_t v from s union all select 'vol_252', vol_252 from s union all select 'dollarvol_60', dollarvol_60 from s) select feature, sum((v is null)::int) missing, count(*) n, avg(v) mean from u group by 1", "mean", "missing"),
     "masked_probe": sql_out(f"with {_SX},{_rho('sx', 'scenario_id', 20)} select scenario_id, rho, n from r2", "rho"),
-    "identity_sensitivity": sql_out(f"with {_SX} select scenario_id, avg(abs(x)) mean_shift, stddev_pop(y) sd, coalesce(avg(abs(x)) > 0.5 * stddev_pop(y), false) sensitive from sx group by 1", "mean_shift sd"),
+    "identity_sensitivity": sql_out(f"with {_SX}, sh as (select *, x * (scenario_id % 3) * 0.05 s from sx) select scenario_id, avg(abs(s)) mean_shift, stddev_pop(y) sd, coalesce(avg(abs(s)) > 0.5 * stddev_pop(y), false) sensitive from sh group by 1", "mean_shift sd"),
     "within_date_ic": sql_out(f"with {_SX},{_rho('sx', 'scenario_id, day', 5)}, i as (select scenario_id, avg(rho) mean_ic, count(rho) dates from r2 group by 1), k as (select distinct scenario_id from sx) select scenario_id, mean_ic, coalesce(dates, 0) dates, coalesce(abs(mean_ic) > 0.08, false) quarantined from k left join i using (scenario_id)", "mean_ic"),
-    "lexicon_agreement": sql_out(f"with {_SX},{_rho('sx', 'scenario_id', 20)} select scenario_id, rho, n, coalesce(rho >= 0.4, false) agrees from r2", "rho"),
+    "lexicon_agreement": sql_out(f"with {_SX}, sy as (select * replace (case when scenario_id % 2 = 0 then x + y * 3.0 else y end as y) from sx),{_rho('sy', 'scenario_id', 20)} select scenario_id, rho, n, coalesce(rho >= 0.4, false) agrees from r2", "rho"),
     "extractor_agreement": sql_out(f"with f as (select distinct feat_id, close_t, vol_252 from feat_t), lg as (select 'close_t' feature, close_t x, close_t * 0.9 + 1.0 y from f union all select 'vol_252', vol_252, -vol_252 from f), {_rho('lg', 'feature', 3)}, o as (select feature, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) pearson, avg(x) mean_a, avg(y) mean_b, avg(abs(x - y)) mean_abs_diff from lg where x is not null and y is not null group by 1) select feature, rho spearman, n, pearson, mean_a, mean_b, mean_abs_diff from r2 join o using (feature)", "spearman pearson mean_a mean_b mean_abs_diff"),
+    "extractor_verdict": sql_out(
+        f"""with f as (select distinct feat_id, close_t, vol_252, hist_days from feat_t), lg as (
+  select 'little' differ, 'close_t' feature, close_t x, close_t * 2 y from f union all select 'little', 'vol_252', vol_252, vol_252 + 1 from f union all select 'little', 'hist_days', hist_days, hist_days from f
+  union all select 'part', 'close_t', close_t, close_t from f union all select 'part', 'vol_252', vol_252, -vol_252 from f union all select 'part', 'hist_days', hist_days, hist_days from f
+  union all select 'much', 'close_t', close_t, -close_t from f union all select 'much', 'vol_252', vol_252, -vol_252 from f union all select 'much', 'hist_days', hist_days, feat_id % 7 from f),{_rho('lg', 'differ, feature', 3)},
+v as (select differ, count(rho) features, median(rho) median_spearman, sum((rho >= 0.7)::int) good, sum((rho < 0.5)::int) weak from r2 group by 1)
+select *, case when median_spearman >= 0.7 and weak = 0 then 'tracks' when weak >= 3 or median_spearman < 0.5 then 'diverges' else 'mixed' end verdict from v""",
+        "median_spearman",
+        "good weak",
+    ),
+    "manifest_rows": "with f as (select distinct * from filings where cik is not null and filing_id is not null), r as (select *, row_number() over (partition by cik order by filing_id, form nulls first, accession nulls first, acceptance_datetime nulls first) i, count(*) over (partition by cik) n from f) select cik, i ordinal, form, accession, case when i < n then acceptance_datetime end acceptance_datetime from r",
+    "fetch_plan": f"""with f as (select distinct filing_id, coalesce({_CIK}, '') c, accession, case filing_id % 4 when 0 then 'a.HTM' when 1 then 'b.html' when 2 then 'c.txt' end p from (select distinct * from filings where accession is not null)), g as (select *, coalesce(lower(p) like '%.htm' or lower(p) like '%.html', false) h, '{filings.ARCHIVE}' || c || '/' b from f)
+select filing_id, h is_html, case when h then b || replace(accession, '-', '') || '/' || p || ' ' else '' end || b || accession || '.txt' urls from g""",
+    "cik_of_url": "with u as (select distinct permaticker, 'https://x.example/browse?action=get&CIK=000' || trim(cik) || '&type=10-K' url from bridge) select permaticker, url, nullif(regexp_extract(url, '(?i)cik=0*(\\d+)', 1), '') cik from u",
     "integrity_summary": sql_out("select count(*) n, sum((closeadj is null)::int) null_closeadj, sum((volume is null)::int) null_volume, sum((ret is null)::int) null_ret, cast(min(date) as date) first_day, cast(max(date) as date) last_day, count(distinct ticker) entities from sep_prices", "", "null_closeadj null_volume null_ret"),
     "key_multiplicity": sql_out("select count(*) keys, sum((k > 1)::int) multiple, max(k) most from (select ticker, count(distinct permaticker) k from tickers where ticker is not null group by 1)", "", "multiple"),
     "present_coverage": sql_out("with p as (select coalesce(lower(trim(cik)) not in ('', 'nan', 'none', 'null', '<na>', 'nat'), false)::int h, isdelisted from bridge) select avg(h) overall, avg(h) filter (where isdelisted = 'Y') in_subset from p", "overall in_subset"),

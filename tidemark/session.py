@@ -67,6 +67,15 @@ def drop_staged(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed like the staged tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _STAGED.append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -74,14 +83,9 @@ def staged(df: DataFrame) -> DataFrame:
     only the tasks it was running, and gives later joins a measured size. The files
     go away with drop_staged(), else when the JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "stage")
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import number
-from ..schemas import require_columns
+from ..schemas import MissingColumns, require_columns
 
 # Fields of a bar service and the columns they become.
 BAR_FIELDS = {
@@ -48,31 +49,50 @@ def load_bars(spark: SparkSession, path: str, tickers: list[str] | None = None)
 
 
 def read_json_bars(spark: SparkSession, path: str, ticker: str) -> DataFrame:
-    """One ticker's JSON array of bars, typed and renamed; missing fields or a repeated day raise."""
-    schema = T.StructType([T.StructField("date", T.StringType()), *[T.StructField(k, T.DoubleType()) for k in BAR_FIELDS]])
-    seen = spark.read.option("multiLine", "true").json(path)
-    require_columns(seen, ["date", *BAR_FIELDS], f"bars of {ticker}")
-    raw = spark.read.option("multiLine", "true").schema(schema).json(path)
-    df = raw.select(F.lit(ticker).alias("ticker"), F.substring("date", 1, 10).try_cast("date").alias("date"), *[F.col(a).alias(b) for a, b in BAR_FIELDS.items()])
+    """One ticker's JSON array of bars, typed and renamed. No bar at all, a field missing in any bar, or a repeated day raise.
+
+    A field that is there but null is a NULL.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("bar"))
+    need = ["date", *BAR_FIELDS]
+    lacks = lambda k: F.sum((~F.map_contains_key("bar", F.lit(k))).cast("int")).alias(k)
+    seen = raw.agg(F.count(F.lit(1)).alias("n"), *[lacks(k) for k in need]).first()
+    if not seen["n"]:
+        raise BadSource(f"no bars of {ticker}")
+    gone = [k for k in need if seen[k]]
+    if gone:
+        raise MissingColumns(f"bars of {ticker} lacks {', '.join(gone)}")
+    df = raw.select(F.lit(ticker).alias("ticker"), F.substring(F.col("bar")["date"], 1, 10).try_cast("date").alias("date"), *[number(F.col("bar")[a]).alias(b) for a, b in BAR_FIELDS.items()])
     bad = df.groupBy("date").count().where("date is null or count > 1").limit(1).collect()
     if bad:
         raise BadSource(f"bars of {ticker}: day {bad[0][0]} is unreadable or repeated")
     return df
 
 
-def read_rate_csv(spark: SparkSession, path: str, series: str) -> DataFrame:
-    """A rate series in percent as fractions: date, rate. '.' is missing; header spellings may drift; implausible values raise."""
+def read_rate_csv(spark: SparkSession, path: str, series: str, since: date | None = None) -> DataFrame:
+    """A rate series in percent as fractions: date, rate.
+
+    '.' is missing; the value stands in the first column that is not the date, whatever its name. An unreadable header, no
+    usable value, a repeated day, an implausible value or, with ``since``, a start after that day raise.
+    """
     raw = spark.read.option("header", "true").option("mode", "FAILFAST").csv(path)
     names = {c.strip().lower(): c for c in raw.columns}
     day = next((names[k] for k in ("observation_date", "date") if k in names), None)
-    value = next((names[k] for k in (series.lower(), "value") if k in names), None)
+    value = next((c for c in raw.columns if c != day), None)
     if not day or not value:
-        raise BadSource(f"{path}: columns {raw.columns}")
-    df = raw.select(F.col(day).try_cast("date").alias("date"), (number(F.trim(F.col(value))) / 100.0).alias("rate")).where("date is not null and rate is not null")
+        raise BadSource(f"{series}: columns {raw.columns}")
+    df = raw.select(F.col(f"`{day}`").try_cast("date").alias("date"), (number(F.trim(F.col(f"`{value}`"))) / 100.0).alias("rate")).where("date is not null and rate is not null")
     low, high = RATE_BOUNDS
-    odd = df.where((F.col("rate") < low) | (F.col("rate") >= high)).limit(1).collect()
-    if odd:
-        raise BadSource(f"{path}: implausible rate {odd[0]['rate']} on {odd[0]['date']}")
+    odd = (F.col("rate") < low) | (F.col("rate") >= high)
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("days"), F.min("date").alias("first"), F.min(F.when(odd, F.struct("date", "rate"))).alias("odd")).first()
+    if not got["n"]:
+        raise BadSource(f"{series}: no usable value")
+    if got["odd"]:
+        raise BadSource(f"{series}: implausible rate {got['odd']['rate']} on {got['odd']['date']}")
+    if got["days"] < got["n"]:
+        raise BadSource(f"{series}: a day is repeated")
+    if since and got["first"] > since:
+        raise BadSource(f"{series}: begins on {got['first']}, after {since}")
     return df
 
 
