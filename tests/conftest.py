@@ -10,6 +10,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 SMALL = "/root/testdata/sf0.001"
+TABLES = "/root/testdata/sf0.01"  # the tables that registered queries are compared on
 
 
 @pytest.fixture(scope="session")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.scalars import acceptance_date, cik_from_url, clip, number, present
-from tidemark.operators import audit, book, factors, filings, harness, integrity, panel, trend
+from tidemark.operators import audit, book, factors, filings, filters, harness, integrity, panel, trend
 from tidemark.plans import more_queries, panel_queries, text_queries
 from tidemark.schemas import MissingColumns
 
@@ -115,6 +115,42 @@ def test_planted_signal_cheat_and_null(spark):
     assert a.cheat_ic == pytest.approx(1.0) and a.real_ic > 0.2 and abs(a.null_mean) < 0.05 and a.z > 4
 
 
+def test_null_has_the_spread_of_shuffled_scores(spark):
+    """Mean 0 and variance 1 / (n - 1) a group, as for shuffles of any scores; here against shuffles themselves."""
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(rng.integers(4)), float(rng.normal())) for g in range(20) for i in range(15)]
+    null = harness.permutation_null(spark.createDataFrame(rows, "g int, i int, s double, r double"), ["g"], "i", "s", "r", reps=150).toPandas()["mean_ic"]
+    frame = pd.DataFrame(rows, columns=["g", "i", "s", "r"])
+    shuffled = [np.mean([np.corrcoef(rng.permutation(x["s"].rank()), x["r"].rank())[0, 1] for _, x in frame.groupby("g")]) for _ in range(150)]
+    assert abs(null.mean()) < 0.02 and 0.8 < null.std() / np.std(shuffled, ddof=1) < 1.25
+    assert abs(np.corrcoef(null[1:], null[:-1])[0, 1]) < 0.25  # repetitions do not follow one another
+
+
+def test_verdicts(spark):
+    c = lambda *r: audit.extractor_verdict(spark.createDataFrame([(x,) for x in r], "spearman double")).first()
+    assert [c(0.9, 0.8).verdict, c(0.9, 0.4, 0.9).verdict, c(0.4, 0.3).verdict, c(0.9, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1).verdict, c(None).verdict] == ["tracks", "mixed", "diverges", "diverges", None]
+    grid = spark.createDataFrame([("a", 1e6, 1.0, 0.9), ("a", 2e6, 1.0, 0.7), ("a", 1e6, 2.0, 0.6), ("b", 1e6, 1.0, 0.3), ("b", 1e6, 2.0, -5.0)], "name string, aum double, cost_scale double, sharpe double")
+    s = spark.createDataFrame([("a", 0.02, 0.9), ("b", None, None)], "band string, mean_ic double, spearman_sharpe double")
+    won = harness.decision(grid, s, "a", "b").first()
+    assert won.qualifies and won.margin_1x == pytest.approx(0.5) and won.margin_2x == pytest.approx(0.3)
+    lost = harness.decision(grid, s, "b", "a").first()
+    assert not (lost.qualifies or lost.ic_ok or lost.monotone_ok or lost.margin_ok)
+
+
+def test_hold_out_and_ambiguous_tables_are_refused(spark):
+    with pytest.raises(filters.HoldOutRefused):
+        filters.guard_span(date(2020, 1, 1), date(2021, 6, 1), date(2021, 1, 1))
+    assert filters.guard_span(date(2020, 1, 1), date(2021, 6, 1), date(2021, 1, 1), confirmed=True)[0] == date(2020, 1, 1)
+    t = spark.createDataFrame([(1, "DUP", "2019-01-01", "2021-12-31", "c", "x"), (2, "DUP", "2020-01-05", "2020-12-31", "c", "x")], "permaticker int, ticker string, firstpricedate string, lastpricedate string, category string, exchange string")
+    p = spark.createDataFrame([("DUP", day(k), 10.0 + k, 5.0, day(k)) for k in range(40)], "ticker string, date date, closeadj double, volume double, lastupdated date")
+    caps = p.select("ticker", "date", F.col("closeadj").alias("marketcap"))
+    fund = spark.createDataFrame([], "fund_id long, ticker string, day date, eps double, bvps double, gp double, assets double")
+    with pytest.raises(panel.AmbiguousIdentity, match="DUP"):
+        panel.panel_from_tables(p, t, caps, fund)
+    got = panel.panel_from_tables(p, t, caps, fund, ambiguous="drop").collect()
+    assert {r.permaticker for r in got} == {1} and [(r.hist_days, r.close, r.marketcap, r.eps) for r in got][0] == (4, 13.0, 13.0, None)
+
+
 def test_registered_null_draws_in_full(spark):
     rng = np.random.default_rng(5)
     rows = [(1, day(30 * d), i, float(s), 5.0, float(0.3 * s + rng.normal()), "ok") for d in range(3) for i, s in enumerate(rng.normal(size=30))]

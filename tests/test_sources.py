@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import zipfile
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.integrity import IntegrityError, promote, pull_coverage, write_checked
+from tidemark.operators.integrity import IntegrityError, promote, pull_coverage, require_coverage, write_checked, write_ordered
 from tidemark.sources import readers
+from tidemark.session import NoSharedFolder, shared_dir
 from tidemark.streaming.streams import sessions, stream_static_lookup, weekly_last
 
+from .conftest import day
+
 BAR = {k: 1.0 for k in readers.BAR_FIELDS}
 
 
@@ -24,19 +28,38 @@ def test_json_bars(spark, tmp_path):
     p.write_text(json.dumps([{"date": "2020-01-02", **BAR}] * 2))
     with pytest.raises(readers.BadSource):
         readers.read_json_bars(spark, str(p), "AAA")
-    p.write_text(json.dumps([{"date": "2020-01-02", "open": 1.0}]))
+    p.write_text(json.dumps([{"date": "2020-01-02", **BAR}, {"date": "2020-01-03", "open": 1.0}]))  # whole in one bar only
     with pytest.raises(ValueError, match="lacks"):
         readers.read_json_bars(spark, str(p), "AAA")
+    p.write_text(json.dumps([{"date": "2020-01-02", **BAR, "volume": None}]))
+    assert readers.read_json_bars(spark, str(p), "AAA").first()["volume"] is None
+    p.write_text("[]")
+    with pytest.raises(readers.BadSource, match="no bars"):
+        readers.read_json_bars(spark, str(p), "AAA")
 
 
-@pytest.mark.parametrize("head", ["observation_date,DTB3", "DATE,VALUE", "date,dtb3"])
+@pytest.mark.parametrize("head", ["observation_date,DTB3", "DATE,VALUE", "date,anything"])
 def test_rate_csv(spark, tmp_path, head):
     p = tmp_path / "r.csv"
     p.write_text(f"{head}\n2020-01-02,5.25\n2020-01-03,.\n2020-01-06,NaN\n")
     assert [(r["date"], r["rate"]) for r in readers.read_rate_csv(spark, str(p), "DTB3").collect()] == [(date(2020, 1, 2), 0.0525)]
-    p.write_text(f"{head}\n2020-01-02,90\n")
-    with pytest.raises(readers.BadSource):
-        readers.read_rate_csv(spark, str(p), "DTB3")
+    assert readers.read_rate_csv(spark, str(p), "DTB3", date(2020, 1, 2)).count() == 1
+    with pytest.raises(readers.BadSource, match="begins"):
+        readers.read_rate_csv(spark, str(p), "DTB3", date(2019, 1, 1))
+    for rows, said in (("2020-01-02,90", "implausible"), ("2020-01-02,1\n2020-01-02,1", "repeated"), ("2020-01-02,.", "usable")):
+        p.write_text(f"{head}\n{rows}\n")
+        with pytest.raises(readers.BadSource, match=said):
+            readers.read_rate_csv(spark, str(p), "DTB3")
+
+
+def test_saved_rates_and_ordered_files(spark, tmp_path):
+    df = spark.createDataFrame([(day(k), k / 100.0) for k in (3, 1, 2)], "date date, rate double")
+    write_ordered(df, str(tmp_path / "r.parquet"), ["date"])
+    files = sorted((tmp_path / "r.parquet").glob("*.parquet"))
+    assert [r.date for f in files for r in spark.read.parquet(str(f)).collect()] == [day(1), day(2), day(3)]
+    assert readers.load_rate(spark, str(tmp_path / "r.parquet")).count() == 3
+    with pytest.raises(Exception, match="(?i)path_not_found|does not exist"):
+        readers.load_rate(spark, str(tmp_path / "none.parquet"))
 
 
 def test_bulk_archive_and_typed_csv(spark, tmp_path):
@@ -65,6 +88,10 @@ def test_partitioned_bars(spark, tmp_path):
         readers.load_bars(spark, str(tmp_path / "bars"), ["A", "C"])
     got = {r["ticker"]: r["missing"] for r in pull_coverage(df, spark.createDataFrame([("A",), ("C",)], "ticker string")).collect()}
     assert got == {"A": False, "C": True}
+    report = pull_coverage(df, spark.createDataFrame([("A",), ("C",)], "ticker string"))
+    with pytest.raises(IntegrityError, match="C"):
+        require_coverage(report)
+    assert require_coverage(report.where("ticker = 'A'")).count() == 1
 
 
 def test_views_fail_on_a_missing_table(spark):
@@ -150,3 +177,13 @@ def test_session_stream(spark, tmp_path):
     drain(sessions(stream(spark, tmp_path, rows, "k long, ts timestamp"), "k", "ts", 600), "sess")
     got = {(r["key"], r["n"]) for r in spark.table("sess").collect()}
     assert {(1, 2), (1, 1), (2, 1)} <= got
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    none = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, _jsc=SimpleNamespace(sc=lambda: none))
+    with pytest.raises(NoSharedFolder, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+    conf.get = lambda key, default=None: "hdfs://shared/x"
+    assert shared_dir(SimpleNamespace(sparkContext=context, conf=conf)) == "hdfs://shared/x"

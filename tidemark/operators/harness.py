@@ -171,30 +171,40 @@ def benchmark(panel: DataFrame, by: list[str], ret: str) -> DataFrame:
     return panel.where(no_nan(ret).isNotNull()).groupBy(*by).agg(F.avg(no_nan(ret)).alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
-def permutation_null(panel: DataFrame, by: list[str], item: str, score: str, ret: str, reps: int = NULL_REPS, seed: int = NULL_SEED) -> DataFrame:
-    """Mean rank correlation under shuffled scores, one row per repetition: rep, mean_ic.
+#: Modulus and multiplier of a public multiplicative generator (a primitive root of a prime).
+MINSTD = (2**31 - 1, 48271)
+
 
-    Scores are permuted within each group by a seeded hash order, so every repetition is repeatable
-    and runs distributed; repetitions are independent of each other.
+def permutation_null(panel: DataFrame, by: list[str], item: str, score: str, ret: str, reps: int = NULL_REPS, seed: int = NULL_SEED) -> DataFrame:
+    """Mean rank correlation of scores that know nothing, one row per repetition: rep, mean_ic, periods.
+
+    Shuffling a group's n scores gives a correlation with mean 0 and variance 1 / (n - 1), whatever the scores
+    are: that follows from the symmetry of the draw alone. So none is moved. Each item draws a number of its own - its place in
+    a public generator started from the MD5 of group, item and seed, a step per repetition - and the numbers' correlation with
+    the ranks of the returns has the same mean and variance. The ranks are made once; all repetitions are partial
+    aggregates of one pass. Rows need both a score and a return; groups in which either is constant, or with fewer
+    than five rows, have no correlation.
     """
+    p, root = MINSTD
     base = panel.select(*by, item, no_nan(score).alias("__s"), no_nan(ret).alias("__r")).where("__s is not null and __r is not null")
-    base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    part = Window.partitionBy("rep", *by)
-    drawn = F.row_number().over(part.orderBy(F.xxhash64(F.lit(seed) + F.col("rep"), *[F.col(c).cast("string") for c in by], item), item))
-    plain = F.row_number().over(part.orderBy(item, "__s"))
-    left = base.select("rep", *by, plain.alias("__i"), "__r")
-    right = base.select("rep", *by, drawn.alias("__i"), "__s")
-    ic = spearman_by(left.join(right, ["rep", *by, "__i"]), ["rep", *by], "__s", "__r")
-    return ic.groupBy("rep").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("periods"))
+    text = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, item]], F.lit(str(seed))))
+    start = F.conv(F.substring(text, 1, 15), 16, 10).cast("long") % (p - 1) + 1
+    ranked = base.select(*by, "__s", average_rank("__r", by).alias("__b"), start.alias("__x"))
+    step = lambda k: ((F.col("__x") * F.lit(pow(root, k + 1, p))) % p / float(p)).alias(f"__u{k}")
+    drawn = ranked.select(*by, "__s", "__b", *[step(k) for k in range(reps)])
+    ok = (F.count(F.lit(1)) >= 5) & (F.min("__s") < F.max("__s")) & (F.min("__b") < F.max("__b"))
+    sd = F.stddev_pop("__b")
+    ic = lambda k: F.when(ok, F.covar_pop(f"__u{k}", "__b") / F.nullif(F.stddev_pop(f"__u{k}") * sd, F.lit(0.0)))
+    each = drawn.groupBy(*by).agg(F.array(*[ic(k) for k in range(reps)]).alias("__ic"))
+    return each.select(F.posexplode("__ic").alias("rep", "ic")).groupBy("rep").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("periods"))
 
 
 def leak_audit(panel: DataFrame, by: list[str], item: str, score: str, ret: str, reps: int = NULL_REPS) -> DataFrame:
     """One row: mean correlation of the score, of a cheating score (the return itself), the null's mean and deviation, and z."""
-    mean = lambda s: spearman_by(panel, by, s, ret).agg(F.avg("ic")).first()[0]
+    mean = lambda s, name: spearman_by(panel, by, s, ret).agg(F.avg("ic").alias(name))
     null = permutation_null(panel, by, item, score, ret, reps).agg(F.avg("mean_ic").alias("null_mean"), F.stddev_samp("mean_ic").alias("null_sd"))
-    return null.select(
-        F.lit(mean(score)).cast("double").alias("real_ic"), F.lit(mean(ret)).cast("double").alias("cheat_ic"), "null_mean", "null_sd"
-    ).withColumn("z", (F.col("real_ic") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
+    out = mean(score, "real_ic").crossJoin(F.broadcast(mean(ret, "cheat_ic"))).crossJoin(F.broadcast(null))  # a row each
+    return out.withColumn("z", (F.col("real_ic") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
 
 
 def evaluate(panel: DataFrame, by: list[str], day: str, item: str, score: str, decile: str, ret: str, scenario: list[str] | None = None) -> dict[str, DataFrame]:

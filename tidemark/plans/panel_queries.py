@@ -500,6 +500,18 @@ al as (select {by}, count(*) c from rp group by all),
 ics as (select al.*, one.ic, coalesce(one.n, 0) n, al.c - coalesce(one.n, 0) n_missing from al left join one using ({by}))"""
 
 
+def _null_sql() -> str:
+    """CTE nul (rep, mean_ic, periods) over rp."""
+    p, root = harness.MINSTD
+    steps = ", ".join(f"({k}, {pow(root, k + 1, p)})" for k in range(harness.NULL_REPS))
+    return f"""
+nb as (select scenario_id, day, composite s, rank() over (partition by scenario_id, day order by ret) + (count(*) over (partition by scenario_id, day, ret) - 1) / 2.0 b,
+  ('0x' || substr(md5(scenario_id || '|' || day || '|' || permaticker || '|{harness.NULL_SEED}'), 1, 15))::bigint % {p - 1} + 1 x from rp where composite is not null and ret is not null),
+nd as (select rep, scenario_id, day, s, b, (x * m) % {p} / {float(p)} u from nb, (values {steps}) t(rep, m)),
+ni as (select rep, scenario_id, day, case when count(*) >= 5 and min(s) < max(s) and min(b) < max(b) then covar_pop(u, b) / nullif(stddev_pop(u) * stddev_pop(b), 0) end ic from nd group by all),
+nul as (select rep, avg(ic) mean_ic, count(ic) periods from ni group by 1)"""
+
+
 def _ic(x: str = "composite", y: str = "ret", by: str = "scenario_id, day") -> str:
     return f"{_RP},{_IC.format(x=x, y=y, by=by)}"
 
@@ -596,6 +608,11 @@ select *, ic_ok and monotone_ok and margin_ok qualifies from fi""",
     "long_short_spread": sql_out(f"with {_RP},{_held(10, 'x')},{_held(1, 'y')} select scenario_id, day, x.gross - y.gross gross, coalesce(x.turnover, 0) + coalesce(y.turnover, 0) turnover from x full join y using (scenario_id, day)", "gross turnover"),
     "cost_curve": sql_out(f"with {_RP},{_held(10, 'x')}, c as (select scenario_id, cast(b as double) bps, day, gross - turnover * b / 1e4 net from x, unnest([5.0, 10.0, 20.0]) u(b) where gross is not null), e as (select *, product(1 + net) over (partition by scenario_id, bps order by day) eq from c), f as (select *, eq / max(eq) over (partition by scenario_id, bps order by day) - 1 dd from e) select scenario_id, bps, count(*) periods, case when k then avg(net) end mean, case when k then avg(net) * 12 end ann_return, case when k then avg(net) / nullif(stddev_samp(net), 0) * sqrt(12) end sharpe, case when k and arg_max(eq, day) > 0 then pow(arg_max(eq, day), 12.0 / count(*)) - 1 end cagr, case when k then min(dd) end max_drawdown from (select *, count(*) over (partition by scenario_id, bps) >= 2 and stddev_samp(net) over (partition by scenario_id, bps) > 0 k from f) group by scenario_id, bps, k", "bps mean ann_return sharpe cagr max_drawdown"),
     "cheat_control": sql_out(f"with {_ic('ret', 'ret')} select scenario_id, day, ic, n, n_missing from ics", "ic"),
+    "permutation_null": sql_out(f"with {_RP},{_null_sql()} select * from nul", "mean_ic", "rep"),
+    "leak_audit": sql_out(
+        f"with {_ic()},{_null_sql()}, ch as (with {_ic('ret', 'ret')} select avg(ic) c from ics), nu as (select avg(mean_ic) null_mean, stddev_samp(mean_ic) null_sd from nul) select (select avg(ic) from ics) real_ic, (select c from ch) cheat_ic, null_mean, null_sd, ((select avg(ic) from ics) - null_mean) / nullif(null_sd, 0) z from nu",
+        "real_ic cheat_ic null_mean null_sd z",
+    ),
     "ew_universe_benchmark": sql_out(f"with {_RP} select scenario_id, day, avg(ret) ret, count(*) n from rp where ret is not null group by all", "ret"),
     "status_counts": sql_out(f"with {_RP} select scenario_id, count(*) n, avg((fwd_status = 'delisted_partial')::int) delisting_rate from rp group by all", "delisting_rate"),
     "benchmark_period_returns": sql_out(f"with {SQL_BARS}, lv as (select d, avg(closeadj) l from bar group by d), r as (select * from lv where d in (select max(d) from lv group by date_trunc('month', d))) select d as day, l as level, lead(l) over (order by d) / nullif(l, 0) - 1 ret from r", "level ret"),
