@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import acceptance_date, canon_cik, known, parse_day
-from ..functions.text import COUNTED, FEATURES, base_form, blank_to_null, clamp, stub_scores
+from ..functions.text import COUNTED, FEATURES, base_form, blank_to_null, clamp, lower_words, stub_scores
 
 # Forms that carry the wanted sections.
 QUALIFYING_FORMS = ("10-K", "10-K405", "10-KSB", "10-KSB405", "10-KT", "10-Q", "10-QT")
@@ -123,15 +123,25 @@ def with_prior(df: DataFrame, entity: str, order: list[str], columns: list[str],
     flags = {c: blank_to_null(c).isNotNull().alias(f"__has_{c}") for c in columns}
     ids = rows.select(row_id, entity, *order, *flags.values()) if row_id not in order else rows.select(entity, *order, *flags.values())
     ids = ids.select(row_id, *[F.last(F.when(F.col(f"__has_{c}"), F.col(row_id)), ignorenulls=True).over(line).alias(f"__prior_{c}") for c in columns])
-    out = rows.join(ids, row_id)
+    out = rows
     for c in columns:
-        out = out.join(rows.select(F.col(row_id).alias(f"__prior_{c}"), F.col(c).alias(f"prior_{c}")), f"__prior_{c}", "left")
-    return out.drop(*[f"__prior_{c}" for c in columns])
+        # rows without a prior text take no part in the fetch, so their NULLs do not meet in one task
+        known = ids.where(F.col(f"__prior_{c}").isNotNull()).select(row_id, f"__prior_{c}")
+        texts = rows.select(F.col(row_id).alias(f"__prior_{c}"), F.col(c).alias(f"prior_{c}"))
+        out = out.join(known.join(texts, f"__prior_{c}").select(row_id, f"prior_{c}"), row_id, "left")
+    return out
 
 
 def stub_features(df: DataFrame, counted: dict[str, str] = COUNTED) -> DataFrame:
-    """+ the ten measures of a filing's texts (mdna, risk_factors and their priors), absent sections enforced."""
-    return df.withColumns(stub_scores("mdna", "risk_factors", "prior_mdna", "prior_risk_factors", counted))
+    """+ the ten measures of a filing's texts (mdna, risk_factors and their priors), absent sections enforced.
+
+    ``counted`` names the beginnings of words that the measures of density count. Texts are parted into words once, in a
+    step of their own, and each measure is made once before it is brought into range.
+    """
+    texts = ("mdna", "risk_factors", "prior_mdna", "prior_risk_factors")
+    parted = df.withColumns({f"__w_{t}": lower_words(t) for t in texts})
+    raw = parted.withColumns({f"__{k}": v for k, v in stub_scores("mdna", *[F.col(f"__w_{t}") for t in texts], counted).items()})
+    return raw.withColumns({k: clamp(F.col(f"__{k}"), *FEATURES[k]) for k in FEATURES}).drop(*[f"__w_{t}" for t in texts], *[f"__{k}" for k in FEATURES])
 
 
 def enforce_absent(scored: DataFrame) -> DataFrame:
